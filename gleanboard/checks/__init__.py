@@ -1 +1,6 @@
 """Registered queries with the SQL they are compared with."""
+
+from . import expressions  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@ from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Unicode white space, plus the four ASCII separators Python also counts.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -43,7 +44,7 @@ def shown(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(unescape, na_action="ignore")
 
