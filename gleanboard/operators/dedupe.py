@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.keys import match_key, posting_key
 from ..functions.text import form_text, match_text
@@ -25,6 +25,22 @@ def has_match_parts(columns: Sequence[str] = TRIPLE) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(match_text(F.col(c)) != "", F.lit(False)) for c in columns])
 
 
+def first_row(df: DataFrame, order_by: Sequence[str | Column], payload: Sequence[str]) -> Column:
+    """Aggregate: the payload of the row that comes first in ``order_by``.
+
+    The order values lead one struct whose minimum is taken, so nothing is
+    carried twice and equal orders are settled by the payload. Only payloads
+    that cannot be compared (maps, variants) need the two-part form.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order_by]
+    if any(isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) for c in payload):
+        return F.min_by(F.struct(*payload), F.struct(*order))
+    keys = [o.alias(f"_o{i}") for i, o in enumerate(order)]
+    named = {o: f"_o{i}" for i, o in enumerate(order_by) if isinstance(o, str)}
+    best = F.min(F.struct(*keys, *[c for c in payload if c not in named]))
+    return F.struct(*[best[named.get(c, c)].alias(c) for c in payload])
+
+
 def merge_across_sources(
     df: DataFrame,
     order_by: Sequence[str],
@@ -44,13 +60,14 @@ def merge_across_sources(
     """
     source = effective_source() if source is None else source
     payload = [c for c in df.columns if c not in {*within, *drop}]
-    parts = [match_text(F.col(c)).alias(f"_{c}") for c in TRIPLE]
-    alone = F.when(~has_match_parts(), F.struct(*order_by, F.xxhash64(*df.columns).alias("_row")))
+    parts = [f"_{c}" for c in TRIPLE]
+    shadowed = df.withColumns({f"_{c}": match_text(F.col(c)) for c in TRIPLE})
+    complete = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) != "", F.lit(False)) for c in parts])
+    alone = F.when(~complete, F.struct(*order_by, F.xxhash64(*df.columns).alias("_row")))
     grouped = (
-        df.select(*within, *parts, alone.alias("_alone"), source.alias("_source"),
-                  F.struct(*payload).alias("_row"), F.struct(*order_by).alias("_order"))
-        .groupBy(*within, *[f"_{c}" for c in TRIPLE], "_alone")
-        .agg(F.min_by("_row", "_order").alias("_first"),
+        shadowed.withColumn("_alone", alone).withColumn("_source", source)
+        .groupBy(*within, *parts, "_alone")
+        .agg(first_row(df, order_by, payload).alias("_first"),
              F.array_sort(F.collect_set("_source")).alias("found_on"),
              F.count(F.lit(1)).alias("_n"))
     )
@@ -79,8 +96,7 @@ def keep_first(
     if not by:
         return df.select(*kept)
     rest = [c for c in df.columns if c not in by and c not in drop]
-    aggregates = [F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first")] if rest else \
-        [F.count(F.lit(1)).alias("_n")]
+    aggregates = [first_row(df, order_by, rest).alias("_first")] if rest else [F.count(F.lit(1)).alias("_n")]
     if merge_found_on:
         aggregates.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("found_on")))).alias("_all"))
     out = df.groupBy(*by).agg(*aggregates)
@@ -103,7 +119,7 @@ def first_spellings(df: DataFrame, value: str, order_by: Sequence[str], dedupe:
     if not dedupe:
         return clean
     return (clean.groupBy(F.lower(value).alias("_folded"))
-            .agg(F.min_by(F.struct(*clean.columns), F.struct(*order_by)).alias("_first"))
+            .agg(first_row(clean, order_by, clean.columns).alias("_first"))
             .select("_first.*"))
 
 

@@ -136,12 +136,12 @@ def _blocks(index, queries, k, digits, schema, total, row_bytes, block_bytes) ->
     n_index_blocks = max(1, math.ceil(index.count() * row_bytes / block_bytes))
 
     def block(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n))
+        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
     left = (index.withColumn("_i", block("key", n_index_blocks))
             .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))))
-    right = (queries.withColumn("_q", block("query_id", n_query_blocks).cast("int"))
-             .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_index_blocks - 1))).cast("bigint")))
+    right = (queries.withColumn("_q", block("query_id", n_query_blocks))
+             .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_index_blocks - 1)))))
 
     def pair(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if vectors.empty or asked.empty:

@@ -40,13 +40,15 @@ def coverage(hits: DataFrame, table: DataFrame) -> DataFrame:
 def with_combined_score(df: DataFrame, recruiter_weight: float = 0.6, candidate_weight: float = 0.4) -> DataFrame:
     """Both scores on 0-1 over the whole table, and their weighted mean.
 
-    The bounds are scalar subqueries: one pass, four numbers, no join.
+    The bounds are one scalar subquery: one aggregate over the table, no join.
     """
-    def bound(fn, column: str) -> Column:
-        return df.select(fn(column).alias("v")).scalar()
-
-    for source, target in (("recruiter_score", "recr_rescaled"), ("candidate_score", "cand_rescaled")):
-        df_bounds = (bound(F.min, source), bound(F.max, source))
-        df = df.withColumn(target, rescaled(F.col(source), *df_bounds))
-    return df.withColumn("combined_score", weighted_mean(
-        [(F.col("recr_rescaled"), recruiter_weight), (F.col("cand_rescaled"), candidate_weight)]))
+    bounds = df.select(F.struct(
+        F.min("recruiter_score").alias("r_low"), F.max("recruiter_score").alias("r_high"),
+        F.min("candidate_score").alias("c_low"), F.max("candidate_score").alias("c_high")).alias("b")).scalar()
+    return (
+        df.withColumn("_b", bounds)
+        .withColumn("recr_rescaled", rescaled(F.col("recruiter_score"), F.col("_b.r_low"), F.col("_b.r_high")))
+        .withColumn("cand_rescaled", rescaled(F.col("candidate_score"), F.col("_b.c_low"), F.col("_b.c_high")))
+        .drop("_b")
+        .withColumn("combined_score", weighted_mean(
+            [(F.col("recr_rescaled"), recruiter_weight), (F.col("cand_rescaled"), candidate_weight)])))
