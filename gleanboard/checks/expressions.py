@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, keys, places, scores, text, vectors, verdicts
 from ..operators.passes import CANDIDATE, PRESCREEN, RECRUITER, read_replies
 from ..schemas import RATINGS, VERDICT_LISTS
+from ..session import settle
 from ..sources.tables import nan_to_null
 from .inputs import (DOCS, KEY_SQL, LABEL_QUERIES, LISTINGS, MATCHED, NOW, SCORE_SQL, VERDICTS, candidate_sql,
                      doc_postings, joined, joined_sql, label_queries, listings, recruiter_sql, replies,
@@ -311,6 +312,12 @@ def verdicts_of(t: Inputs, spec, column: str):
     return read_replies(rows, spec, ["key"])
 
 
+def stored_verdicts(t: Inputs, spec, column: str):
+    """Verdicts as a run leaves them: stored, so that a filter on a score reads
+    a column and does not parse the reply again."""
+    return settle(verdicts_of(t, spec, column))
+
+
 @check("h25_decision", f"WITH {VERDICTS} SELECT key, decision, undecided AS failed FROM r")
 def _(t: Inputs):
     return verdicts_of(t, PRESCREEN, "prescreen").select("key", "decision", F.col("error").isNotNull().alias("failed"))
@@ -390,8 +397,8 @@ def _(t: Inputs):
 @check("h35_failed_verdicts", f"""
 WITH {VERDICTS} SELECT key, technical_match, len(themes_matched) AS n_themes, decision FROM r WHERE failed""")
 def _(t: Inputs):
-    r = verdicts_of(t, RECRUITER, "recruiter").where(F.col("error").isNotNull()).select("key", "technical_match")
-    c = verdicts_of(t, CANDIDATE, "candidate").where(F.col("error").isNotNull()).select(
+    r = stored_verdicts(t, RECRUITER, "recruiter").where(F.col("error").isNotNull()).select("key", "technical_match")
+    c = stored_verdicts(t, CANDIDATE, "candidate").where(F.col("error").isNotNull()).select(
         "key", F.size("themes_matched").cast("bigint").alias("n_themes"))
     p = verdicts_of(t, PRESCREEN, "prescreen").select("key", "decision")
     return r.join(c, "key").join(p, "key")

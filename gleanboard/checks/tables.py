@@ -18,9 +18,9 @@ from ..plans.ask import contexts
 from ..plans.collect import union_sources
 from ..plans.index import to_embed
 from ..schemas import POSTING, VERDICT_LISTS, conform
-from ..session import scratch_path
+from ..session import scratch_path, settle
 from ..sources import tables
-from .expressions import SCREEN_WEIGHTS, verdicts_of
+from .expressions import SCREEN_WEIGHTS, stored_verdicts, verdicts_of
 from .inputs import (DOCS, IDS, IDS_SQL, KEY_SQL, LABEL_QUERIES, LISTINGS, MATCHED, NOW, ORDER, ORDER_SQL,
                      SCORE_SQL, VERDICTS, candidate_sql, doc_postings, joined, joined_sql, label_queries, listings,
                      recruiter_sql, replies, vector_index)
@@ -88,8 +88,8 @@ def _(t: Inputs):
 
 def match_table(t: Inputs):
     """Scored postings as a match leaves them."""
-    r = verdicts_of(t, RECRUITER, "recruiter").withColumn("recruiter_score", recruiter_score()).drop("error")
-    c = verdicts_of(t, CANDIDATE, "candidate").withColumn("candidate_score", candidate_score())
+    r = stored_verdicts(t, RECRUITER, "recruiter").withColumn("recruiter_score", recruiter_score()).drop("error")
+    c = stored_verdicts(t, CANDIDATE, "candidate").withColumn("candidate_score", candidate_score())
     return joins.with_verdicts(doc_postings(t).select("key", "title", "employer_name", "city", "country", "description"),
                                c, r)
 
@@ -279,13 +279,13 @@ def _(t: Inputs):
 
 @check("b11_fail_open", f"WITH {VERDICTS} SELECT key, decision FROM r WHERE lower(decision) <> 'reject'")
 def _(t: Inputs):
-    v = verdicts_of(t, PRESCREEN, "prescreen")
+    v = stored_verdicts(t, PRESCREEN, "prescreen")
     return v.where(filters.not_rejected(F.col("decision"))).select("key", "decision")
 
 
 @check("b12_threshold", f"WITH {SCORED} SELECT key, recruiter_score FROM s WHERE recruiter_score >= 65")
 def _(t: Inputs):
-    v = verdicts_of(t, RECRUITER, "recruiter").withColumn("recruiter_score", recruiter_score())
+    v = stored_verdicts(t, RECRUITER, "recruiter").withColumn("recruiter_score", recruiter_score())
     return filters.at_least(v, "recruiter_score", 65).select("key", "recruiter_score")
 
 
@@ -404,8 +404,8 @@ def _(t: Inputs):
 @check("c3_candidate_join", f"""
 WITH {SCORED} SELECT key, CASE WHEN lower(decision) = 'reject' THEN -999 ELSE candidate_score END AS candidate_score FROM s""")
 def _(t: Inputs):
-    kept = verdicts_of(t, PRESCREEN, "prescreen").where(filters.not_rejected(F.col("decision"))).select("key")
-    c = verdicts_of(t, CANDIDATE, "candidate").withColumn("candidate_score", candidate_score())
+    kept = stored_verdicts(t, PRESCREEN, "prescreen").where(filters.not_rejected(F.col("decision"))).select("key")
+    c = stored_verdicts(t, CANDIDATE, "candidate").withColumn("candidate_score", candidate_score())
     c = joins.only_keys(c, kept)
     return doc_postings(t).select("key").join(c, "key", "left").select(
         "key", F.coalesce("candidate_score", F.lit(-999)).alias("candidate_score"))
@@ -550,7 +550,7 @@ def _(t: Inputs):
 WITH {MATCHED}, k AS (SELECT *, {KEY_SQL} AS key FROM merged), c AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM k)
 SELECT key, title, employer_name, city, array_to_string(found_on, ',') AS found_on FROM c WHERE n > 1""")
 def _(t: Inputs):
-    return duplicate_report(keyed(t)).withColumn("found_on", F.array_join("found_on", ","))
+    return duplicate_report(settle(keyed(t))).withColumn("found_on", F.array_join("found_on", ","))
 
 
 # -- ranks and cuts ------------------------------------------------------------------
@@ -581,7 +581,7 @@ WITH {SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rec
   count(*) OVER (PARTITION BY lang) AS n FROM s)
 SELECT key, lang, recruiter_score FROM c WHERE rn <= greatest(1, round_even(n * 30 / 100.0, 0))""")
 def _(t: Inputs):
-    v = verdicts_of(t, RECRUITER, "recruiter").withColumn("recruiter_score", recruiter_score())
+    v = stored_verdicts(t, RECRUITER, "recruiter").withColumn("recruiter_score", recruiter_score())
     v = v.join(replies(t).select("key", "lang", "doc_id"), "key")
     return ranking.top_percent(v, 30, [F.desc("recruiter_score"), F.asc("doc_id")], ["lang"]).select(
         "key", "lang", "recruiter_score")
@@ -636,7 +636,7 @@ def _(t: Inputs):
 @check("f8_table_order", f"""
 WITH {VERDICTS} SELECT key, row_number() OVER (ORDER BY doc_id) AS position FROM r WHERE lower(decision) <> 'reject'""")
 def _(t: Inputs):
-    kept = verdicts_of(t, PRESCREEN, "prescreen").where(filters.not_rejected(F.col("decision")))
+    kept = stored_verdicts(t, PRESCREEN, "prescreen").where(filters.not_rejected(F.col("decision")))
     rows = joins.only_keys(doc_postings(t), kept.select("key"))
     return ranking.global_rank(rows.select("key", "doc_id"), [F.asc("doc_id")], rank="position").select("key", "position")
 

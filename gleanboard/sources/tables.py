@@ -194,7 +194,7 @@ def profile_columns(text: str = "value", profile_id: str = "profile_id") -> list
 
 def read_profiles(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """One profile per file; the file name is its id."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         "value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("profile_id"))
     parsed = files.select(*profile_columns())
     if strict:
