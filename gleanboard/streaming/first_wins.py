@@ -18,20 +18,34 @@ from ..operators.dedupe import has_match_parts
 from ..operators.filters import effective_source
 
 
-def first_by_key(stream: DataFrame, time: str, keys: Sequence[str], lateness: str) -> DataFrame:
-    """One row per key. A copy later than ``lateness`` may come out again."""
-    return stream.withWatermark(time, lateness).dropDuplicatesWithinWatermark(list(keys))
+def first_by_key(stream: DataFrame, time: str, keys: Sequence[str], lateness: str, spread: int = 16) -> DataFrame:
+    """One row per key. A copy later than ``lateness`` may come out again.
+
+    Copies of a key are first thinned out in ``spread`` salted parts, so that
+    a key with very many copies does not fill one state partition's input.
+    """
+    keys = list(keys)
+    stream = stream.withWatermark(time, lateness)
+    if spread > 1:
+        others = [c for c in stream.columns if c not in keys]
+        stream = (stream.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(spread)))
+                  .dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt"))
+    return stream.dropDuplicatesWithinWatermark(keys)
 
 
 def partial_groups(batch: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Groups of one batch: first row by order and the distinct sources."""
+    """Groups of one batch: first row by order, distinct sources, copies.
+
+    A row with a blank part is a group of its own, as in the batch rule.
+    """
     payload = [c for c in batch.columns if c not in ("actor", "source_platform")]
-    alone = F.when(~has_match_parts(), F.struct(*order_by))
-    return (batch.select(match_key().alias("match_key"), alone.alias("alone"), F.struct(*order_by).alias("first_order"),
-                         F.struct(*payload).alias("first_row"), effective_source().alias("source"))
+    alone = F.when(~has_match_parts(), F.struct(*order_by, F.xxhash64(*batch.columns).alias("row")))
+    rest = [c for c in payload if c not in order_by]
+    return (batch.select(match_key().alias("match_key"), alone.alias("alone"), effective_source().alias("source"),
+                         F.struct(*order_by, *rest).alias("row"))
             .groupBy("match_key", "alone")
-            .agg(F.min("first_order").alias("first_order"), F.min_by("first_row", "first_order").alias("first_row"),
-                 F.collect_set("source").alias("sources")))
+            .agg(F.min("row").alias("first_row"), F.collect_set("source").alias("sources"),
+                 F.count(F.lit(1)).alias("copies")))
 
 
 class ProvenanceLog:
@@ -55,7 +69,9 @@ class ProvenanceLog:
     def read(self, spark: SparkSession) -> DataFrame:
         """The merged table of everything stored so far."""
         groups = spark.read.parquet(self.path)
-        return (groups.groupBy("match_key", "alone")
-                .agg(F.min_by("first_row", "first_order").alias("_first"),
-                     F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("found_on"))
+        merged = groups.groupBy("match_key", "alone").agg(
+            F.min("first_row").alias("_first"), F.sum("copies").alias("_n"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("found_on"))
+        copies = F.when(F.col("alone").isNotNull(), F.col("_n")).otherwise(F.lit(1)).cast("int")
+        return (merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
                 .select("match_key", "_first.*", "found_on"))
