@@ -25,6 +25,12 @@ def has_match_parts(columns: Sequence[str] = TRIPLE) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(match_text(F.col(c)) != "", F.lit(False)) for c in columns])
 
 
+def sort_prefix(*columns: str) -> Column:
+    """A hash put before the grouping columns. It decides nothing, but aggregates
+    that sort compare this number first and rarely the long texts behind it."""
+    return F.xxhash64(*columns).alias("_prefix")
+
+
 def first_row(df: DataFrame, order_by: Sequence[str | Column], payload: Sequence[str]) -> Column:
     """Aggregate: the payload of the row that comes first in ``order_by``.
 
@@ -66,7 +72,7 @@ def merge_across_sources(
     alone = F.when(~complete, F.struct(*order_by, F.xxhash64(*df.columns).alias("_row")))
     grouped = (
         shadowed.withColumn("_alone", alone).withColumn("_source", source)
-        .groupBy(*within, *parts, "_alone")
+        .groupBy(sort_prefix(*within, *parts, "_alone"), *within, *parts, "_alone")
         .agg(first_row(df, order_by, payload).alias("_first"),
              F.array_sort(F.collect_set("_source")).alias("found_on"),
              F.count(F.lit(1)).alias("_n"))
@@ -99,7 +105,7 @@ def keep_first(
     aggregates = [first_row(df, order_by, rest).alias("_first")] if rest else [F.count(F.lit(1)).alias("_n")]
     if merge_found_on:
         aggregates.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("found_on")))).alias("_all"))
-    out = df.groupBy(*by).agg(*aggregates)
+    out = df.groupBy(sort_prefix(*by), *by).agg(*aggregates)
     picked = [F.col(c) if c in by else
               (F.col("_all") if merge_found_on and c == "found_on" else F.col(f"_first.{c}")).alias(c)
               for c in kept]
