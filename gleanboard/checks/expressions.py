@@ -124,7 +124,7 @@ WITH e AS (SELECT event_id, CAST(ts AS DATE) AS day,
 
 def _posted(t: Inputs):
     i = F.col("event_id")
-    epoch = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    epoch = (F.unix_date(F.to_date("ts")).cast("bigint") * 86_400).cast("string")
     iso = F.date_format("ts", "yyyy-MM-dd")
     return t.events.select("event_id", F.when(i % 9 == 0, epoch).when(i % 9 == 1, F.concat(epoch, F.lit("000")))
                            .when(i % 9 == 2, iso)

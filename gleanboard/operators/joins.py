@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scores import RECRUITER_WEIGHTS
 
 
+# About 30 MB of hits: the most that is broadcast.
+SMALL_ROWS = 200_000
+
+
+def small_side(stored: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast hint for a stored table of few, short rows.
+
+    The rows are counted first, since Spark does not know the size of a
+    checkpointed table. A larger one is left to a shuffled join.
+    """
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
+def postings_of(hits: DataFrame, postings: DataFrame) -> DataFrame:
+    """The postings any stored hit points to. One scan of the big table, which
+    is not shuffled while the hits are few; later steps read only the result."""
+    return postings.join(small_side(hits.select("key")), "key", "left_semi")
+
+
 def rows_of_hits(hits: DataFrame, postings: DataFrame) -> DataFrame:
     """Full rows of the hits; ``rank`` carries the order."""
     return hits.join(postings, "key")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import answer_text
 from ..operators.filters import metadata_filter
-from ..operators.joins import rows_of_hits
+from ..operators.joins import postings_of, rows_of_hits
 from ..operators.nearest import search
 from ..operators.passes import Model, ask_model
 from ..session import settle
@@ -51,7 +51,8 @@ def ask(
     """
     allowed = metadata_filter(postings, city=city, country=country)
     hits = settle(search(scoped(index, allowed), questions.select("query_id", "embedding"), k))
-    texts = prompts(questions, hits, allowed).withColumnRenamed("prompt", "message")
+    found = settle(postings_of(hits, allowed))
+    texts = prompts(questions, hits, found).withColumnRenamed("prompt", "message")
     answers = ask_model(texts, model, ["query_id"], concurrency=concurrency).select(
         "query_id", F.col("reply").alias("answer"), F.col("call_error").alias("error"))
-    return answers, rows_of_hits(hits, allowed)
+    return answers, rows_of_hits(hits, found)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scores import CANDIDATE_WEIGHTS, RECRUITER_WEIGHTS, candidate_score, recruiter_score
 from ..functions.text import cv_message, posting_text, profile_message
 from ..operators.filters import at_least, not_rejected, recent
-from ..operators.joins import with_verdicts
+from ..operators.joins import postings_of, with_verdicts
 from ..operators.nearest import search
 from ..operators.passes import (CANDIDATE, PRESCREEN, PROFILE_CODING, RECRUITER, Model, PassSpec, ask_model,
                                 from_records, read_replies, score_pass, to_records)
@@ -110,6 +110,8 @@ def match(
     queries = profiles.select(F.col("profile_id").alias("query_id"), "embedding")
     hits = settle(search(scoped(index, postings), queries, settings.top_n)
                   .withColumnRenamed("query_id", "profile_id"))
+    # From here on every step works on the retrieved postings only.
+    postings = c.postings = settle(postings_of(hits, postings))
 
     screened = c.run_pass(c.cv_rows(hits, profiles), PRESCREEN, models.prescreen)
     survivors = hits.join(screened.where(not_rejected(F.col("decision"))), KEYS, "left_semi")

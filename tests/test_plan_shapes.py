@@ -69,3 +69,18 @@ def test_ranking_does_not_sort_a_table_in_one_task(spark):
     # The only single-task window runs over one count per partition.
     assert text.count("Exchange SinglePartition") <= 1
     assert "_rows" in text[text.index("Exchange SinglePartition"):] if "Exchange SinglePartition" in text else True
+
+
+def test_few_hits_do_not_shuffle_the_postings(spark):
+    from gleanboard.operators import joins
+
+    t = Inputs(spark, SF)
+    hits = nearest.search(vector_index(t), label_queries(t), 5).checkpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = plan(joins.postings_of(hits, doc_postings(t)))
+        many = plan(doc_postings(t).join(joins.small_side(hits.select("key"), rows=3), "key", "left_semi"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffles(few) == 0 and "BroadcastHashJoin" in few
+    assert "SortMergeJoin" in many or "ShuffledHashJoin" in many
