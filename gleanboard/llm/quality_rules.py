@@ -21,17 +21,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 SPACE = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
+SYMBOLS = r"[#*$%&|<>]"
 #: Labelled rows that are learned from, at most about this many (drawn by a hash of the id).
 LABELLED_ROWS = 20_000
-FEATURES = ["n_words", "word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "line_words", "digit_ratio", "upper_ratio"]
-
-
-def _without(text: Column, chars: str) -> Column:
-    """Code points of a text that are not in ``chars``."""
-    return F.char_length(F.translate(text, chars, ""))
+FEATURES = ["n_words", "word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "line_words"]
 
 
 def _repeat_words(words: Column) -> Column:
@@ -47,14 +44,12 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     full = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumns({
         "_words": F.filter(F.split(full, SPACE), lambda w: w != ""),
-        "_lines": F.filter(F.split(full, "\n"), lambda s: F.translate(s, SPACES, "") != ""),
-        "word_chars": _without(full, SPACES).cast("long"),
+        "_lines": F.filter(F.split(full, "\n"), lambda s: s.rlike(NOT_SPACE)),
         "_chars": F.char_length(full),
-        "n_symbols": (F.char_length(full) - _without(full, SYMBOLS)).cast("long"),
-        "_digits": F.char_length(full) - _without(full, "0123456789"),
-        "_uppers": F.char_length(full) - _without(full, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")})
+        "n_symbols": (F.char_length(full) - F.char_length(F.regexp_replace(full, SYMBOLS, ""))).cast("long")})
     df = df.withColumns({
         "n_words": F.size("_words").cast("long"),
+        "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)),
         "_n_lines": F.size("_lines"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_windows": F.sort_array(_repeat_words(F.col("_words")))}).drop("_words", "_lines")
@@ -69,8 +64,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({
         "word_length": share("word_chars", "n_words"), "symbol_ratio": share("n_symbols", "_chars"),
         "dup_line_ratio": share("n_dup_lines", "_n_lines"), "repeat_ratio": share("n_repeat_words", "n_words"),
-        "line_words": share("n_words", "_n_lines"), "digit_ratio": share("_digits", "_chars"),
-        "upper_ratio": share("_uppers", "_chars")}).drop("_chars", "_n_lines", "_digits", "_uppers")
+        "line_words": share("n_words", "_n_lines")}).drop("_chars", "_n_lines")
 
 
 def base_failed() -> Column:
@@ -134,6 +128,7 @@ def learn(stats: DataFrame, doc_id: str = "doc_id", label: str = "_label", featu
     points = [i / bins for i in range(1, bins)]
     stats = stats.select(F.xxhash64(F.col(doc_id), F.lit("half")).alias("_h"), (F.col(label) == 0).alias("_bad"),
                          *(F.col(n).cast("double").alias(n) for n in names))
+    stats = settle(stats)  # a few numbers of each labelled row, read twice
     edges = stats.agg(*(F.percentile(n, points).alias(n) for n in names)).head()
     cuts = {n: sorted({e for e in (edges[n] or []) if e is not None}) for n in names}
     bin_of = lambda n: F.aggregate(
@@ -152,7 +147,14 @@ def learn(stats: DataFrame, doc_id: str = "doc_id", label: str = "_label", featu
         found.append(Rule([(names[f], at_most, cuts[names[f]][k]) for f, at_most, k in terms], round(good[0], 4)))
         grow = [c for c in grow if not _covers(terms, c[0])]
         prune = [c for c in prune if not _covers(terms, c[0])]
-    return DecisionList(found)
+    return DecisionList([_centre(r, stats) for r in found])
+
+
+def _centre(rule: Rule, stats: DataFrame) -> Rule:
+    """Moves every threshold half way from the last good bin to the bad documents that it covers."""
+    bad = stats.where(rule.column() & F.col("_bad")).agg(*(
+        F.percentile(n, 0.98 if at_most else 0.02).alias(str(i)) for i, (n, at_most, _) in enumerate(rule.conditions))).head()
+    return Rule([(n, m, t if bad[i] is None else (t + bad[i]) / 2) for i, (n, m, t) in enumerate(rule.conditions)], rule.precision)
 
 
 def _covers(terms, cell) -> bool:
