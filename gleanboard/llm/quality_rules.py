@@ -55,7 +55,9 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         "_windows": F.sort_array(_repeat_words(F.col("_words")))}).drop("_words", "_lines")
     twice = F.transform("_windows", lambda x, i: F.when(
         (F.get("_windows", i - 1)["h"] == x["h"]) | (F.get("_windows", i + 1)["h"] == x["h"]), x["p"]))
-    df = df.withColumn("_starts", F.sort_array(F.filter(twice, lambda p: p.isNotNull()))).drop("_windows")
+    # A filter on the results must not move below this step, or it would repeat the work for every word.
+    df = df.withColumn("_starts", F.when(F.monotonically_increasing_id() >= 0, F.sort_array(
+        F.filter(twice, lambda p: p.isNotNull())))).drop("_windows")
     covered = F.aggregate(
         F.transform("_starts", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_starts", i + 1) - p, F.lit(3)))),
         F.lit(0), lambda n, x: n + x)
@@ -117,9 +119,9 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label:
 
 
 def learn(stats: DataFrame, doc_id: str = "doc_id", label: str = "_label", features: list[str] | None = None,
-          max_rules: int = 8, max_conditions: int = 3, bins: int = 32, min_cover: int = 8,
+          among: Column | None = None, max_rules: int = 8, max_conditions: int = 3, bins: int = 32, min_cover: int = 8,
           precision: float = 0.9) -> DecisionList:
-    """Sequential covering over labelled statistics (label 0 is bad).
+    """Sequential covering over labelled statistics (label 0 is bad), of rows that hold ``among``.
 
     Spark bins every feature at its exact quantiles and counts equal rows; the
     covering works on these counts, of which there are no more than labelled rows.
@@ -127,8 +129,9 @@ def learn(stats: DataFrame, doc_id: str = "doc_id", label: str = "_label", featu
     names = FEATURES if features is None else features
     points = [i / bins for i in range(1, bins)]
     stats = stats.select(F.xxhash64(F.col(doc_id), F.lit("half")).alias("_h"), (F.col(label) == 0).alias("_bad"),
+                         (F.lit(True) if among is None else among).alias("_use"),
                          *(F.col(n).cast("double").alias(n) for n in names))
-    stats = settle(stats)  # a few numbers of each labelled row, read twice
+    stats = settle(stats).where("_use")  # a few numbers of each labelled row, read more than once
     edges = stats.agg(*(F.percentile(n, points).alias(n) for n in names)).head()
     cuts = {n: sorted({e for e in (edges[n] or []) if e is not None}) for n in names}
     bin_of = lambda n: F.aggregate(

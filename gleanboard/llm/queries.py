@@ -15,7 +15,7 @@ __all__ = ["ORACLES", "QUERIES"]
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     sample = quality_rules.with_stats(quality_rules.labelled(docs, table(spark, folder, "labels")))
-    rules = quality_rules.learn(sample.where(~quality_rules.base_failed()))
+    rules = quality_rules.learn(sample, among=~quality_rules.base_failed())
     judged = quality_rules.with_stats(docs).withColumn("base_failed", quality_rules.base_failed())
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
