@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, packing, quality_rules, substring_dedup
+from . import chat_format, jaccard_join, mixing, packing, quality_rules, substring_dedup
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -29,6 +29,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op3_mixing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
+
+
 def word_bpe() -> str:
     """The given vocabulary file."""
     import public_tokenizers
