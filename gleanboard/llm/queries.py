@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, mixing, packing, quality_rules, substring_dedup
+from . import chat_format, jaccard_join, language_id, mixing, packing, quality_rules, substring_dedup
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,6 +74,17 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         (~F.col("base_failed") & rules.keeps()).alias("kept"), rules.fired().alias("rule"))
 
 
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs.where(~held_out()))
+    return language_id.predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op9_chat_format", """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
