@@ -40,7 +40,8 @@ from ..session import scratch_path, settle
 from . import graph
 from .words import U, WordHasher, mix, mix_one, shingle_sets
 
-SKETCH_WORDS = 8
+#: Least length of a whole sketch, in words of 64 bits; it grows with the set, two bits for a shingle.
+SKETCH_WORDS = 4
 BAND = 1.6
 #: A shingle in more than one of so many documents stays out of the sketches; at most
 #: COMMON x the mean set size of such shingles can exist, whatever the corpus holds.
@@ -79,30 +80,50 @@ class Keys:
 
     def _layout(self, s: np.ndarray, rare: np.ndarray, band: int, d: int) -> list[np.ndarray]:
         blocks = int(1.24 * (1 + 1 / self.share) * self.differ * self.edges[band + 1]) + 2  # 1.24 x the largest d
-        first = self._blocks(rare, blocks, mix_one(3 * band))
-        out = [_prefix(first, d + 1)]
-        if len(first) <= d:
-            second = self._blocks(s, blocks, mix_one(3 * band + 1))
-            out.append(_prefix(second, d + 1))
-            if len(second) <= d:
-                out.append(_prefix(mix(s ^ U(mix_one(3 * band + 2))), len(s) - int(np.ceil(self.share * len(s) - 1e-9)) + 1))
+        # From the most telling keys to the least: a document goes on while it has d keys or fewer.
+        # Of two similar ones, one that stopped earlier has more than d, so they meet there.
+        out = []
+        for step, (some, bits) in enumerate(((rare, 2), (rare, 1), (s, 1))):
+            keys = self._blocks(some, blocks, bits, mix_one(4 * band + step))
+            out.append(_prefix(keys, d + 1))
+            if len(keys) > d:
+                return out
+        out.append(_prefix(mix(s ^ U(mix_one(4 * band + 3))), len(s) - int(np.ceil(self.share * len(s) - 1e-9)) + 1))
         return out
 
-    def _blocks(self, s: np.ndarray, blocks: int, salt: int) -> np.ndarray:
-        """A key for every non-zero block of the sketch of ``s``."""
+    def _blocks(self, s: np.ndarray, blocks: int, bits: int, salt: int) -> np.ndarray:
+        """A key for every block of the sketch of ``s`` with so many bits."""
         words = parity(s, blocks, salt)
-        at = np.flatnonzero(words)
+        at = np.flatnonzero(np.bitwise_count(words) >= bits)
         return mix(words[at] + mix(at.astype(U) + U(salt)))
 
 
 def parity(s: np.ndarray, words: int, salt: int) -> np.ndarray:
     """``words`` 64-bit words in which every shingle has flipped one bit."""
     bits = 64 * words
-    at = ((mix(s ^ U(salt)) >> U(32)) * U(bits)) >> U(32)
+    h = mix(s ^ U(salt))
+    at = h & U(bits - 1) if words & (words - 1) == 0 else ((h >> U(32)) * U(bits)) >> U(32)
     odd = np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(U)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The whole sketch: a power of two of words, so that a longer one folds into a shorter one."""
+    words = SKETCH_WORDS
+    while 32 * words < len(s):
+        words *= 2
+    return parity(s, words, 99).tobytes()
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ, at the length of the shorter one."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _prefix(keys: np.ndarray, n: int) -> np.ndarray:
     return keys if len(keys) <= n else np.partition(keys, n - 1)[:n]
 
@@ -127,7 +148,7 @@ def _profile(width: int):
             for s in _sets(batch, hasher, width):
                 sizes.append(len(s))
                 nodes.append(fingerprint(s) if len(s) else None)
-                sketches.append(parity(s, SKETCH_WORDS, 99).view(np.int64).tolist() if len(s) else None)
+                sketches.append(sketch(s) if len(s) else None)
                 sets.append(s)
             yield _rows(batch.column("doc_id"), sizes, nodes, sketches)
             # Lossy counting: what stays below one in 2 x COMMON documents of the task is forgotten.
@@ -136,13 +157,13 @@ def _profile(width: int):
             total = np.bincount(inverse, weights=np.concatenate([counts, np.ones(len(inverse) - len(counts))]), minlength=len(both))
             stay = total > max(1.0, seen / (2 * COMMON))
             keys, counts = both[stay], total[stay].astype(np.int64)
-        yield _rows(pa.nulls(len(keys), pa.int64()), counts.tolist(), keys.view(np.int64).tolist(), [[]] * len(keys))
+        yield _rows(pa.nulls(len(keys), pa.int64()), counts.tolist(), keys.view(np.int64).tolist(), [b""] * len(keys))
     return run
 
 
 def _rows(ids, sizes, nodes, sketches) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
+        [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())],
         names=["doc_id", "n", "node", "sketch"])
 
 
@@ -207,14 +228,17 @@ def _shared(share_pct: int):
 def _across(share_pct: int):
     """From rows in order of key: pairs of different components whose sketches allow a link."""
     def pairs(rows: list[tuple]) -> list[tuple]:
-        node, comp, n, sketch = zip(*rows, strict=True)
+        node, comp, n, sketches = zip(*rows, strict=True)
         node, comp, n = np.array(node), np.array(comp), np.array(n)
-        bits = np.array(sketch, dtype=np.int64).view(U)
+        bits = [np.frombuffer(x, dtype=U) for x in sketches]
+        short = np.array([np.bitwise_xor.reduce(x.reshape(-1, SKETCH_WORDS), axis=0) for x in bits])  # all of one length
         found = []
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= share_pct * np.maximum(n[j], n[i]))]
-            far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+            far = np.bitwise_count(short[j] ^ short[i]).sum(axis=1, dtype=np.int64)
+            j = j[far * (100 + share_pct) <= (n[j] + n[i]) * (100 - share_pct)]
+            far = np.array([distance(bits[i], bits[k]) for k in j], dtype=np.int64)
             j = j[far * (100 + share_pct) <= (n[j] + n[i]) * (100 - share_pct)]
             found += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j]
         return found
@@ -266,14 +290,14 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     share = share_pct / 100
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     folder = scratch_path(spark, f"jaccard-{uuid.uuid4().hex[:8]}")
-    texts.mapInArrow(_profile(width), "doc_id long, n long, node long, sketch array<long>").write.parquet(f"{folder}/profile")
+    texts.mapInArrow(_profile(width), "doc_id long, n long, node long, sketch binary").write.parquet(f"{folder}/profile")
     profile = spark.read.parquet(f"{folder}/profile")
-    known = profile.where("sketch is null or size(sketch) > 0")
+    known = profile.where("sketch is null or length(sketch) > 0")
     nodes = known.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
 
     limit = max(known.count() / COMMON, 3)
-    often = (profile.where("size(sketch) = 0").groupBy("node").agg(F.sum("n").alias("n"))
+    often = (profile.where("length(sketch) = 0").groupBy("node").agg(F.sum("n").alias("n"))
              .where(F.col("n") > limit).select("node").collect())  # at most COMMON x the mean set size
     common = np.sort(np.array([r["node"] for r in often], dtype=np.int64).view(U))
 
@@ -315,14 +339,21 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return documents, links
 
 
-def _sketched(pairs: DataFrame, nodes: DataFrame, share_pct: int) -> DataFrame:
+def _near(share_pct: int):
     """Pairs whose sketches differ in no more bits than similar sets may."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            far = np.array([distance(np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U))
+                            for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True)], dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(far * (100 + share_pct) <= n * (100 - share_pct)))
+    return run
+
+
+def _sketched(pairs: DataFrame, nodes: DataFrame, share_pct: int) -> DataFrame:
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    far = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(1, SKETCH_WORDS)),
-              F.bit_count(F.col("s_a")[0].bitwiseXOR(F.col("s_b")[0])))
-    return (pairs.join(a, "a").join(b, "b")
-            .where(far * (100 + share_pct) <= (F.col("n_a") + F.col("n_b")) * (100 - share_pct)).select("a", "b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(share_pct), "a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, share_pct: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, jaccard_join, language_id, mixing, packing, quality_rules, substring_dedup
+from . import chat_format, embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, substring_dedup
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -126,3 +126,14 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         "formatted_chars")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(~held_out())
+    # Grades: 0 toxic, 1 low quality, 2 good.
+    ratings = labels.select("doc_id", F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality")).alias("grade"))
+    model = quality_classifier.learn(docs, ratings)
+    return quality_classifier.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "expected_grade", "tail", (F.col("tail") >= 0.5).alias("kept"))
