@@ -1,5 +1,78 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline of five stages over the table of documents.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of documents. ``run`` writes each stage's result to the
+shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanboard.llm import jaccard_join, language_id, mixing, packing, substring_dedup
+from gleanboard.llm.queries import word_bpe
+from gleanboard.session import scratch_path
+
+#: A document whose best language has a smaller share is rejected.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sets ``lang`` to the predicted language; documents without one, or of no dominant one, go."""
+    model = language_id.learn(docs)
+    judged = language_id.predict(docs, model, keep=tuple(docs.columns), text="text")
+    kept = judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of documents that share 80 % of their 5-word shingles, the smallest id stays."""
+    groups, _ = jaccard_join.jaccard_groups(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts words that windows of 50 repeat from a document of smaller id; a document left without words goes."""
+    cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select(
+        F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_tag"])
+    tagged = docs.withColumn("_own", F.xxhash64("text"))
+    joined = tagged.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_tag")), "left")
+    text = F.coalesce("_kept", "text")
+    return joined.where(F.coalesce(F.col("_kept") != "", F.lit(True))).select(
+        *(text.alias("text") if c == "text" else F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast("long")).otherwise(
+            F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target asks."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, word_bpe())
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeats", repeats),
+    ("mixture", mixture),
+    ("packed", packed),
+]
+
+#: The stages learn, tilt and pack; SQL cannot express them. Tests hold each against a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, substring_dedup
+from . import (
+    chat_format,
+    embedding_dedup,
+    html_extraction,
+    jaccard_join,
+    language_id,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+)
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -29,6 +40,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op2_html_extraction")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op3_mixing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select(
