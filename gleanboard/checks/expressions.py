@@ -271,7 +271,7 @@ def _(t: Inputs):
 
 @check("h21_answer_text", f"""
 WITH {DOCS} SELECT key, {_POSTING_SQL} || 'Posted: ' || strftime(posted_at, '%y/%m/%d') || chr(10) ||
-  'Description: ' || substr(description, 1, 10000) AS body FROM p""")
+  'Description: ' || description AS body FROM p""")
 def _(t: Inputs):
     return doc_postings(t).select("key", text.answer_text().alias("body"))
 

@@ -118,6 +118,7 @@ LABEL_QUERIES = """
 q AS (SELECT 'p' || label AS query_id, label, arg_min(embedding, vec_id) AS q_emb FROM embeddings GROUP BY label)
 """
 SCORE_SQL = "round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q_emb AS DOUBLE[])), 6)"
+CUT_SQL = SCORE_SQL.replace(", 6)", ", 12)")
 
 RATING_FACTORS = {"technical_match": 3, "seniority_match": 5, "transferability": 7, "trajectory": 11,
                   "soft_skills": 13}

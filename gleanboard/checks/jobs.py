@@ -27,7 +27,7 @@ from ..streaming.incremental_index import index_stream
 from ..streaming.ingest import landing_stream, write_postings
 from .boards import ALLJOBS_SQL, _alljobs, _xing, shown
 from .expressions import SCREEN_WEIGHTS
-from .inputs import (DOCS, IDS, IDS_SQL, KEY_SQL, LABEL_QUERIES, LISTINGS, MATCHED, NOW, ORDER, ORDER_SQL, SCORE_SQL,
+from .inputs import (DOCS, IDS, IDS_SQL, KEY_SQL, LABEL_QUERIES, LISTINGS, MATCHED, NOW, ORDER, ORDER_SQL, CUT_SQL, SCORE_SQL,
                      VERDICTS, candidate_sql, doc_postings, joined, joined_sql, label_queries, listings, recruiter_sql,
                      vector_index)
 from .registry import Inputs, check
@@ -104,7 +104,7 @@ def match_sql(top_n: int = 200, keep_pct: float = 30, where: str = "TRUE", weigh
     return f"""
 WITH {LABEL_QUERIES}, {DOCS},
 h AS (SELECT * FROM (SELECT query_id AS profile_id, label, p.*, {SCORE_SQL} AS score, row_number() OVER (
-    PARTITION BY query_id ORDER BY {SCORE_SQL} DESC, key) AS hit_rank
+    PARTITION BY query_id ORDER BY {CUT_SQL} DESC, key) AS hit_rank
   FROM (SELECT vec_id, embedding FROM embeddings) e JOIN p ON vec_id = doc_id, q WHERE {where}) WHERE hit_rank <= {top_n}),
 screened AS (SELECT h.*, description AS text FROM h WHERE doc_id % 37 = 0 OR (doc_id * 7 + label) % 5 <> 0),
 rated AS (SELECT *, {', '.join(f"CAST(CASE WHEN doc_id % 37 = 1 THEN 0 ELSE (doc_id * {f} + n_chars + label) % 11 END AS INTEGER) AS {n}"
@@ -260,7 +260,7 @@ def questions(t: Inputs):
 ASK = f"""
 WITH {LABEL_QUERIES}, {DOCS},
 h AS (SELECT * FROM (SELECT query_id, label, p.*, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY query_id
-  ORDER BY {SCORE_SQL} DESC, key) AS rank FROM (SELECT vec_id, embedding FROM embeddings) e JOIN p ON vec_id = doc_id, q
+  ORDER BY {CUT_SQL} DESC, key) AS rank FROM (SELECT vec_id, embedding FROM embeddings) e JOIN p ON vec_id = doc_id, q
   WHERE city = 'en') WHERE rank <= 50)
 """
 
@@ -280,7 +280,7 @@ def _(t: Inputs):
 @check("k6_ask_prompts", ASK + """
 SELECT query_id, 'Context:' || chr(10) || chr(10) || string_agg('Title: ' || title || chr(10) || 'Company: ' || employer_name || chr(10) ||
   'Location: ' || city || ', ' || coalesce(country, 'None') || chr(10) || 'Posted: ' || strftime(posted_at, '%y/%m/%d') ||
-  chr(10) || 'Description: ' || substr(description, 1, 10000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)
+  chr(10) || 'Description: ' || description, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)
   || chr(10) || chr(10) || 'Question: what about ' || label AS prompt FROM h GROUP BY query_id, label""")
 def _(t: Inputs):
     from ..operators.filters import metadata_filter

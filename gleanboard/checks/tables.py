@@ -22,7 +22,7 @@ from ..session import scratch_path, settle
 from ..sources import tables
 from .expressions import SCREEN_WEIGHTS, stored_verdicts, verdicts_of
 from .inputs import (DOCS, IDS, IDS_SQL, KEY_SQL, LABEL_QUERIES, LISTINGS, MATCHED, NOW, ORDER, ORDER_SQL,
-                     SCORE_SQL, VERDICTS, candidate_sql, doc_postings, joined, joined_sql, label_queries, listings,
+                     CUT_SQL, SCORE_SQL, VERDICTS, candidate_sql, doc_postings, joined, joined_sql, label_queries, listings,
                      recruiter_sql, replies, vector_index)
 from .registry import Inputs, check
 
@@ -387,7 +387,7 @@ def _(t: Inputs):
 
 HITS = LABEL_QUERIES + f""",
 hits AS (SELECT * FROM (SELECT query_id, 'd' || vec_id AS key, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY query_id
-  ORDER BY {SCORE_SQL} DESC, 'd' || vec_id) AS rank FROM embeddings, q) WHERE rank <= 20)
+  ORDER BY {CUT_SQL} DESC, 'd' || vec_id) AS rank FROM embeddings, q) WHERE rank <= 20)
 """
 
 
@@ -442,7 +442,7 @@ NEIGHBOURS = """
 SELECT * FROM (SELECT 'd' || b.vec_id AS query_id, 'd' || a.vec_id AS key,
   round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score,
   row_number() OVER (PARTITION BY b.vec_id ORDER BY round(list_dot_product(CAST(a.embedding AS DOUBLE[]),
-    CAST(b.embedding AS DOUBLE[])), 6) DESC, 'd' || a.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= 10"""
+    CAST(b.embedding AS DOUBLE[])), 12) DESC, 'd' || a.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= 10"""
 
 
 @check("c9_similarity_join", NEIGHBOURS)
@@ -453,7 +453,7 @@ def _(t: Inputs):
 
 @check("c10_scoped_search", f"""
 WITH {LABEL_QUERIES}, {DOCS} SELECT * FROM (SELECT query_id, key, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY query_id
-  ORDER BY {SCORE_SQL} DESC, key) AS rank FROM embeddings JOIN p ON vec_id = doc_id, q WHERE p.city = 'en') WHERE rank <= 10""")
+  ORDER BY {CUT_SQL} DESC, key) AS rank FROM embeddings JOIN p ON vec_id = doc_id, q WHERE p.city = 'en') WHERE rank <= 10""")
 def _(t: Inputs):
     from ..plans.index import scoped
 
@@ -522,7 +522,7 @@ def _(t: Inputs):
 @check("d8_context", f"""
 WITH {HITS}, {DOCS} SELECT query_id, string_agg('Title: ' || title || chr(10) || 'Company: ' || employer_name || chr(10) ||
   'Location: ' || city || ', ' || coalesce(country, 'None') || chr(10) || 'Posted: ' || strftime(posted_at, '%y/%m/%d') ||
-  chr(10) || 'Description: ' || substr(description, 1, 10000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
+  chr(10) || 'Description: ' || description, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
 FROM hits JOIN p USING (key) GROUP BY query_id""")
 def _(t: Inputs):
     return contexts(hits_of(t), doc_postings(t))
@@ -558,7 +558,7 @@ def _(t: Inputs):
 @check("f1_top_k_one", """
 WITH v AS (SELECT arg_min(embedding, vec_id) AS q_emb FROM embeddings)
 SELECT 'd' || vec_id AS key, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q_emb AS DOUBLE[])), 6) AS score
-FROM embeddings, v ORDER BY score DESC, key LIMIT 25""")
+FROM embeddings, v ORDER BY round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q_emb AS DOUBLE[])), 12) DESC, key LIMIT 25""")
 def _(t: Inputs):
     first = t.embeddings.agg(F.min_by("embedding", "vec_id").alias("v")).first()["v"]
     return nearest.search_one(vector_index(t), first, 25)

@@ -29,7 +29,8 @@ def posting_key() -> Column:
 def match_key() -> Column:
     """SHA-1 of the normalised employer, title and city; same on every run."""
     parts = [F.coalesce(match_text(F.col(c)), F.lit("")) for c in ("employer_name", "title", "city")]
-    return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 32)
+    # Each part with its length, so that no two triples are written alike.
+    return F.substring(F.sha1(F.concat_ws("|", *[F.concat(F.char_length(p).cast("string"), F.lit(":"), p) for p in parts])), 1, 32)
 
 
 def metadata(columns: list[str], filterable: list[str] = FILTERABLE) -> Column:

@@ -132,14 +132,17 @@ def posting_text(max_description: int | None = None) -> Column:
     )
 
 
-def answer_text(max_description: int = 10_000) -> Column:
-    """The posting as shown to question answering; bounds the context size."""
+def answer_text(max_description: int | None = None) -> Column:
+    """The posting as shown to question answering (whole description by default)."""
+    description = shown(F.col("description"))
+    if max_description is not None:
+        description = F.substring(description, 1, max_description)
     return F.concat(
         F.lit("Title: "), shown(F.col("title")),
         F.lit("\nCompany: "), shown(F.col("employer_name")),
         F.lit("\nLocation: "), shown(F.col("city")), F.lit(", "), shown(F.col("country")),
         F.lit("\nPosted: "), shown(F.date_format("posted_at", "yy/MM/dd")),
-        F.lit("\nDescription: "), F.substring(shown(F.col("description")), 1, max_description),
+        F.lit("\nDescription: "), description,
     )
 
 

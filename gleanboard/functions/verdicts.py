@@ -8,22 +8,24 @@ from ..schemas import RATINGS, THEME_LISTS, VERDICT_LISTS
 
 RELAXED = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true",
            "allowComments": "true", "allowNonNumericNumbers": "true"}
-TRAILING_COMMA = r",(\s*[}\]])"
+# A quoted text as it stands, or a comma before a closing bracket.
+QUOTED_OR_COMMA = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|\'[^\'\\]*+(?:\\.[^\'\\]*+)*+\')|,(?=\s*[}\]])'
 UNREADABLE = "could not parse model JSON output"
 NUMERIC_TYPES = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 
 def loose_json(text: Column) -> Column:
-    """Parse strictly, then relaxed, then without trailing commas.
+    """Parse strictly, then relaxed, then without trailing commas (commas inside
+    quoted texts stay).
 
     Gives a variant, null where no form parses or the text does not end like
     a JSON object.
     """
-    whole = F.when(F.rtrim(text).endswith("}") | text.rlike(r"(?:\*/|//[^\n]*)\s*$"), text)
+    whole = F.when(text.rlike(r"(?:\}|\*/|//[^\n]*)\s*$"), text)
     return F.coalesce(
         F.try_parse_json(whole),
         F.from_json(whole, "variant", RELAXED),
-        F.from_json(F.regexp_replace(whole, TRAILING_COMMA, "$1"), "variant", RELAXED),
+        F.from_json(F.regexp_replace(whole, QUOTED_OR_COMMA, "$1"), "variant", RELAXED),
     )
 
 

@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType, DoubleType
 
 from ..functions.vectors import cosine
+from ..session import settle
 from .ranking import top_k, top_k_per_group
 
 TILE = 4_000_000            # scores held at once by a task
 QUERY_BLOCK_BYTES = 32 << 20  # bound of what is broadcast
-DIGITS = 6
+DIGITS = 6   # of the scores that are shown
+CUT_DIGITS = 12  # of the scores that decide: equal vectors must tie whatever the order of the sums
 
 
 def search_one(index: DataFrame, vector: list[float], k: int = 5, digits: int = DIGITS) -> DataFrame:
@@ -30,9 +32,15 @@ def search_one(index: DataFrame, vector: list[float], k: int = 5, digits: int =
     The vector is a constant of the plan and the cut is Spark's own top-k.
     """
     query = F.array(*[F.lit(float(x)) for x in vector])
-    score = F.round(cosine(F.col("embedding"), query), digits)
-    hits = index.where(F.col("embedding").isNotNull()).select("key", score.alias("score"))
-    return top_k(hits, best_first(), k)
+    score = F.round(cosine(F.col("embedding"), query), CUT_DIGITS)
+    hits = index.where(usable()).select("key", score.alias("score"))
+    return top_k(hits, best_first(), k).withColumn("score", F.round("score", digits))
+
+
+def usable(column: str = "embedding") -> Column:
+    """True for vectors without null, NaN or infinite items."""
+    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(~bad, F.lit(False))
 
 
 def best_first() -> list[Column]:
@@ -42,8 +50,8 @@ def best_first() -> list[Column]:
 class _Best:
     """The k best (score, key) of each query seen so far by one task."""
 
-    def __init__(self, queries: np.ndarray, k: int, digits: int):
-        self.queries, self.k, self.digits = queries, k, digits
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
         self.floor = np.full(len(queries), -np.inf)
         self.kept: list[pd.DataFrame] = []
         self.pending = 0
@@ -54,7 +62,7 @@ class _Best:
             return
         step = max(1, TILE // n)
         for lo in range(0, len(self.queries), step):
-            scores = np.round(self.queries[lo:lo + step] @ vectors.T, self.digits)
+            scores = np.round(self.queries[lo:lo + step] @ vectors.T, CUT_DIGITS)
             floor = self.floor[lo:lo + step]
             if n > self.k:
                 floor = np.maximum(floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
@@ -80,6 +88,9 @@ class _Best:
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of different lengths cannot be compared")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
@@ -90,32 +101,34 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, key, score) for every query of a table.
 
-    ``index`` has key and embedding, ``queries`` query_id and embedding. The
-    query vectors are measured first: up to ``block_bytes`` they are broadcast
+    ``index`` has key and embedding, ``queries`` query_id and embedding; vectors
+    with null, NaN or infinite items are left out. The queries are evaluated once
+    and measured, with their ids and their k winners: up to ``block_bytes`` they are broadcast
     and the index is not moved; beyond that both sides are cut into blocks
     that meet by an equi-join of block numbers.
     """
-    index = index.where(F.col("embedding").isNotNull()).select("key", "embedding")
-    queries = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    total = (size["n"] or 0) * (size["d"] or 0) * 8
+    index = index.where(usable()).select("key", "embedding")
+    queries = settle(queries.where(usable()).select("query_id", "embedding"))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"),
+                       F.sum(F.length(F.col("query_id").cast("string"))).alias("ids")).first()
+    total = (size["n"] or 0) * (size["d"] or 0) * 8 + (size["ids"] or 0) + (size["n"] or 0) * k * 24
     schema = StructType([queries.schema["query_id"], index.schema["key"], StructField("score", DoubleType())])
     if total <= block_bytes:
-        partial = _scan(index, queries, k, digits, schema)
+        partial = _scan(index, queries, k, schema)
     else:
-        partial = _blocks(index, queries, k, digits, schema, total, size["d"] * 8, block_bytes)
+        partial = _blocks(index, queries, k, schema, total, size["d"] * 8, block_bytes)
     hits = top_k_per_group(partial, ["query_id"], best_first(), k)
-    return hits.select("query_id", "rank", "key", "score")
+    return hits.select("query_id", "rank", "key", F.round("score", digits).alias("score"))
 
 
-def _scan(index, queries, k, digits, schema) -> DataFrame:
+def _scan(index, queries, k, schema) -> DataFrame:
     table = queries.toArrow()
     shared = index.sparkSession.sparkContext.broadcast(
         (table.column("query_id").to_pylist(), _matrix(table.column("embedding"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
-        best = _Best(matrix, k, digits)
+        best = _Best(matrix, k)
         for batch in batches:
             if matrix.size:
                 keys = np.array(batch.column(0).to_pylist(), dtype=object)
@@ -131,7 +144,7 @@ def _scan(index, queries, k, digits, schema) -> DataFrame:
     return index.mapInArrow(run, schema)
 
 
-def _blocks(index, queries, k, digits, schema, total, row_bytes, block_bytes) -> DataFrame:
+def _blocks(index, queries, k, schema, total, row_bytes, block_bytes) -> DataFrame:
     n_query_blocks = math.ceil(total / block_bytes)
     n_index_blocks = max(1, math.ceil(index.count() * row_bytes / block_bytes))
 
@@ -146,7 +159,7 @@ def _blocks(index, queries, k, digits, schema, total, row_bytes, block_bytes) ->
     def pair(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if vectors.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "key": [], "score": []})
-        best = _Best(np.stack(asked["embedding"]).astype(np.float64), k, digits)
+        best = _Best(np.stack(asked["embedding"]).astype(np.float64), k)
         best.add(vectors["key"].to_numpy(dtype=object), np.stack(vectors["embedding"]).astype(np.float64))
         rows = best.cut()
         ids = asked["query_id"].to_numpy(dtype=object)[rows["q"].to_numpy(dtype=np.int64)]

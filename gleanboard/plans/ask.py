@@ -15,14 +15,12 @@ from .index import scoped
 # Separators of the context and the question.
 BETWEEN = "\n\n---\n\n"
 TOP_K = 50
-MAX_DESCRIPTION = 10_000
 
 
-def contexts(hits: DataFrame, postings: DataFrame, max_description: int = MAX_DESCRIPTION) -> DataFrame:
+def contexts(hits: DataFrame, postings: DataFrame, max_description: int | None = None) -> DataFrame:
     """(query_id, context): the formatted postings of a question in rank order.
 
-    A group holds at most k texts, each cut to ``max_description``, so the
-    aggregation buffer has a bound whatever the size of the table.
+    A group holds at most k texts, whole unless ``max_description`` is given.
     """
     texts = rows_of_hits(hits, postings).select("query_id", "rank", answer_text(max_description).alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
@@ -31,7 +29,7 @@ def contexts(hits: DataFrame, postings: DataFrame, max_description: int = MAX_DE
 
 
 def prompts(questions: DataFrame, hits: DataFrame, postings: DataFrame,
-            max_description: int = MAX_DESCRIPTION) -> DataFrame:
+            max_description: int | None = None) -> DataFrame:
     """(query_id, prompt) of every question, also of one without a hit."""
     found = contexts(hits, postings, max_description)
     return questions.join(found, "query_id", "left").select("query_id", F.concat(
@@ -49,10 +47,11 @@ def ask(
     The place filter and the scope are applied before scoring. Sources carry
     rank and score.
     """
+    questions = settle(questions)  # a model may have made their vectors
     allowed = metadata_filter(postings, city=city, country=country)
     hits = settle(search(scoped(index, allowed), questions.select("query_id", "embedding"), k))
     found = settle(postings_of(hits, allowed))
     texts = prompts(questions, hits, found).withColumnRenamed("prompt", "message")
-    answers = ask_model(texts, model, ["query_id"], concurrency=concurrency).select(
-        "query_id", F.col("reply").alias("answer"), F.col("call_error").alias("error"))
+    answers = settle(ask_model(texts, model, ["query_id"], concurrency=concurrency).select(
+        "query_id", F.col("reply").alias("answer"), F.col("call_error").alias("error")))
     return answers, rows_of_hits(hits, found)

@@ -73,7 +73,8 @@ def to_embed(postings: DataFrame, index: DataFrame) -> DataFrame:
 def embed_new(postings: DataFrame, index: DataFrame, embedder: Embedder, model: str,
               batch: int = BATCH) -> DataFrame:
     """Rows to append to the index; null vectors mark what could not be embedded."""
-    fresh = documents(to_embed(postings, index))
+    # A key that repeats is embedded once: the smallest text, whatever the order of the rows.
+    fresh = documents(to_embed(postings, index)).groupBy("key").agg(F.min_by(F.struct("document", "metadata"), "document").alias("d")).select("key", "d.*")
     return with_embedding(fresh, "document", embedder, batch).withColumn("model", F.lit(model))
 
 

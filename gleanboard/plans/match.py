@@ -102,6 +102,7 @@ def match(
     ``posted_since``, recent ones). With ``prescreen_only`` the surviving
     postings come back unscored.
     """
+    profiles = settle(profiles)  # a model made them: once
     if posted_since:
         postings = recent(postings, posted_since, now)
     if store:

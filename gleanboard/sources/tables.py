@@ -35,7 +35,8 @@ def write_parquet(df: DataFrame, path: str, drop: Iterable[str] = ("raw",)) -> N
 
 def write_csv(df: DataFrame, path: str, drop: Iterable[str] = ("raw", "description")) -> None:
     """CSV has no lists: they are rendered as text first."""
-    flat(df.drop(*drop)).write.mode("overwrite").option("header", True).csv(path)
+    flat(df.drop(*drop)).write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def flat(df: DataFrame) -> DataFrame:

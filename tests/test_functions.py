@@ -145,3 +145,19 @@ def test_rescale_of_equal_values(spark):
 def test_unit_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in df.select(vectors.unit(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_replies_that_end_in_white_space_and_hold_commas(column_of):
+    def parsed(c):
+        from pyspark.sql import functions as F
+        return F.try_variant_get(verdicts.loose_json(c), "$.a", "string")
+    replies = ['{"a": "x"}\n', '{"a": "x"}\r\n', '\t{"a": "x", }\t', '{"a": "p,]q", "b": [1, 2,],}\n', "{'a': 'it, }', }", '{"a": "q\\", ]",}', '{"a": "x"} cut']
+    assert column_of(parsed, *replies) == ["x", "x", "x", "p,]q", "it, }", 'q", ]', None]
+
+
+def test_written_dates(column_of):
+    forms = ["Sun, 10 May 2026 14:00:00 +0000", "Sun, 10 May 2026 14:00:00 GMT", "05/10/2026 14:23 UTC", "2026/05/10T10:00:00Z", "20260510T142300Z",
+             "May 10 2026", "May 10, 2026 14:23", "10 May 2026 14:23", "10 May, 2026", "10.05.2026", "10-05-2026", "2026.05.10",
+             "2026-05-10T23:30:00-02:00"]
+    got = column_of(lambda c: dates.parse_posted_at(c, NOW).cast("string"), *forms, "1747000000.0", "1.747E9")
+    assert got == ["2026-05-10"] * 12 + ["2026-05-11"] + ["2025-05-11"] * 2
