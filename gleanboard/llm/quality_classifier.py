@@ -4,7 +4,7 @@ One weight vector over hashed text features is shared by all grades; ordered
 thresholds cut its line: P(grade <= k) = sigmoid(threshold_k - w.x). A document
 gets its expected grade and the probability of reaching the top grade.
 
-Features: distinct lower-cased words, and shares of pairs of neighbouring bytes
+Features: distinct lower-cased words without punctuation, and shares of pairs of neighbouring bytes
 (they tell symbols and odd spellings that no word repeats). The model is fitted
 on a bounded sample of rated documents, drawn by a hash of the id, whose hashed
 features the tasks compute; scoring reads every text whole, in one pass without
@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 
 from .words import U, WordHasher, mix
 
-WORD_BITS, PAIR_BITS = 16, 12
+WORD_BITS, PAIR_BITS = 18, 12
 SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS)
 #: Rated documents that are learned from, at most about this many.
-LABELLED_ROWS = 8000
+LABELLED_ROWS = 12_000
+#: Features of fewer rated documents get no weight.
+LEAST_DOCUMENTS = 5
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def features(texts: list[str | None], hasher: WordHasher) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -39,7 +42,7 @@ def features(texts: list[str | None], hasher: WordHasher) -> Iterator[tuple[np.n
     words, bounds = hasher(texts)
     place = (words >> U(64 - WORD_BITS)).astype(np.int64)
     for text, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if a == b:
+        if not text:
             yield np.zeros(0, dtype=np.int64), np.zeros(0)
             continue
         own = np.unique(place[a:b])
@@ -48,11 +51,11 @@ def features(texts: list[str | None], hasher: WordHasher) -> Iterator[tuple[np.n
         counts = np.bincount(pairs, minlength=1 << PAIR_BITS)
         at = np.flatnonzero(counts)
         yield (np.concatenate([own, at + (1 << WORD_BITS)]),
-               np.concatenate([np.full(len(own), len(own) ** -0.5), 3 * np.sqrt(counts[at] / max(len(pairs), 1))]))
+               np.concatenate([np.full(len(own), max(len(own), 1) ** -0.5), 3 * np.sqrt(counts[at] / max(len(pairs), 1))]))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher(lower=True)
+    hasher = WordHasher(lower=True, also=PUNCTUATION)
     for batch in batches:
         found = list(features(batch.column("text").to_pylist(), hasher))
         yield pa.RecordBatch.from_arrays(
@@ -74,7 +77,7 @@ class Ordinal:
 
 
 def learn(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade",
-          rows: int = LABELLED_ROWS, steps: int = 200, penalty: float = 3e-5) -> Ordinal:
+          rows: int = LABELLED_ROWS, steps: int = 120, penalty: float = 3e-5) -> Ordinal:
     """Fits by full gradients with momentum over the drawn sample.
 
     ``ratings`` has one row per document (the least grade counts, if several).
@@ -99,10 +102,11 @@ def learn(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
     w, speed = np.zeros(SIZE), np.zeros(SIZE)
     share_over = over.mean(axis=0).clip(1e-3, 1 - 1e-3)
     t = -np.log(share_over / (1 - share_over))
-    # Grades count alike, however rare they are.
-    weight = (1 / np.bincount(rank, minlength=len(grades)))[rank] / len(grades)
+    # Rare grades count more than their share, but less than alike.
+    weight = (1 / np.sqrt(np.bincount(rank, minlength=len(grades))))[rank]
+    weight /= weight.sum()
     scale = np.bincount(column, weights=value**2 * weight[row], minlength=SIZE)
-    rate = 1 / (np.sqrt(scale) + 1e-3)
+    rate = np.where(np.bincount(column, minlength=SIZE) >= LEAST_DOCUMENTS, 1 / (np.sqrt(scale) + 1e-3), 0.0)
     for step in range(steps):
         z = np.bincount(row, weights=value * w[column], minlength=len(y))
         p = 1 / (1 + np.exp(np.clip(t[None, :] - z[:, None], -50, 50)))
@@ -123,7 +127,7 @@ def learn(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
 
 def _score(model: Ordinal, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, grades = WordHasher(lower=True), np.array(model.grades, dtype=np.float64)
+        hasher, grades = WordHasher(lower=True, also=PUNCTUATION), np.array(model.grades, dtype=np.float64)
         for batch in batches:
             z = np.array([float(v @ model.weights[i]) for i, v in features(batch.column("text").to_pylist(), hasher)])
             above = model.above(z)

@@ -31,13 +31,14 @@ def mix_one(x: int) -> int:
 class WordHasher:
     """Hashes the words of lists of texts; keeps its power tables between calls."""
 
-    def __init__(self, lower: bool):
+    def __init__(self, lower: bool, also: bytes = b""):
+        """``also``: further bytes that end a word."""
         folded = np.arange(256)
         if lower:
             folded[65:91] += 32
         self.value = mix(folded.astype(U) + U(0x9E3779B97F4A7C15))
         self.space = np.zeros(256, dtype=bool)
-        self.space[list(SPACE_BYTES)] = True
+        self.space[list(SPACE_BYTES + also)] = True
         self.base = 0x5851F42D4C957F2D
         self.inverse = pow(self.base, -1, 2**64)
         self.up = self.down = np.ones(1, dtype=U)
