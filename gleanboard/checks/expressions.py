@@ -135,6 +135,20 @@ def _posted(t: Inputs):
                            .otherwise("yesterday").alias("posted_text"))
 
 
+WRITTEN = ["EEE, d MMM yyyy HH:mm:ss' +0000'", "EEE, d MMM yyyy HH:mm:ss' GMT'", "MM/dd/yyyy HH:mm' UTC'", "yyyy/MM/dd'T'HH:mm:ss'Z'",
+           "yyyyMMdd'T'HHmmss'Z'", "MMM d yyyy", "MMM d, yyyy HH:mm", "d MMM yyyy HH:mm", "d MMM, yyyy", "dd.MM.yyyy", "dd-MM-yyyy", "yyyy.MM.dd",
+           "MMMM d, yyyy", "yyyy-MM-dd HH:mm:ss"]
+
+
+@check("h7_written_dates", "SELECT event_id, CAST(ts AS DATE) AS day FROM events")
+def _(t: Inputs):
+    """Every event's date in one of the written forms."""
+    written = F.lit(None).cast("string")
+    for i, form in enumerate(WRITTEN):
+        written = F.when(F.col("event_id") % len(WRITTEN) == i, F.date_format("ts", form)).otherwise(written)
+    return t.events.select("event_id", dates.parse_posted_at(written, NOW).alias("day"))
+
+
 @check("h7_parse_posted_at", _DATES_SQL + """
 SELECT event_id, coalesce(strftime(posted, '%Y-%m-%d'), '') AS posted FROM e""")
 def _(t: Inputs):
@@ -300,6 +314,22 @@ def _(t: Inputs):
                          F.coalesce(verdicts.json_error(F.col("reply"), F.col("v")), F.lit("")).alias("error"))
 
 
+@check("h23_real_replies", """
+SELECT doc_id, coalesce(text, '') AS notes, doc_id % 11 AS score FROM documents""")
+def _(t: Inputs):
+    """Replies as models write them: indented, ended by line breaks, with commas and brackets inside the text."""
+    notes = F.coalesce("text", F.lit(""))
+    body = F.to_json(F.struct(F.concat(notes, F.lit(",]")).alias("notes"), (F.col("doc_id") % 11).alias("score")))
+    i = F.col("doc_id")
+    reply = (F.when(i % 4 == 0, F.concat(body, F.lit("\n")))
+             .when(i % 4 == 1, F.concat(F.lit("  \n"), F.regexp_replace(body, r"\}$", ",\n}\r\n")))
+             .when(i % 4 == 2, F.concat(F.lit("\t"), body, F.lit("\t \n\n"))).otherwise(body))
+    v = verdicts.loose_json(F.col("reply"))
+    parsed = t.documents.select("doc_id", reply.alias("reply")).withColumn("v", v)
+    return parsed.select("doc_id", F.regexp_replace(F.try_variant_get("v", "$.notes", "string"), r",\]$", "").alias("notes"),
+                         F.try_variant_get("v", "$.score", "bigint").alias("score"))
+
+
 @check("h24_render_list", f"""
 WITH {MATCHED} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(found_on, ', ') AS found_on FROM merged""")
 def _(t: Inputs):

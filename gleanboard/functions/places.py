@@ -27,81 +27,81 @@ ONE_FORM = {"Czechia": "Czech Republic"}
 EXTRA = {"usa": "United States", "czech republic": "Czech Republic"}
 
 # Country code to name as the unified board expects it.
-CODE_TO_NAME = dict(line.strip().split(" ", 1) for line in """
-    ar Argentina
-    au Australia
-    at Austria
-    bh Bahrain
-    bd Bangladesh
-    be Belgium
-    bg Bulgaria
-    br Brazil
-    ca Canada
-    cl Chile
-    cn China
-    co Colombia
-    cr Costa Rica
-    hr Croatia
-    cy Cyprus
-    cz Czech Republic
-    dk Denmark
-    ec Ecuador
-    eg Egypt
-    ee Estonia
-    fi Finland
-    fr France
-    de Germany
-    gr Greece
-    hk Hong Kong
-    hu Hungary
-    in India
-    id Indonesia
-    ie Ireland
-    il Israel
-    it Italy
-    jp Japan
-    kw Kuwait
-    lv Latvia
-    lt Lithuania
-    lu Luxembourg
-    my Malaysia
-    mt Malta
-    mx Mexico
-    ma Morocco
-    nl Netherlands
-    nz New Zealand
-    ng Nigeria
-    no Norway
-    om Oman
-    pk Pakistan
-    pa Panama
-    pe Peru
-    ph Philippines
-    pl Poland
-    pt Portugal
-    qa Qatar
-    ro Romania
-    sa Saudi Arabia
-    sg Singapore
-    sk Slovakia
-    si Slovenia
-    za South Africa
-    kr South Korea
-    es Spain
-    se Sweden
-    ch Switzerland
-    tw Taiwan
-    th Thailand
-    tr Turkey
-    ua Ukraine
-    ae United Arab Emirates
-    gb United Kingdom
-    uk United Kingdom
-    us United States
-    uy Uruguay
-    ve Venezuela
-    vn Vietnam
-""".strip().splitlines())
+CODE_TO_NAME = {
+    "ar": "Argentina",
+    "au": "Australia",
+    "at": "Austria",
+    "bh": "Bahrain",
+    "bd": "Bangladesh",
+    "be": "Belgium",
+    "bg": "Bulgaria",
+    "br": "Brazil",
+    "ca": "Canada",
+    "cl": "Chile",
+    "cn": "China",
+    "co": "Colombia",
+    "cr": "Costa Rica",
+    "hr": "Croatia",
+    "cy": "Cyprus",
+    "cz": "Czech Republic",
+    "dk": "Denmark",
+    "ec": "Ecuador",
+    "eg": "Egypt",
+    "ee": "Estonia",
+    "fi": "Finland",
+    "fr": "France",
+    "de": "Germany",
+    "gr": "Greece",
+    "hk": "Hong Kong",
+    "hu": "Hungary",
+    "in": "India",
+    "id": "Indonesia",
+    "ie": "Ireland",
+    "il": "Israel",
+    "it": "Italy",
+    "jp": "Japan",
+    "kw": "Kuwait",
+    "lv": "Latvia",
+    "lt": "Lithuania",
+    "lu": "Luxembourg",
+    "my": "Malaysia",
+    "mt": "Malta",
+    "mx": "Mexico",
+    "ma": "Morocco",
+    "nl": "Netherlands",
+    "nz": "New Zealand",
+    "ng": "Nigeria",
+    "no": "Norway",
+    "om": "Oman",
+    "pk": "Pakistan",
+    "pa": "Panama",
+    "pe": "Peru",
+    "ph": "Philippines",
+    "pl": "Poland",
+    "pt": "Portugal",
+    "qa": "Qatar",
+    "ro": "Romania",
+    "sa": "Saudi Arabia",
+    "sg": "Singapore",
+    "sk": "Slovakia",
+    "si": "Slovenia",
+    "za": "South Africa",
+    "kr": "South Korea",
+    "es": "Spain",
+    "se": "Sweden",
+    "ch": "Switzerland",
+    "tw": "Taiwan",
+    "th": "Thailand",
+    "tr": "Turkey",
+    "ua": "Ukraine",
+    "ae": "United Arab Emirates",
+    "gb": "United Kingdom",
+    "uk": "United Kingdom",
+    "us": "United States",
+    "uy": "Uruguay",
+    "ve": "Venezuela",
+    "vn": "Vietnam",
+}
 
 
 @lru_cache(maxsize=1)

@@ -18,10 +18,9 @@ ORDER = ["source_ord", "row_ord"]
 
 def require_search(title: str, country: str) -> None:
     """Checked before any plan is built."""
-    if not country:
-        raise ValueError("a country is required, e.g. 'de' or 'Germany'")
-    if not title:
-        raise ValueError("a non-empty title is required")
+    missing = [name for name, value in (("country", country), ("title", title)) if not value]
+    if missing:
+        raise ValueError(f"search needs a {' and a '.join(missing)}")
 
 
 def clean_queries(values: Sequence[object], dedupe: bool = True) -> list[str]:
