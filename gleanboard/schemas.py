@@ -21,7 +21,7 @@ POSTING = _table(
     employer_ratings_count="long", employer_rating="double", country="string", city="string",
     posted_at="date", employment_type="string", description="string", source_platform="string",
     raw="string")
-COLLECTED = _table(actor="string", source_ord="integer", row_ord="long")
+COLLECTED = _table(actor="string", source_ord="integer", row_ord="string")
 POSTING_DEDUPED = _table(
     platform_url="string", job_url="string", title="string", employer_name="string",
     employer_ratings_count="long", employer_rating="double", country="string", city="string",

@@ -232,7 +232,13 @@ def normalise(lines: DataFrame, name: str, now: dt.datetime) -> DataFrame:
 
 
 def read_board(spark: SparkSession, name: str, path: str, now: dt.datetime) -> DataFrame:
-    """Landed files of one board with ``row_ord`` for first-wins rules."""
+    """Landed files of one board with ``row_ord`` for first-wins rules.
+
+    The order is that of file names and of lines in a file, however Spark cuts
+    and packs the files: the id only orders the lines of one block.
+    """
     board(name)
-    lines = spark.read.text(path).withColumn("row_ord", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumn("row_ord", F.concat_ws(
+        " ", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
+        F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")))
     return normalise(lines, name, now)

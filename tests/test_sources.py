@@ -109,3 +109,25 @@ def test_runs(spark, tmp_path):
     with pytest.warns(UserWarning, match="does not exist"):
         assert tables.previous_run(spark, str(tmp_path / "none"), "r9") is None
     assert tables.previous_run(spark, path, None, "") is None
+
+
+def test_landed_order_does_not_depend_on_splits(spark, tmp_path):
+    import datetime as dt
+    import json
+
+    from gleanboard.sources.boards import read_board
+    now = dt.datetime(2026, 5, 20, tzinfo=dt.timezone.utc)
+    for name, n in (("a", 3), ("b", 400), ("c", 30)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(
+            json.dumps({"id": k, "url": f"u{name}{k}", "title": f"{name}{k:04d}", "company_name": "x", "description": "d" * 200}) + "\n" for k in range(n)))
+    want = [f"{name}{k:04d}" for name, n in (("a", 3), ("b", 400), ("c", 30)) for k in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "4k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            got = read_board(spark, "remotive", str(tmp_path), now).orderBy("row_ord").select("title").collect()
+            assert [r["title"] for r in got] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
