@@ -1,12 +1,12 @@
 """N-gram Jaccard join by parity sketches: exact, without pairs of a whole group.
 
-A document is the set of its distinct word shingles. Every shingle flips one
-bit of a sketch, so two sketches differ in at most as many bits as the sets
-differ in shingles, and a set difference of d touches at most d of the sketch's
-blocks. For a Jaccard similarity of t, sizes are within a factor t and
+A document is the set of its distinct word shingles. Every shingle flips bits
+of one block of a sketch (one bit of the whole sketch that is compared later, a
+64-bit hash of the blocks that are joined on), so a set difference of d shingles
+touches at most d blocks and at most d bits of the whole sketch. For a Jaccard similarity of t, sizes are within a factor t and
 d <= (a + b)(1 - t)/(1 + t). Documents are put into bands of similar size; a
-band cuts its sketch into more than d blocks, and of the non-zero blocks, in
-one order for all, d + 1 are keys: two similar documents share a key.
+band cuts its sketch into more than d blocks, and of the blocks with two shingles
+or more, in one order for all, d + 1 are keys: two similar documents share a key.
 
 Shingles that many documents hold are left out of the sketch (any fixed set of
 shingles may be: it can only lower the difference), so a passage that a third
@@ -79,24 +79,31 @@ class Keys:
         return np.unique(np.concatenate(out)).view(np.int64)
 
     def _layout(self, s: np.ndarray, rare: np.ndarray, band: int, d: int) -> list[np.ndarray]:
-        # 1.3 to 2.6 shingles a block over all sizes that use the layout: there the most blocks have two bits.
+        # 1.3 to 2.6 shingles a block over all sizes that use the layout: there the most blocks have two.
         blocks = int(1.92 * (1 + 1 / self.share) * self.differ * self.edges[band + 1]) + 2
         # From the most telling keys to the least: a document goes on while it has d keys or fewer.
         # Of two similar ones, one that stopped earlier has more than d, so they meet there.
         out = []
-        for step, (some, bits) in enumerate(((rare, 2), (rare, 2), (rare, 2), (rare, 1), (s, 1))):
-            keys = self._blocks(some, blocks, bits, mix_one(8 * band + step))
+        for step, (some, least) in enumerate(((rare, 2), (rare, 2), (rare, 2), (rare, 1), (s, 1))):
+            keys = self._blocks(some, blocks, least, mix_one(8 * band + step))
             out.append(_prefix(keys, d + 1))
             if len(keys) > d:
                 return out
         out.append(_prefix(mix(s ^ U(mix_one(8 * band + 7))), len(s) - int(np.ceil(self.share * len(s) - 1e-9)) + 1))
         return out
 
-    def _blocks(self, s: np.ndarray, blocks: int, bits: int, salt: int) -> np.ndarray:
-        """A key for every block of the sketch of ``s`` with so many bits."""
-        words = parity(s, blocks, salt)
-        at = np.flatnonzero(np.bitwise_count(words) >= bits)
-        return mix(words[at] + mix(at.astype(U) + U(salt)))
+    def _blocks(self, s: np.ndarray, blocks: int, least: int, salt: int) -> np.ndarray:
+        """A key for every block with so many shingles: the XOR of their hashes."""
+        h = mix(s ^ U(salt))
+        place = ((h >> U(32)) * U(blocks)) >> U(32)
+        order = np.argsort(place, kind="stable")
+        place, h = place[order], mix(h[order])
+        start = np.flatnonzero(np.diff(place, prepend=U(blocks)))
+        if not len(start):
+            return h
+        words = np.bitwise_xor.reduceat(h, start)
+        full = np.diff(np.append(start, len(h))) >= least
+        return mix(words[full] + mix(place[start][full] + U(salt)))
 
 
 def parity(s: np.ndarray, words: int, salt: int) -> np.ndarray:
