@@ -66,6 +66,8 @@ class WordTokens:
         return ids
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self._part(word.lower().decode())
         text = word.decode()
         if self.PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join([self._part(p) for p in self.PART.findall(text.lower())])
@@ -178,7 +180,9 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     folder = scratch_path(spark, f"packing-{uuid.uuid4().hex[:8]}")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = texts.mapInArrow(_pieces(tokenizer, size, end), SCHEMA)
+    # Written before the range sort, which reads its input twice.
+    texts.mapInArrow(_pieces(tokenizer, size, end), SCHEMA).write.parquet(f"{folder}/cut")
+    pieces = spark.read.parquet(f"{folder}/cut")
     order = ["length", "doc_id", "start", "ids_crc32"]
     # A range sort of narrow rows; a partition's rows are numbered in its order.
     (pieces.repartitionByRange(*order).sortWithinPartitions(*order)
