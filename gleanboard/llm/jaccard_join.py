@@ -234,9 +234,13 @@ def _shared(share_pct: int):
 
 
 def _across(share_pct: int):
-    """From rows in order of key: pairs of different components whose sketches allow a link."""
-    def pairs(rows: list[tuple]) -> list[tuple]:
-        node, comp, n, sketches = zip(*rows, strict=True)
+    """From rows in order of key: pairs of different components whose sketches allow a link.
+
+    A pair is written in the least of the open buckets that it shares only.
+    """
+    def pairs(key: int, rows: list[tuple]) -> list[tuple]:
+        node, comp, n, sketches, keys = zip(*rows, strict=True)
+        lesser = [{k for k in ks if k < key} for ks in keys]
         node, comp, n = np.array(node), np.array(comp), np.array(n)
         bits = [np.frombuffer(x, dtype=U) for x in sketches]
         short = np.array([np.bitwise_xor.reduce(x.reshape(-1, SKETCH_WORDS), axis=0) for x in bits])  # all of one length
@@ -248,23 +252,23 @@ def _across(share_pct: int):
             j = j[far * (100 + share_pct) <= (n[j] + n[i]) * (100 - share_pct)]
             far = np.array([distance(bits[i], bits[k]) for k in j], dtype=np.int64)
             j = j[far * (100 + share_pct) <= (n[j] + n[i]) * (100 - share_pct)]
-            found += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j]
+            found += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j if lesser[i].isdisjoint(lesser[k])]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, done = None, [], set()
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "component", "n", "sketch")), strict=True):
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "component", "n", "sketch", "keys")), strict=True):
                 if k != key:
                     if len(rows) > 1:
-                        done.update(pairs(rows))
+                        done.update(pairs(key, rows))
                     key, rows = k, []
                 rows.append(row)
             if len(done) > 100_000:
                 yield _pairs(done)
                 done = set()
         if len(rows) > 1:
-            done.update(pairs(rows))
+            done.update(pairs(key, rows))
         if done:
             yield _pairs(done)
     return run
@@ -326,8 +330,10 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     every = labelled(buckets.select("key", "node"), "node")  # hubs have been held against all of these
     mixed = every.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_rows = every.join(mixed, "key").join(nodes.select("node", "n", "sketch"), "node")
-    crossing = (open_rows.select("key", "node", "component", "n", "sketch").repartition("key").sortWithinPartitions("key")
+    open_rows = settle(every.join(mixed, "key"))
+    keys_of = open_rows.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most the keys of one document
+    open_rows = open_rows.join(nodes.select("node", "n", "sketch"), "node").join(keys_of, "node")
+    crossing = (open_rows.select("key", "node", "component", "n", "sketch", "keys").repartition("key").sortWithinPartitions("key")
                 .mapInArrow(_across(share_pct), "a long, b long").distinct())
     second = settle(_verify(crossing.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
                                           ["a", "b"], "left_anti"), texts, nodes, width, share_pct))
