@@ -35,7 +35,7 @@ from ..session import scratch_path
 from .words import SLICE_BYTES, U, WordHasher, mix, mix_one
 
 #: r names runs, p names pairs.
-ROUNDS = "rpppprppp"
+ROUNDS = "rppppp"
 LONGEST_SYMBOL = 24
 
 
@@ -159,41 +159,128 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: Kinds of rows on their way to the task of their symbol: a span; a span of a symbol with many contents,
+#: which goes by its content instead; a note that a symbol has such spans; a stretch that is known to go.
+SPAN, SPREAD, NOTE, GONE = range(4)
+MANY = 3
+ROW = ["kind", "s", "h", "doc", "at"]
+MET = "kind int, s long, doc long, at long"
+
+
+def _at(tag: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Text tag (23 bits), first window (34 bits) and windows (6 bits) in one number."""
+    return (tag.astype(np.int64) << 40) | (first.astype(np.int64) << 6) | n
+
+
+def _combine(s: np.ndarray, h: np.ndarray, doc: np.ndarray, at: np.ndarray, spread: bool) -> pa.RecordBatch:
+    """What a task sends on: of equal content only the smallest document; the others are settled here."""
+    order = np.lexsort((doc, h, s))
+    s, h, doc, at = s[order], h[order], doc[order], at[order]
+    new_s = np.concatenate([[True], s[1:] != s[:-1]])
+    new = new_s | np.concatenate([[True], h[1:] != h[:-1]])
+    owner = doc[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+    kind = np.where(doc > owner, GONE, SPAN).astype(np.int32)
+    notes = np.zeros(0, dtype=np.int64)
+    if spread:
+        group = np.cumsum(new_s) - 1
+        many = np.bincount(group, weights=new) >= MANY
+        kind[(kind == SPAN) & many[group]] = SPREAD
+        notes = s[new_s][many]
+    gone = kind == GONE
+    s = np.where(gone, mix(at.view(U) ^ doc.view(U)).view(np.int64), s)
+    pad = np.zeros(len(notes), dtype=np.int64)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([kind, np.full(len(notes), NOTE, dtype=np.int32)])), pa.array(np.concatenate([s, notes])),
+        pa.array(np.concatenate([h, pad])), pa.array(np.concatenate([doc, pad])), pa.array(np.concatenate([at, pad]))], names=ROW)
+
+
+def _settle(keep_open: bool):
+    """From rows in order of (s, h, doc): stretches to go, and the spans whose symbol has other contents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ROW]
+            if rest is not None:
+                rows = [np.concatenate([x, y]) for x, y in zip(rest, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[1], rows[1][-1], "left"))  # the last symbol may go on
+            rest = [x[cut:] for x in rows]
+            if cut:
+                yield settled([x[:cut] for x in rows])
+        if rest is not None and len(rest[0]):
+            yield settled(rest)
+
+    def settled(rows: list[np.ndarray]) -> pa.RecordBatch:
+        kind, s, h, doc, at = rows
+        new_s = np.concatenate([[True], s[1:] != s[:-1]])
+        span = kind < NOTE
+        new = new_s | np.concatenate([[True], (h[1:] != h[:-1]) | (span[1:] != span[:-1])])
+        group = np.cumsum(new_s) - 1
+        contested = (np.bincount(group, weights=new & span) > 1) | (np.bincount(group, weights=(kind == NOTE) | (kind == SPREAD)) > 0)
+        first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+        gone = (kind == GONE) | (span & (doc > doc[first]))
+        asked = new & span & contested[group] if keep_open else np.zeros(len(s), dtype=bool)
+        some = np.flatnonzero(gone | asked)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.where(gone[some], GONE, SPAN).astype(np.int32)), pa.array(s[some]), pa.array(doc[some]), pa.array(at[some])],
+            names=["kind", "s", "doc", "at"])
+    return run
+
+
+def _met(rows: DataFrame, keep_open: bool) -> DataFrame:
+    """Brings equal symbols together in one shuffle; many contents of one symbol stay spread out."""
+    to = F.when(F.col("kind") == SPREAD, F.col("h")).otherwise(F.col("s"))
+    return rows.repartition(to).sortWithinPartitions("s", "h", "doc").mapInArrow(_settle(keep_open), MET)
+
+
 def _spans(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(lower=False)
+        hasher, parts, size = WordHasher(lower=False), [], 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+            ids, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             for a, b in _slices(texts):
                 text, first, n, symbol, content = represent(*hasher(texts[a:b]), window)
-                if len(text):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(symbol.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[a + text]),
-                         pa.array(tags[a + text]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                        names=["s", "h", "doc_id", "tag", "first", "n"])
+                parts.append((symbol.view(np.int64), content.view(np.int64), ids[a + text], _at(tags[a + text], first, n)))
+                size += len(text)
+            if size > 2_000_000:
+                yield _combine(*map(np.concatenate, zip(*parts, strict=True)), spread=True)
+                parts, size = [], 0
+        if size:
+            yield _combine(*map(np.concatenate, zip(*parts, strict=True)), spread=True)
     return run
 
 
+def _own(covers: pa.Scalar, tag: int, *more: str) -> tuple[np.ndarray, ...]:
+    """(first, n, further fields) of the listed stretches that belong to this text."""
+    items = covers.values
+    at = (items.field("at") if more else items).to_numpy()
+    own = (at >> 40) == tag
+    at = at[own]
+    return (at >> 6) & ((1 << 34) - 1), at & 63, *(items.field(c).to_numpy()[own] for c in more)
+
+
 def _windows(window: int):
-    """(s, w, doc_id, tag, first) of every window of the open spans."""
+    """Every window of the asked spans."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(lower=False)
+        hasher, parts, size = WordHasher(lower=False), [], 0
         for batch in batches:
-            out = {c: [] for c in ("s", "w", "doc_id", "tag", "first")}
-            for doc, tag, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "spans")), strict=True):
-                words, _ = hasher([text])
+            for doc, tag, text, spans in zip(*(batch.column(c) for c in ("doc", "tag", "text", "spans")), strict=True):
+                first, n, s = _own(spans, tag.as_py(), "s")
+                words, _ = hasher([text.as_py()])
                 power = WordPowers.of(len(words) + 1)
                 sums = np.zeros(len(words) + 1, dtype=U)
                 np.cumsum(words * power.up[: len(words)], out=sums[1:], dtype=U)
-                first = np.concatenate([np.arange(x["first"], x["first"] + x["n"]) for x in spans])
-                out["s"].append(np.repeat([x["s"] for x in spans], [x["n"] for x in spans]))
-                out["w"].append(mix((sums[first + window] - sums[first]) * power.down[first]).view(np.int64))
-                out["doc_id"].append(np.full(len(first), doc))
-                out["tag"].append(np.full(len(first), tag))
-                out["first"].append(first.astype(np.int32))
-            if out["s"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
+                s, i = np.repeat(s, n), np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                w = mix((sums[i + window] - sums[i]) * power.down[i]) ^ s.view(U)
+                parts.append((mix(w).view(np.int64), s, np.full(len(i), doc.as_py()), _at(np.full(len(i), tag.as_py()), i, np.ones(len(i), dtype=np.int64))))
+                size += len(i)
+            if size > 2_000_000:
+                yield _combine(*map(np.concatenate, zip(*parts, strict=True)), spread=False)
+                parts, size = [], 0
+        if size:
+            yield _combine(*map(np.concatenate, zip(*parts, strict=True)), spread=False)
     return run
 
 
@@ -202,12 +289,13 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, covers in zip(batch.column("text").to_pylist(), batch.column("covers"), strict=True):
+            for text, tag, covers in zip(*(batch.column(c) for c in ("text", "tag", "covers")), strict=True):
+                text = text.as_py()
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 total.append(len(words))
-                if covers.is_valid and len(covers.values):
+                first, n = _own(covers, tag.as_py()) if covers.is_valid else ((), ())
+                if len(first):
                     step = np.zeros(len(words) + 1, dtype=np.int64)
-                    first, n = (covers.values.field(i).to_numpy() for i in (0, 1))
                     np.add.at(step, first, 1)
                     np.add.at(step, first + n + window - 1, -1)
                     stay = np.cumsum(step)[:-1] == 0
@@ -217,7 +305,7 @@ def _cut(window: int):
                     gone.append(0)
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tag"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                [batch.column("doc"), batch.column("hash"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
                 names=["doc_id", "tag", "n_words", "n_removed", "kept"])
     return run
 
@@ -228,27 +316,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``kept`` joins the words that stay by one space.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    texts = texts.withColumn("tag", F.col("hash").bitwiseAND(F.lit((1 << 23) - 1)))
     folder = scratch_path(spark, f"repeats-{uuid.uuid4().hex[:8]}")
-    (texts.where("doc_id is not null and text is not null")
-     .mapInArrow(_spans(window), "s long, h long, doc_id long, tag long, first int, n int").write.parquet(f"{folder}/spans"))
+    rows = "kind int, s long, h long, doc long, at long"
+    known = texts.where("doc is not null and text is not null").select("doc", "tag", "text")
+    _met(known.mapInArrow(_spans(window), rows), keep_open=True).write.parquet(f"{folder}/spans")
     spans = spark.read.parquet(f"{folder}/spans")
-
-    owners = spans.groupBy("s", "h").agg(F.min("doc_id").alias("owner"))
-    owners.write.parquet(f"{folder}/owners")
-    owners = spark.read.parquet(f"{folder}/owners")
-    settled = spans.join(owners, ["s", "h"])
-    several = owners.groupBy("s").agg(F.count("*").alias("contents")).where("contents > 1").select("s")
-    open_spans = settled.where("doc_id = owner").join(several, "s").groupBy("doc_id", "tag", "s", "h").agg(
-        F.min("first").alias("first"), F.min("n").alias("n"))
-    asked = open_spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", "first", "n")).alias("spans"))
-    (texts.join(asked, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
-     .mapInArrow(_windows(window), "s long, w long, doc_id long, tag long, first int").write.parquet(f"{folder}/windows"))
-    windows = spark.read.parquet(f"{folder}/windows")
-    earliest = windows.groupBy("s", "w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("latest")).where("owner < latest")
-    single = (windows.join(earliest.select("s", "w", "owner"), ["s", "w"]).where("doc_id > owner")
-              .select("doc_id", "tag", "first", F.lit(1).alias("n")))
-    covers = (settled.where("doc_id > owner").select("doc_id", "tag", "first", "n").union(single)
-              .groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "n")).alias("covers")))
-    return (texts.join(covers, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "covers")
+    asked = spans.where(F.col("kind") == SPAN).groupBy("doc").agg(F.collect_list(F.struct("s", "at")).alias("spans"))
+    single = known.join(asked, "doc").select("doc", "tag", "text", "spans").mapInArrow(_windows(window), rows)
+    _met(single, keep_open=False).write.parquet(f"{folder}/windows")
+    gone = spans.where(F.col("kind") == GONE).select("doc", "at").union(spark.read.parquet(f"{folder}/windows").select("doc", "at"))
+    covers = gone.groupBy("doc").agg(F.collect_list("at").alias("covers"))
+    return (texts.join(covers, "doc", "left").select("doc", "hash", "tag", "text", "covers")
             .mapInArrow(_cut(window), "doc_id long, tag long, n_words long, n_removed long, kept string"))
