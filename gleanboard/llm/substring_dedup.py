@@ -195,7 +195,7 @@ def _combine(s: np.ndarray, h: np.ndarray, doc: np.ndarray, at: np.ndarray, spre
 
 
 def _settle(keep_open: bool):
-    """From rows in order of (s, h, doc): stretches to go, and the spans whose symbol has other contents."""
+    """From rows in order of (s, h, doc, at): stretches to go, and the spans whose symbol has other contents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -220,7 +220,9 @@ def _settle(keep_open: bool):
         contested = (np.bincount(group, weights=new & span) > 1) | (np.bincount(group, weights=(kind == NOTE) | (kind == SPREAD)) > 0)
         first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
         gone = (kind == GONE) | (span & (doc > doc[first]))
-        asked = new & span & contested[group] if keep_open else np.zeros(len(s), dtype=bool)
+        # Every place of the smallest document is asked; a row that is there twice is asked once.
+        again = ~new & np.concatenate([[False], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])])
+        asked = span & contested[group] & (doc == doc[first]) & ~again if keep_open else np.zeros(len(s), dtype=bool)
         some = np.flatnonzero(gone | asked)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.where(gone[some], GONE, SPAN).astype(np.int32)), pa.array(s[some]), pa.array(doc[some]), pa.array(at[some])],
@@ -231,7 +233,7 @@ def _settle(keep_open: bool):
 def _met(rows: DataFrame, keep_open: bool) -> DataFrame:
     """Brings equal symbols together in one shuffle; many contents of one symbol stay spread out."""
     to = F.when(F.col("kind") == SPREAD, F.col("h")).otherwise(F.col("s"))
-    return rows.repartition(to).sortWithinPartitions("s", "h", "doc").mapInArrow(_settle(keep_open), MET)
+    return rows.repartition(to).sortWithinPartitions("s", "h", "doc", "at").mapInArrow(_settle(keep_open), MET)
 
 
 def _spans(window: int):

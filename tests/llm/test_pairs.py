@@ -126,6 +126,19 @@ def test_remove_repeats(spark, seed):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_repeats(rows)
 
 
+def test_passage_twice_in_one_document(spark):
+    rng = random.Random(11)
+    some = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(n))
+    rows = []
+    for k in range(0, 80, 4):
+        passage, x, y, z = some(55), some(60), some(60), some(60)
+        rows += [(k, f"{some(60)} {passage} {some(60)}", "x", 1, 2), (k + 1, f"{x} {passage} {y} {x} {passage} {y}", "x", 1, 2),
+                 (k + 2, f"{x} {passage} {y} {z}", "x", 1, 2), (k + 2, f"{z} {x} {passage} {y}", "x", 1, 2),
+                 (k + 3, f"{z} {passage} {y}", "x", 1, 2), (k + 3, f"{z} {passage} {y}", "x", 1, 2)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_repeats(rows)
+
+
 def test_equal_windows_have_equal_symbols():
     rng = np.random.default_rng(0)
     passage = rng.integers(0, 30, 120).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
