@@ -1,11 +1,13 @@
 """Main text of web pages by a site style tree.
 
 Pages of one host are merged: a branch is a path of element names and classes,
-and for every branch of a host Spark counts how its presentation (the sequence
-of blocks) and its content vary over the pages. A branch whose presentation and
-content hardly vary has low entropy: it is template, and is removed from every
-page of the host. Text elements that stand directly in a page's article are
-never removed for that reason, so a host of copied pages keeps its articles.
+a node a text on its branch, and Spark counts on how many different pages of the
+host a node stands. A node of most of its branch's pages tells little: it is
+template, and is removed from every page of the host; nothing else of its
+branch is. Pages count once however often they are copied, also with small
+changes: pages are copies if they are alike apart from the repeated nodes, or if
+one repeated node heads them and such nodes are most of their text. So a host of
+copied pages keeps its texts. Running text of a page's article is not judged.
 
 Before that, what names itself is left out: menus, headers, footers, sidebars,
 forms, scripts, styles, adverts, notices and reader comments, by element, class,
@@ -20,6 +22,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -48,7 +51,7 @@ NOISE_NAMES = set("ad ads advert adverts advertisement advertising sponsor spons
                   "footer comment comments disqus reply replies related share sharing social popup modal overlay login signup "
                   "widget toolbar pagination pager copyright search complementary contentinfo".split())
 ROOTS = {"article", "main"}
-#: A branch is judged on hosts with so many pages of it, and removed at or below this importance.
+#: A node is removed if it stands on so many different pages, at or below this importance.
 LEAST_PAGES, LEAST_IMPORTANCE = 10, 0.2
 
 
@@ -139,62 +142,96 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]*)", 1), F.lit("")))
 
 
-def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, branch, presentation, content) of the branches of a page that may be template."""
+def _hash(*parts: str) -> int:
+    raw = hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(raw, "little", signed=True)
+
+
+def nodes(page: str | None) -> list[tuple[int, int, Block, str]]:
+    """(branch, node, block, text) of the blocks that count; a node is a text on its branch."""
+    found = []
+    for b, text in candidates(page):
+        branch = "/".join(b.branch)
+        found.append((_hash(branch), _hash(branch, text), b, text))
+    return found
+
+
+def _same_page(found: list[tuple[int, int, Block, str]], doubted: set[int]) -> int:
+    """Equal for copies of a page, also with small changes.
+
+    Of a page that is doubted text for the most part, its longest doubted node; of any other, the least hash of a
+    pair of adjacent words of the rest, which is equal as often as the rests share their pairs.
+    """
+    held = [(len(text), node) for _, node, _, text in found if node in doubted]
+    rest = [text for _, node, _, text in found if node not in doubted]
+    if sum(n for n, _ in held) > sum(map(len, rest)):
+        return max(held)[1]
+    words = [w for t in rest for w in t.split()]
+    return min((_hash(*words[i: i + 2]) for i in range(max(1, len(words) - 1))), default=0)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, branch, node, plain, page) of every node of a page that may be template.
+
+    ``page`` is equal for pages of equal text; where nodes of the host are doubted, for near copies too.
+    """
     for batch in batches:
         rows = []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            parts: dict[str, tuple[list[str], list[str]]] = {}
-            for b, text in candidates(page):
-                if not b.plain:
-                    for depth in range(1, len(b.branch) + 1):
-                        shape, content = parts.setdefault("/".join(b.branch[:depth]), ([], []))
-                        shape.append("/".join(b.branch[depth:]))
-                        content.append(text)
-            rows += [(host, branch, "|".join(s), "\n".join(c)) for branch, (s, c) in parts.items()]
+        for host, page, doubted in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "doubted")), strict=True):
+            found = nodes(page)
+            same = _hash(*(text for *_, text in found)) if doubted is None else _same_page(found, set(doubted))
+            rows += [(host, *x, same) for x in {(branch, node, b.plain) for branch, node, b, _ in found if not b.plain}]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["host", "branch", "shape", "content"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "branch", "node", "plain", "page"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, branch, pages, importance): the larger of the two normalised entropies, 1 where nothing repeats."""
-    found = settle(pages.mapInArrow(_branches, "host string, branch string, shape string, content string").select(
-        "host", "branch", F.xxhash64("shape").alias("shape"), F.xxhash64("content").alias("content")))
-
-    def entropy(column: str) -> DataFrame:
-        counted = found.groupBy("host", "branch", column).agg(F.count("*").alias("c"))
-        return counted.groupBy("host", "branch").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc")).select(
-            "host", "branch", "pages",
-            F.when(F.col("pages") > 1, 1 - F.col("clogc") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias(column))
+    """(host, node, plain, pages, importance) from (host, html, doubted).
 
-    return entropy("content").join(entropy("shape").drop("pages"), ["host", "branch"]).select(
-        "host", "branch", "pages", F.greatest("content", "shape").alias("importance"))
+    A text that stands on c of a branch's m different pages has the importance 1 - log c / log m:
+    0 for a text of every page, 1 for a text of one.
+    """
+    found = settle(pages.mapInArrow(_merged, "host string, branch long, node long, plain boolean, page long").distinct())
+    of_branch = found.select("host", "branch", "page").distinct().groupBy("host", "branch").agg(F.count("*").alias("m"))
+    of_node = found.groupBy("host", "branch", "node", "plain").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    return of_node.join(of_branch, ["host", "branch"]).select(
+        "host", "node", "plain", "pages", (1 - F.log("pages") / F.log("m")).alias("importance"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
-            gone = {tuple(x.split("/")) for x in template or []}
-            texts.append("\n".join(
-                t for b, t in candidates(page)
-                if b.plain or not gone or not any(b.branch[:d] in gone for d in range(1, len(b.branch) + 1))))
+            gone = set(template or [])
+            texts.append("\n".join(t for _, node, _, t in nodes(page) if node not in gone) if gone else "\n".join(t for _, t in candidates(page)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-#: A list of so many (host, branch) is sent to every task; a longer one is joined.
-SENT_BRANCHES = 20_000
+#: A list of so many (host, node) is sent to every task; a longer one is joined.
+SENT_NODES = 20_000
+
+
+def _template(pages: DataFrame) -> DataFrame:
+    """(host, template, n): the nodes of a host that are removed."""
+    low = F.col("importance") <= LEAST_IMPORTANCE
+    return settle(importance(pages).where(low).groupBy("host").agg(F.collect_set("node").alias("template"), F.count("*").alias("n")))
+
+
+def _with(pages: DataFrame, low: DataFrame, how: str) -> DataFrame:
+    size = low.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
+    low = low.select("host", "template")
+    return pages.join(F.broadcast(low) if size <= SENT_NODES else low, "host", how)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text), one row per page."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    low = settle(importance(rows.select("host", "html")).where(
-        (F.col("pages") >= LEAST_PAGES) & (F.col("importance") <= LEAST_IMPORTANCE)).groupBy("host").agg(
-        F.collect_list("branch").alias("template"), F.count("*").alias("n")))
-    size = low.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
-    low = low.select("host", "template")
-    joined = rows.join(F.broadcast(low) if size <= SENT_BRANCHES else low, "host", "left")
+    doubted = _template(rows.select("host", "html", F.lit(None).cast("array<long>").alias("doubted")))
+    # Copies of a page with small changes are different pages so far: pages alike apart from what is doubted count once.
+    low = _template(_with(rows.select("host", "html"), doubted, "inner").withColumnRenamed("template", "doubted"))
+    joined = _with(rows, low, "left")
     return joined.select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string")

@@ -124,6 +124,33 @@ def test_site_style_tree_removes_template(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+
+
+def test_copied_pages_keep_their_text(spark):
+    rng = random.Random(12)
+    page = lambda first, *texts: f"<html><body><div class='top'>{first}</div><div class='text'>" + "".join(f"<p>{t}</p>" for t in texts) + "</div></body></html>"
+    rows, want = [], {}
+
+    def add(host, texts, first="Our little slogan"):
+        i = len(rows)
+        rows.append((i, host, page(first, *texts)))
+        want[i] = "\n".join(texts)
+
+    copied = [prose(rng, 40), prose(rng, 50)]
+    for k in range(120):
+        add("http://copies.example/p", copied if k % 20 else [prose(rng, 40), prose(rng, 30)], prose(rng, 5))
+        want[k] = rows[k][2].split("'top'>")[1].split("<")[0] + "\n" + want[k]
+    near = [prose(rng, 40), prose(rng, 90), prose(rng, 40)]
+    for k in range(100):  # near copies beside others, all under one slogan
+        changed = near[1].split()
+        changed[k % 90] = prose(rng, 1)
+        add("http://near.example/p", [near[0], " ".join(changed), near[2]] if k % 5 else [prose(rng, 60), prose(rng, 20)])
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 # --- mixing ---
 
 def test_targets_share_the_whole():
