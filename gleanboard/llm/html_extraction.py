@@ -7,7 +7,8 @@ template, and is removed from every page of the host; nothing else of its
 branch is. Pages count once however often they are copied, also with small
 changes: pages are copies if they are alike apart from the repeated nodes, or if
 one repeated node heads them and such nodes are most of their text. So a host of
-copied pages keeps its texts. Running text of a page's article is not judged.
+copied pages keeps its texts. Running text of an article is judged like any
+other, at a lower bound.
 
 Before that, what names itself is left out: menus, headers, footers, sidebars,
 forms, scripts, styles, adverts, notices and reader comments, by element, class,
@@ -53,6 +54,8 @@ NOISE_NAMES = set("ad ads advert adverts advertisement advertising sponsor spons
 ROOTS = {"article", "main"}
 #: A node is removed if it stands on so many different pages, at or below this importance.
 LEAST_PAGES, LEAST_IMPORTANCE = 10, 0.2
+#: That a text runs in an article speaks for it: it must be repeated more often.
+LEAST_IN_ARTICLE = 0.1
 
 
 @dataclass
@@ -180,7 +183,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, doubted in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "doubted")), strict=True):
             found = nodes(page)
             same = _hash(*(text for *_, text in found)) if doubted is None else _same_page(found, set(doubted))
-            rows += [(host, *x, same) for x in {(branch, node, b.plain) for branch, node, b, _ in found if not b.plain}]
+            rows += [(host, *x, same) for x in {(branch, node, b.plain) for branch, node, b, _ in found}]
         if rows:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -216,7 +219,7 @@ SENT_NODES = 20_000
 
 def _template(pages: DataFrame) -> DataFrame:
     """(host, template, n): the nodes of a host that are removed."""
-    low = F.col("importance") <= LEAST_IMPORTANCE
+    low = F.col("importance") <= F.when(F.col("plain"), LEAST_IN_ARTICLE).otherwise(LEAST_IMPORTANCE)
     return settle(importance(pages).where(low).groupBy("host").agg(F.collect_set("node").alias("template"), F.count("*").alias("n")))
 
 

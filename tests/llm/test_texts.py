@@ -151,6 +151,22 @@ def test_copied_pages_keep_their_text(spark):
     assert got == want
 
 
+def test_repeated_notice_in_articles_goes(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for k in range(40):
+        texts = [prose(rng, 30), prose(rng, 20)]
+        rows.append((k, "http://one.example/p", f"<article><h1>{texts[0]}</h1><p>Please pass this page on to friends</p><p>{texts[1]}</p></article>"))
+        want[k] = "\n".join(texts)
+    copy = [prose(rng, 30), prose(rng, 20)]
+    for k in range(40, 100):  # mostly one article, each beneath a line of its own
+        texts = [prose(rng, 4), *(copy if k % 3 else [prose(rng, 30), prose(rng, 20)])]
+        rows.append((k, "http://two.example/p", "<article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"))
+        want[k] = "\n".join(texts)
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 # --- mixing ---
 
 def test_targets_share_the_whole():
