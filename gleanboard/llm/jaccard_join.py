@@ -46,6 +46,8 @@ BAND = 1.6
 #: A shingle in more than one of so many documents stays out of the sketches; at most
 #: COMMON x the mean set size of such shingles can exist, whatever the corpus holds.
 COMMON = 1000
+#: An open bucket is cut into blocks of about so many nodes.
+BLOCK = 2000
 
 
 def _bands() -> list[int]:
@@ -233,20 +235,35 @@ def _shared(share_pct: int):
     return run
 
 
+CELL = ["key", "lo", "hi", "part", "node", "component", "n", "sketch", "keys"]
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows of open buckets dealt out so that every two nodes of a bucket meet in one pair of blocks (lo, hi)."""
+    large = settle(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1"))
+    rows = rows.join(F.broadcast(large), "key", "left")  # at most a row for BLOCK rows of open buckets
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).select(*CELL)
+
+
 def _across(share_pct: int):
-    """From rows in order of key: pairs of different components whose sketches allow a link.
+    """From rows in order of (key, lo, hi): pairs of different components whose sketches allow a link.
 
     A pair is written in the least of the open buckets that it shares only.
     """
-    def pairs(key: int, rows: list[tuple]) -> list[tuple]:
-        node, comp, n, sketches, keys = zip(*rows, strict=True)
+    def pairs(cell: tuple, rows: list[tuple]) -> list[tuple]:
+        key, lo, hi = cell
+        part, node, comp, n, sketches, keys = zip(*rows, strict=True)
         lesser = [{k for k in ks if k < key} for ks in keys]
-        node, comp, n = np.array(node), np.array(comp), np.array(n)
+        part, node, comp, n = np.array(part), np.array(node), np.array(comp), np.array(n)
         bits = [np.frombuffer(x, dtype=U) for x in sketches]
         short = np.array([np.bitwise_xor.reduce(x.reshape(-1, SKETCH_WORDS), axis=0) for x in bits])  # all of one length
         found = []
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
+            if lo != hi:
+                j = j[part[j] != part[i]]
             j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= share_pct * np.maximum(n[j], n[i]))]
             far = np.bitwise_count(short[j] ^ short[i]).sum(axis=1, dtype=np.int64)
             j = j[far * (100 + share_pct) <= (n[j] + n[i]) * (100 - share_pct)]
@@ -256,19 +273,19 @@ def _across(share_pct: int):
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, done = None, [], set()
+        cell, rows, done = None, [], set()
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "component", "n", "sketch", "keys")), strict=True):
-                if k != key:
+            for k, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in CELL), strict=True):
+                if (k, lo, hi) != cell:
                     if len(rows) > 1:
-                        done.update(pairs(key, rows))
-                    key, rows = k, []
+                        done.update(pairs(cell, rows))
+                    cell, rows = (k, lo, hi), []
                 rows.append(row)
             if len(done) > 100_000:
                 yield _pairs(done)
                 done = set()
         if len(rows) > 1:
-            done.update(pairs(key, rows))
+            done.update(pairs(cell, rows))
         if done:
             yield _pairs(done)
     return run
@@ -333,7 +350,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_rows = settle(every.join(mixed, "key"))
     keys_of = open_rows.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most the keys of one document
     open_rows = open_rows.join(nodes.select("node", "n", "sketch"), "node").join(keys_of, "node")
-    crossing = (open_rows.select("key", "node", "component", "n", "sketch", "keys").repartition("key").sortWithinPartitions("key")
+    crossing = (_cells(open_rows).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
                 .mapInArrow(_across(share_pct), "a long, b long").distinct())
     second = settle(_verify(crossing.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
                                           ["a", "b"], "left_anti"), texts, nodes, width, share_pct))

@@ -68,6 +68,22 @@ def test_jaccard_groups(spark, seed):
     assert links.columns == ["a", "b"]
 
 
+def test_open_buckets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    rows = spark.range(103).selectExpr("if(id < 100, 1L, 2L) AS key", "id AS node", "id AS component", "5L AS n", "X'00' AS sketch", "array(1L) AS keys")
+    cells, met = {}, []
+    for r in jaccard_join._cells(rows).collect():
+        cells.setdefault((r["key"], r["lo"], r["hi"]), []).append((r["node"], r["part"]))
+    for (_, lo, hi), members in cells.items():
+        assert len(members) < 50
+        met += [(min(a, b), max(a, b)) for a, p in members for b, q in members if a < b and (lo == hi or p != q)]
+    assert sorted(met) == [(a, b) for a in range(103) for b in range(a + 1, 103) if (a < 100) == (b < 100)]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    docs = corpus(6)
+    got, _ = jaccard_join.jaccard_groups(spark.createDataFrame(docs, DOCS))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got.collect()) == brute_components(docs)
+
+
 def test_keys_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for common_share in (0.0, 0.3, 0.95):
