@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    bit_sliced,
     chat_format,
+    collocations,
     embedding_dedup,
     html_extraction,
+    importance,
     jaccard_join,
     language_id,
     mixing,
@@ -153,3 +156,68 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = quality_classifier.learn(docs, ratings)
     return quality_classifier.score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "expected_grade", "tail", (F.col("tail") >= 0.5).alias("kept"))
+
+
+@query("op11_bit_sliced", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])), 0) AS BIGINT) AS score
+      FROM v q JOIN v ON len(q.e) = len(v.e) AND v.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_sliced.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op12_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
+      FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT lang, g, a, j, array_to_string(w[1:j], ' ') AS h, array_to_string(w[j + 1:], ' ') AS t
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT x.lang, x.g, x.a, x.j, h.f AS l, t.f AS r, n.n,
+             CAST((1000::HUGEINT * x.a * n.n) // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+      FROM x JOIN f h ON h.lang = x.lang AND h.g = x.h JOIN f t ON t.lang = x.lang AND t.g = x.t JOIN n ON n.lang = x.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+i AS (SELECT c.lang, array_to_string(c.w[i:i + z - 1], ' ') AS g, max(c.a) AS around
+      FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM c) c, (SELECT unnest(range(2, 5)) AS z) WHERE z < c.k AND i + z - 1 <= c.k GROUP BY ALL),
+o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.g) AS rank
+      FROM m LEFT JOIN i ON i.lang = m.lang AND i.g = m.g WHERE i.around IS NULL OR 100 * i.around < 100 * m.a)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM o WHERE rank <= 2000""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_importance", r"""
+WITH k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+                  lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS k),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT unnest(w) AS w FROM (SELECT w FROM d UNION ALL SELECT w FROM b)),
+h AS (SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode(w))),
+             lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT))),
+             lambda c, y: xor(k[xor(c, y) % 256 + 1], c // 256)), 4294967295) % 10000 AS bucket FROM v, k),
+e AS (SELECT doc_id, unnest(w) AS w FROM d),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN h USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS w FROM b) JOIN h USING (w) GROUP BY 1),
+a AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS s, coalesce((SELECT sum(t) FROM t), 0) AS t),
+g AS (SELECT r.bucket, CAST(floor(1000 * ln(((coalesce(t.t, 0)::DOUBLE + 1) * (a.s::DOUBLE + 10000))
+             / ((coalesce(s.s, 0)::DOUBLE + 1) * (a.t::DOUBLE + 10000)))) AS BIGINT) AS gain
+      FROM (SELECT unnest(range(10000)) AS bucket) r LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), a),
+m AS (SELECT doc_id, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM e JOIN h USING (w) JOIN g USING (bucket) GROUP BY 1),
+o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+             (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296.0))) AS BIGINT) AS score
+      FROM d LEFT JOIN m USING (doc_id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place FROM o)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM o WHERE n_features >= 20) * 10 // 100 THEN place END AS rank FROM p""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
