@@ -13,8 +13,10 @@ once.
 
 Counting goes length by length. A phrase can only be frequent if both phrases of
 one word less in it are; a bitmap of the frequent ones (a bit for each CRC, of
-bounded size) is sent to the tasks, which leave out what it excludes. A false hit
-of the bitmap costs a row and changes no count.
+bounded size) is sent to the tasks, which leave out what it excludes. Once the
+frequent pairs are known the dictionary is cut down to the runs that such pairs
+form, and longer phrases are counted in these. A false hit of a bitmap costs a row
+and changes no count.
 
 Defined results: a null text is empty; a null language is UNKNOWN; rows that
 repeat count as often as they occur; texts and pieces of any length are parsed
@@ -64,12 +66,11 @@ class Parser:
 
     def __init__(self, longest: int = LONGEST, trigger: int = TRIGGER, most: int = MOST_WORDS):
         self.reach, self.trigger, self.most = longest - 1, trigger, most
-        self.hasher = WordHasher(lower=True, also=PUNCTUATION)
+        self.hasher = WordHasher(lower=False)
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, int]]:
         data = b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts).translate(PLAIN)
         data = SPACES.sub(b" ", data)
-        hashes, _ = self.hasher([*texts])
         byte = np.frombuffer(data, dtype=np.uint8)
         gap = (byte == 32) | (byte == 10)
         edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
@@ -83,10 +84,10 @@ class Parser:
         begins = np.zeros(len(start), dtype=bool)
         begins[first] = True
         if self.reach:
-            window = shingles(hashes, self.reach) % U(self.trigger) == 0
+            window = shingles(self.hasher.words(byte, start, end), self.reach) % U(self.trigger) == 0
             begins[: len(window)] |= window & (place[: len(window)] + self.reach <= last[: len(window)])
         else:
-            begins[hashes % U(self.trigger) == 0] = True
+            begins |= self.hasher.words(byte, start, end) % U(self.trigger) == 0
         at = np.flatnonzero(begins)
         since = place - np.repeat(at, np.diff(np.append(at, len(start))))
         at = np.flatnonzero(begins | (since % self.most == 0))
@@ -157,55 +158,72 @@ class _Names(dict):
         return at
 
 
+class _Chunks:
+    """The words of some chunks of one language, as numbers."""
+
+    def __init__(self, lang: str, chunks: list[bytes], owned: np.ndarray, weight: np.ndarray):
+        self.lang, self.weight = lang, weight
+        self.words = b" ".join(chunks).split(b" ")
+        self.names = _Names()
+        self.ids = np.fromiter(map(self.names.__getitem__, self.words), dtype=np.int64, count=len(self.words))
+        self.sizes = np.fromiter((c.count(b" ") for c in chunks), dtype=np.int64, count=len(chunks)) + 1
+        self.chunk = np.repeat(np.arange(len(chunks)), self.sizes)
+        self.inside = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.left, self.owned = self.sizes[self.chunk] - self.inside, owned
+
+    def phrases(self, width: int, bitmaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(places, number of the phrase at each, texts) of the phrases of ``width`` words whose shorter parts are frequent."""
+        at, code, texts = np.arange(len(self.words)), self.ids, list(self.names)
+        for size in range(2, width + 1):
+            good = self.hit(texts, bitmaps[size - 2])[code]
+            known = np.full(len(self.words) + 1, -1, dtype=np.int64)
+            known[at[good]] = code[good]
+            at = at[good]
+            at = at[(known[at + 1] >= 0) & (self.left[at] >= size)]  # the parts at this place and at the next
+            _, first, code = np.unique(known[at] * len(self.names) + self.ids[at + size - 1], return_index=True, return_inverse=True)
+            texts = [b" ".join(self.words[i: i + size]) for i in at[first].tolist()]
+        return at, code, texts
+
+    def hit(self, texts: list[bytes], bitmap: np.ndarray) -> np.ndarray:
+        bit = np.fromiter((crc(self.lang, t) for t in texts), dtype=np.int64, count=len(texts)) & (8 * len(bitmap) - 1)
+        return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def count_chunks(lang: str, chunks: list[bytes], owned: np.ndarray, weight: np.ndarray, width: int,
                  bitmaps: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
     """Phrases of ``width`` words and their weighted counts. ``bitmaps``: of the frequent shorter ones, by length."""
-    words = b" ".join(chunks).split(b" ")
-    names = _Names()
-    ids = np.fromiter(map(names.__getitem__, words), dtype=np.int64, count=len(words))
-    sizes = np.fromiter((c.count(b" ") for c in chunks), dtype=np.int64, count=len(chunks)) + 1
-    chunk = np.repeat(np.arange(len(chunks)), sizes)
-    inside = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    left, own = sizes[chunk] - inside, inside < owned[chunk]
-    at, code, n_codes = np.arange(len(words)), ids, len(names)
-    first = None  # a place of every code
-    for size in range(1, width + 1):
-        if size > 1:
-            # Both shorter phrases must be there: that at a place and that at the next.
-            known = np.full(len(words) + 1, -1, dtype=np.int64)
-            known[at] = code
-            at = at[(known[at + 1] >= 0) & (left[at] >= size)]
-            pairs = known[at] * len(names) + ids[at + size - 1]
-            _, first, code = np.unique(pairs, return_index=True, return_inverse=True)
-            first, n_codes = at[first], len(first)
-        if size == width:
-            break
-        if size == 1:
-            texts = list(names)
-        else:
-            texts = [b" ".join(words[i: i + size]) for i in first.tolist()]
-        bitmap = bitmaps[size - 1]
-        bit = np.fromiter((crc(lang, t) for t in texts), dtype=np.int64, count=len(texts)) % (8 * len(bitmap))
-        good = ((bitmap[bit >> 3] >> (bit & 7)) & 1).astype(bool)[code]
-        at, code = at[good], code[good]
-    mine = own[at]
-    counts = np.bincount(code[mine], weights=weight[chunk[at[mine]]].astype(np.float64), minlength=n_codes).astype(np.int64)
+    part = _Chunks(lang, chunks, owned, weight)
+    at, code, texts = part.phrases(width, bitmaps)
+    mine = part.inside[at] < owned[part.chunk[at]]
+    counts = np.bincount(code[mine], weights=weight[part.chunk[at[mine]]].astype(np.float64), minlength=len(texts)).astype(np.int64)
     some = np.flatnonzero(counts)
-    if width == 1:
-        texts = list(names)
-        return [texts[i] for i in some.tolist()], counts[some]
-    return [b" ".join(words[i: i + width]) for i in first[some].tolist()], counts[some]
+    return [texts[i] for i in some.tolist()], counts[some]
 
 
-def phrase_counts(chunks: DataFrame, width: int, bitmaps: list[np.ndarray]) -> DataFrame:
-    """(lang, phrase, n) of all phrases of ``width`` words that the bitmaps do not exclude."""
-    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
+def frequent_runs(lang: str, chunks: list[bytes], owned: np.ndarray, weight: np.ndarray,
+                  bitmaps: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(run, words that it owns, weight): the longest runs of three or more words in which all neighbours are frequent pairs."""
+    part = _Chunks(lang, chunks, owned, weight)
+    at, code, texts = part.phrases(2, bitmaps)
+    pair = np.zeros(len(part.words) + 1, dtype=bool)
+    pair[at[part.hit(texts, bitmaps[1])[code]]] = True
+    edge = np.flatnonzero(np.diff(pair.view(np.int8), prepend=0))
+    start, end = edge[0::2], edge[1::2]  # the pairs at start .. end - 1 reach to the word at end
+    own = np.minimum(owned[part.chunk[start]] - part.inside[start], end + 1 - start)
+    some = np.flatnonzero((end - start >= 2) & (own > 0))
+    runs = [b" ".join(part.words[a: b + 1]) for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+    return runs, own[some], weight[part.chunk[start[some]]]
+
+
+def _by_slices(chunks: DataFrame, count, schema: str) -> DataFrame:
+    """``count(lang, chunks, owned, weight)`` over slices of bounded bytes, its columns behind the language."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         size = 0
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(4)]
+            columns = [batch.column(c).to_pylist() for c in ("lang", "chunk", "owned", "weight")]
             for lang, chunk, owned, weight in zip(*columns, strict=True):
                 part = held.setdefault(lang, [[], [], []])
                 part[0].append(chunk)
@@ -213,20 +231,33 @@ def phrase_counts(chunks: DataFrame, width: int, bitmaps: list[np.ndarray]) -> D
                 part[2].append(weight)
                 size += len(chunk)
                 if size >= SLICE_BYTES:
-                    yield from counted(held)
+                    yield from done(held)
                     held, size = {}, 0
-        yield from counted(held)
+        yield from done(held)
 
-    def counted(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    def done(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
         for lang, (found, owned, weight) in held.items():
-            phrases, n = count_chunks(lang, found, np.array(owned), np.array(weight), width, shared.value)
-            if phrases:
+            texts, *numbers = count(lang, found, np.array(owned), np.array(weight))
+            if texts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-                    names=["lang", "phrase", "n"])
+                    [pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), *(pa.array(n, pa.int64()) for n in numbers)],
+                    names=names)
 
-    counts = chunks.mapInArrow(run, "lang string, phrase string, n long")
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return chunks.mapInArrow(run, schema)
+
+
+def phrase_counts(chunks: DataFrame, width: int, bitmaps: list[np.ndarray]) -> DataFrame:
+    """(lang, phrase, n) of all phrases of ``width`` words that the bitmaps do not exclude."""
+    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
+    counts = _by_slices(chunks, lambda *part: count_chunks(*part, width, shared.value), "lang string, phrase binary, n long")
+    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn("phrase", F.col("phrase").cast("string"))
+
+
+def pruned(chunks: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
+    """The dictionary without what cannot hold a frequent phrase of three words."""
+    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
+    runs = _by_slices(chunks, lambda *part: frequent_runs(*part, shared.value), "lang string, chunk binary, owned long, weight long")
+    return runs.groupBy("lang", "chunk", "owned").agg(F.sum("weight").alias("weight"))
 
 
 def _part(first: Column | int, words: Column | int) -> Column:
@@ -246,8 +277,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     dictionary(docs, text, lang, longest, trigger).write.parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
     bitmaps: list[np.ndarray] = []
+    counted = chunks
     for width in range(1, longest + 1):
-        phrase_counts(chunks, width, bitmaps).where(F.col("n") >= least).write.parquet(f"{folder}/counts/width={width}")
+        if width == 3:
+            pruned(chunks, bitmaps).write.parquet(f"{folder}/runs")
+            counted = spark.read.parquet(f"{folder}/runs")
+        phrase_counts(counted, width, bitmaps).where(F.col("n") >= least).write.parquet(f"{folder}/counts/width={width}")
         if width < longest:
             bitmaps.append(frequent_bitmap(spark.read.parquet(f"{folder}/counts/width={width}")))
     counts = spark.read.parquet(*[f"{folder}/counts/width={w}" for w in range(1, longest + 1)])

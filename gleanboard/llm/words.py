@@ -63,18 +63,22 @@ class WordHasher:
         self._slice(part, hashes, counts)
         return np.concatenate([np.zeros(0, dtype=U), *hashes]), np.cumsum(np.concatenate(counts))
 
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of every word [start, end) of some bytes."""
+        self._powers(len(data))
+        sums = np.zeros(len(data) + 1, dtype=U)
+        np.cumsum(self.value[data] * self.up[: len(data)], out=sums[1:], dtype=U)
+        h = (sums[end] - sums[start]) * self.down[start]
+        return mix(h + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
+
     def _slice(self, part: list[bytes], hashes: list, counts: list) -> None:
         if not part:
             return
         data = np.frombuffer(b" ".join(part) + b" ", dtype=np.uint8)
-        self._powers(len(data))
         space = self.space[data]
         edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
         start, end = edge[0::2], edge[1::2]
-        sums = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum(self.value[data] * self.up[: len(data)], out=sums[1:], dtype=U)
-        h = (sums[end] - sums[start]) * self.down[start]
-        hashes.append(mix(h + (end - start).astype(U) * U(0x9E3779B97F4A7C15)))
+        hashes.append(self.words(data, start, end))
         lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1
         counts.append(np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))))
 
