@@ -12,7 +12,7 @@ long enough for every phrase that begins before it, so each occurrence is counte
 once.
 
 Counting goes length by length. A phrase can only be frequent if both phrases of
-one word less in it are; a bitmap of the frequent ones (a bit for each CRC, of
+one word less in it are; a bitmap of the frequent ones (a bit for each hash, of
 bounded size) is sent to the tasks, which leave out what it excludes. Once the
 frequent pairs are known the dictionary is cut down to the runs that such pairs
 form, and longer phrases are counted in these. A false hit of a bitmap costs a row
@@ -22,7 +22,9 @@ Defined results: a null text is empty; a null language is UNKNOWN; rows that
 repeat count as often as they occur; texts and pieces of any length are parsed
 whole; words are compared by their bytes; ties in score fall to the greater count
 and then to the smaller phrase; an empty table gives an empty result; other
-columns are not read. Scores are exact (38 digits before the division).
+columns are not read. Scores are exact (38 digits before the division). Within a
+slice of a task equal 64-bit hashes stand for equal phrases; counts of tasks are
+summed by the phrases themselves.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import top_k_per_group
-from ..session import scratch_path
-from .words import U, WordHasher, shingles
+from ..session import bounded_batches, scratch_path
+from .words import U, WordHasher, mix, mix_one, shingles
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -52,8 +54,8 @@ TRIGGER = 16
 MOST_WORDS = 64
 #: Bytes that are parsed or counted at a time; a longer text is parsed alone.
 SLICE_BYTES = 4_000_000
-#: Chunks that a task gathers before it hands them on.
-HELD_CHUNKS = 200_000
+#: Chunks or words that a task gathers before it hands them on.
+HELD_ROWS = 300_000
 #: Bits of a bitmap: 32 for each phrase in it, within these bounds (4 KB and 32 MB).
 LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
 PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
@@ -62,45 +64,66 @@ SPACES = re.compile(b" {2,}")
 
 
 class Parser:
-    """Cuts texts into (chunk, words that it owns)."""
+    """Cuts texts into chunks: (chunk, words that it owns), and tells their words."""
 
     def __init__(self, longest: int = LONGEST, trigger: int = TRIGGER, most: int = MOST_WORDS):
         self.reach, self.trigger, self.most = longest - 1, trigger, most
         self.hasher = WordHasher(lower=False)
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, int]]:
+    def __call__(self, texts: list[str]) -> tuple[list[tuple[bytes, int]], _Words]:
         data = b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts).translate(PLAIN)
-        data = SPACES.sub(b" ", data)
-        byte = np.frombuffer(data, dtype=np.uint8)
-        gap = (byte == 32) | (byte == 10)
-        edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
-        start, end = edge[0::2], edge[1::2]
-        if not len(start):
-            return
-        piece = np.cumsum(byte == 10)[start]
-        first = np.flatnonzero(np.diff(piece, prepend=-1))
-        place = np.arange(len(start))
-        last = np.repeat(np.append(first[1:], len(start)), np.diff(np.append(first, len(start))))
-        begins = np.zeros(len(start), dtype=bool)
+        words = _Words(SPACES.sub(b" ", data), self.hasher)
+        count = len(words.start)
+        if not count:
+            return [], words
+        first = np.flatnonzero(np.diff(words.piece, prepend=-1))
+        place = np.arange(count)
+        last = np.repeat(np.append(first[1:], count), np.diff(np.append(first, count)))
+        begins = np.zeros(count, dtype=bool)
         begins[first] = True
         if self.reach:
-            window = shingles(self.hasher.words(byte, start, end), self.reach) % U(self.trigger) == 0
+            window = shingles(words.hash, self.reach) % U(self.trigger) == 0
             begins[: len(window)] |= window & (place[: len(window)] + self.reach <= last[: len(window)])
         else:
-            begins |= self.hasher.words(byte, start, end) % U(self.trigger) == 0
+            begins |= words.hash % U(self.trigger) == 0
         at = np.flatnonzero(begins)
-        since = place - np.repeat(at, np.diff(np.append(at, len(start))))
+        since = place - np.repeat(at, np.diff(np.append(at, count)))
         at = np.flatnonzero(begins | (since % self.most == 0))
-        owned = np.diff(np.append(at, len(start)))
+        owned = np.diff(np.append(at, count))
         final = np.minimum(at + owned + self.reach, last[at]) - 1
-        for a, b, own in zip(start[at].tolist(), end[final].tolist(), owned.tolist(), strict=True):
-            yield data[a:b], own
+        return list(zip(words.texts(at, final), owned.tolist(), strict=True)), words
+
+
+class _Words:
+    """The words of some bytes: pieces are lines, words are parted by one space or more."""
+
+    def __init__(self, data: bytes, hasher: WordHasher):
+        self.data = data
+        byte = np.frombuffer(data, dtype=np.uint8)
+        line = byte == 10
+        edge = np.flatnonzero(np.diff((line | (byte == 32)).view(np.int8), prepend=1, append=1))
+        self.start, self.end = edge[0::2], edge[1::2]
+        self.piece = np.searchsorted(np.flatnonzero(line), self.start)
+        self.hash = hasher.words(byte, self.start, self.end)
+
+    def texts(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """What stands from one word to another of the same piece."""
+        data = self.data
+        return [data[a:b] for a, b in zip(self.start[first].tolist(), self.end[last].tolist(), strict=True)]
 
+    def phrases(self, width: int, lang: str) -> np.ndarray:
+        """A hash of the phrase of ``width`` words at every place, other ones in other languages."""
+        return mix(shingles(self.hash, width) ^ U(mix_one(zlib.crc32(lang.encode()))))
 
-def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, trigger: int = TRIGGER) -> DataFrame:
-    """(lang, chunk, owned, weight): the distinct chunks of the corpus and how often each occurs."""
+
+def dictionary(docs: DataFrame, path: str, text: str = "text", lang: str = "lang", longest: int = LONGEST, trigger: int = TRIGGER) -> None:
+    """Writes the distinct chunks of the corpus and its words, each with how often it occurs.
+
+    Rows: (lang, chunk, owned, h, weight), in the folders kind=chunk and kind=word; a
+    word's row holds its hash, a chunk's the number of words that it owns.
+    """
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser, held = Parser(longest, trigger), Counter()
+        parser, chunks, words = Parser(longest, trigger), Counter(), Counter()
         for batch in batches:
             texts, langs = batch.column(1), batch.column(0).to_pylist()
             by_lang: dict[str, list[int]] = {}
@@ -112,152 +135,139 @@ def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", longest:
                     part.append(texts[i].as_py())
                     size += len(part[-1])
                     if size >= SLICE_BYTES or j == len(rows) - 1:
-                        held.update((name, chunk, own) for chunk, own in parser(part))
+                        cut, found = parser(part)
+                        chunks.update((name, chunk, own) for chunk, own in cut)
+                        for word, h, n in counted(found.phrases(1, name), found, 1):
+                            words[name, word, h] += n
                         part, size = [], 0
-                        if len(held) >= HELD_CHUNKS:
-                            yield handed(held)
-                            held = Counter()
-        if held:
-            yield handed(held)
-
-    def handed(held: Counter) -> pa.RecordBatch:
-        names, chunks, owned = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(chunks, pa.binary()), pa.array(owned, pa.int32()), pa.array(held.values(), pa.int64())],
-            names=["lang", "chunk", "owned", "weight"])
+                        if len(chunks) >= HELD_ROWS or len(words) >= HELD_ROWS:
+                            yield from handed(chunks, words)
+                            chunks, words = Counter(), Counter()
+        yield from handed(chunks, words)
+
+    def handed(chunks: Counter, words: Counter) -> Iterator[pa.RecordBatch]:
+        for kind, held in (("chunk", chunks), ("word", words)):
+            if held:
+                names, texts, numbers = zip(*held, strict=True)
+                zero, numbers = pa.array(np.zeros(len(held), dtype=np.int64)), pa.array(numbers, pa.int64())
+                owned, h = (numbers, zero) if kind == "chunk" else (zero, numbers)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(held)), pa.array(names, pa.string()), pa.array(texts, pa.binary()), owned, h,
+                     pa.array(held.values(), pa.int64())], names=["kind", "lang", "chunk", "owned", "h", "weight"])
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    parsed = rows.mapInArrow(parse, "lang string, chunk binary, owned int, weight long")
-    return parsed.groupBy("lang", "chunk", "owned").agg(F.sum("weight").alias("weight"))
-
-
-def crc(lang: str, phrase: bytes) -> int:
-    return zlib.crc32(lang.encode() + b"\0" + phrase)
-
-
-def crc_column() -> Column:
-    return F.crc32(F.concat(F.col("lang").cast("binary"), F.lit("\0").cast("binary"), F.col("phrase").cast("binary")))
+    parsed = rows.mapInArrow(parse, "kind string, lang string, chunk binary, owned long, h long, weight long")
+    summed = parsed.groupBy("kind", "lang", "chunk", "owned", "h").agg(F.sum("weight").alias("weight"))
+    summed.write.partitionBy("kind").parquet(path)
+
+
+def counted(h: np.ndarray, words: _Words, width: int, at: np.ndarray | None = None, weight: np.ndarray | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """(phrase, hash, times) of the different phrases at some places, or at all."""
+    h = h if at is None else h[at]
+    if not len(h):
+        return iter(())
+    if weight is None:
+        values, first, times = np.unique(h, return_index=True, return_counts=True)
+    else:
+        order = np.argsort(h, kind="stable")
+        begin = np.flatnonzero(np.diff(h[order], prepend=~h[order[0]]))
+        values, first, times = h[order[begin]], order[begin], np.add.reduceat(weight[order], begin)
+    place = first if at is None else at[first]
+    return zip(words.texts(place, place + width - 1), values.view(np.int64).tolist(), times.tolist(), strict=True)
 
 
 def frequent_bitmap(frequent: DataFrame) -> np.ndarray:
-    """Bits of the CRCs of (lang, phrase); a power of two of them, bounded whatever the corpus."""
+    """Bits of the hashes of frequent phrases; a power of two of them, bounded whatever the corpus."""
     wanted = 32 * max(1, frequent.count())
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (wanted - 1).bit_length()))
-    place = crc_column() % bits
-    words = frequent.groupBy(F.shiftright(place, 15).cast("int").alias("word")).agg(
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    parts = frequent.groupBy(F.shiftright(place, 15).cast("int").alias("part")).agg(
         F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("map"))
     out = np.zeros((bits >> 15, 1 << 12), dtype=np.uint8)
-    for row in words.collect():
-        out[row["word"]] = np.frombuffer(row["map"], dtype=np.uint8)
+    for row in parts.collect():
+        out[row["part"]] = np.frombuffer(row["map"], dtype=np.uint8)
     return out.reshape(-1)
 
 
-class _Names(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        return at
-
-
-class _Chunks:
-    """The words of some chunks of one language, as numbers."""
-
-    def __init__(self, lang: str, chunks: list[bytes], owned: np.ndarray, weight: np.ndarray):
-        self.lang, self.weight = lang, weight
-        self.words = b" ".join(chunks).split(b" ")
-        self.names = _Names()
-        self.ids = np.fromiter(map(self.names.__getitem__, self.words), dtype=np.int64, count=len(self.words))
-        self.sizes = np.fromiter((c.count(b" ") for c in chunks), dtype=np.int64, count=len(chunks)) + 1
-        self.chunk = np.repeat(np.arange(len(chunks)), self.sizes)
-        self.inside = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.left, self.owned = self.sizes[self.chunk] - self.inside, owned
-
-    def phrases(self, width: int, bitmaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(places, number of the phrase at each, texts) of the phrases of ``width`` words whose shorter parts are frequent."""
-        at, code, texts = np.arange(len(self.words)), self.ids, list(self.names)
-        for size in range(2, width + 1):
-            good = self.hit(texts, bitmaps[size - 2])[code]
-            known = np.full(len(self.words) + 1, -1, dtype=np.int64)
-            known[at[good]] = code[good]
-            at = at[good]
-            at = at[(known[at + 1] >= 0) & (self.left[at] >= size)]  # the parts at this place and at the next
-            _, first, code = np.unique(known[at] * len(self.names) + self.ids[at + size - 1], return_index=True, return_inverse=True)
-            texts = [b" ".join(self.words[i: i + size]) for i in at[first].tolist()]
-        return at, code, texts
-
-    def hit(self, texts: list[bytes], bitmap: np.ndarray) -> np.ndarray:
-        bit = np.fromiter((crc(self.lang, t) for t in texts), dtype=np.int64, count=len(texts)) & (8 * len(bitmap) - 1)
-        return ((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
-
-
-def count_chunks(lang: str, chunks: list[bytes], owned: np.ndarray, weight: np.ndarray, width: int,
-                 bitmaps: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-    """Phrases of ``width`` words and their weighted counts. ``bitmaps``: of the frequent shorter ones, by length."""
-    part = _Chunks(lang, chunks, owned, weight)
-    at, code, texts = part.phrases(width, bitmaps)
-    mine = part.inside[at] < owned[part.chunk[at]]
-    counts = np.bincount(code[mine], weights=weight[part.chunk[at[mine]]].astype(np.float64), minlength=len(texts)).astype(np.int64)
-    some = np.flatnonzero(counts)
-    return [texts[i] for i in some.tolist()], counts[some]
-
-
-def frequent_runs(lang: str, chunks: list[bytes], owned: np.ndarray, weight: np.ndarray,
-                  bitmaps: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(run, words that it owns, weight): the longest runs of three or more words in which all neighbours are frequent pairs."""
-    part = _Chunks(lang, chunks, owned, weight)
-    at, code, texts = part.phrases(2, bitmaps)
-    pair = np.zeros(len(part.words) + 1, dtype=bool)
-    pair[at[part.hit(texts, bitmaps[1])[code]]] = True
-    edge = np.flatnonzero(np.diff(pair.view(np.int8), prepend=0))
-    start, end = edge[0::2], edge[1::2]  # the pairs at start .. end - 1 reach to the word at end
-    own = np.minimum(owned[part.chunk[start]] - part.inside[start], end + 1 - start)
-    some = np.flatnonzero((end - start >= 2) & (own > 0))
-    runs = [b" ".join(part.words[a: b + 1]) for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
-    return runs, own[some], weight[part.chunk[start[some]]]
-
-
-def _by_slices(chunks: DataFrame, count, schema: str) -> DataFrame:
-    """``count(lang, chunks, owned, weight)`` over slices of bounded bytes, its columns behind the language."""
+def hit(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    bit = h & U(8 * len(bitmap) - 1)
+    return ((bitmap[bit >> U(3)] >> (bit & U(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+class _Chunks(_Words):
+    """The words of some chunks of one language."""
+
+    def __init__(self, lang: str, chunks: list[bytes], owned: np.ndarray, weight: np.ndarray, hasher: WordHasher):
+        super().__init__(b"\n".join(chunks), hasher)
+        self.lang = lang
+        sizes = np.bincount(self.piece, minlength=len(chunks))
+        inside = np.arange(len(self.piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.left, self.own, self.weight = sizes[self.piece] - inside, owned[self.piece] - inside, weight[self.piece]
+
+    def frequent(self, width: int, bitmap: np.ndarray) -> np.ndarray:
+        """Whether a phrase of ``width`` words that may be frequent begins at each place (and one place more)."""
+        out = np.zeros(len(self.hash) + 1, dtype=bool)
+        h = self.phrases(width, self.lang)
+        out[: len(h)] = hit(h, bitmap) & (self.left[: len(h)] >= width)
+        return out
+
+    def count(self, width: int, bitmap: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+        """(phrase, hash, times) of the phrases whose parts of one word less may both be frequent."""
+        parts = self.frequent(width - 1, bitmap)
+        at = np.flatnonzero(parts[:-1] & parts[1:] & (self.left >= width) & (self.own > 0))
+        return counted(self.phrases(width, self.lang), self, width, at, self.weight[at])
+
+    def runs(self, bitmap: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+        """(run, words that it owns, weight): the longest runs of three or more words in which all neighbours are frequent pairs."""
+        edge = np.flatnonzero(np.diff(self.frequent(2, bitmap).view(np.int8), prepend=0))
+        start, end = edge[0::2], edge[1::2]  # the pairs at start .. end - 1 reach to the word at end
+        own = np.minimum(self.own[start], end + 1 - start)
+        some = np.flatnonzero((end - start >= 2) & (own > 0))
+        return zip(self.texts(start[some], end[some]), own[some].tolist(), self.weight[start[some]].tolist(), strict=True)
+
+
+def _by_slices(chunks: DataFrame, rows_of, schema: str) -> DataFrame:
+    """``rows_of(part)`` for parts of the dictionary of bounded bytes: (text, number, number) behind the language."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        size = 0
+        hasher, held, size = WordHasher(lower=False), {}, 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("lang", "chunk", "owned", "weight")]
-            for lang, chunk, owned, weight in zip(*columns, strict=True):
-                part = held.setdefault(lang, [[], [], []])
-                part[0].append(chunk)
-                part[1].append(owned)
-                part[2].append(weight)
-                size += len(chunk)
+            langs, found = batch.column("lang").to_pylist(), batch.column("chunk").to_pylist()
+            numbers = [batch.column(c).to_pylist() for c in ("owned", "weight")]
+            for lang, *row in zip(langs, found, *numbers, strict=True):
+                held.setdefault(lang, []).append(row)
+                size += len(row[0])
                 if size >= SLICE_BYTES:
-                    yield from done(held)
+                    yield from done(held, hasher)
                     held, size = {}, 0
-        yield from done(held)
-
-    def done(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        for lang, (found, owned, weight) in held.items():
-            texts, *numbers = count(lang, found, np.array(owned), np.array(weight))
-            if texts:
+        yield from done(held, hasher)
+
+    def done(held: dict[str, list], hasher: WordHasher) -> Iterator[pa.RecordBatch]:
+        for lang, rows in held.items():
+            found, owned, weight = zip(*rows, strict=True)
+            out = list(rows_of(_Chunks(lang, list(found), np.array(owned), np.array(weight), hasher)))
+            if out:
+                text, x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), *(pa.array(n, pa.int64()) for n in numbers)],
+                    [pa.array([lang] * len(out), pa.string()), pa.array(text, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64())],
                     names=names)
 
     return chunks.mapInArrow(run, schema)
 
 
-def phrase_counts(chunks: DataFrame, width: int, bitmaps: list[np.ndarray]) -> DataFrame:
-    """(lang, phrase, n) of all phrases of ``width`` words that the bitmaps do not exclude."""
-    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
-    counts = _by_slices(chunks, lambda *part: count_chunks(*part, width, shared.value), "lang string, phrase binary, n long")
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn("phrase", F.col("phrase").cast("string"))
+def phrase_counts(chunks: DataFrame, width: int, bitmap: np.ndarray) -> DataFrame:
+    """(lang, phrase, h, n) of the phrases of ``width`` words that the bitmap of the shorter ones does not exclude."""
+    shared = chunks.sparkSession.sparkContext.broadcast(bitmap)
+    rows = _by_slices(chunks, lambda part: part.count(width, shared.value), "lang string, phrase binary, h long, n long")
+    return rows.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
 
 
-def pruned(chunks: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
+def pruned(chunks: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """The dictionary without what cannot hold a frequent phrase of three words."""
-    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
-    runs = _by_slices(chunks, lambda *part: frequent_runs(*part, shared.value), "lang string, chunk binary, owned long, weight long")
-    return runs.groupBy("lang", "chunk", "owned").agg(F.sum("weight").alias("weight"))
+    shared = chunks.sparkSession.sparkContext.broadcast(bitmap)
+    rows = _by_slices(chunks, lambda part: part.runs(shared.value), "lang string, chunk binary, owned long, weight long")
+    return rows.groupBy("lang", "chunk", "owned").agg(F.sum("weight").alias("weight"))
 
 
 def _part(first: Column | int, words: Column | int) -> Column:
@@ -273,19 +283,23 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     phrase with at least ``covered`` percent of its count is left out.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = scratch_path(spark, f"phrases-{uuid.uuid4().hex[:8]}")
-    dictionary(docs, text, lang, longest, trigger).write.parquet(f"{folder}/chunks")
-    chunks = spark.read.parquet(f"{folder}/chunks")
-    bitmaps: list[np.ndarray] = []
+    dictionary(docs, f"{folder}/parse", text, lang, longest, trigger)
+    schema = "lang string, chunk binary, owned long, h long, weight long"
+    parsed = spark.read.schema(schema + ", kind string").parquet(f"{folder}/parse")
+    chunks, words = (parsed.where(F.col("kind") == kind).drop("kind") for kind in ("chunk", "word"))
     counted = chunks
     for width in range(1, longest + 1):
         if width == 3:
-            pruned(chunks, bitmaps).write.parquet(f"{folder}/runs")
+            pruned(chunks, bitmap).write.parquet(f"{folder}/runs")
             counted = spark.read.parquet(f"{folder}/runs")
-        phrase_counts(counted, width, bitmaps).where(F.col("n") >= least).write.parquet(f"{folder}/counts/width={width}")
+        rows = phrase_counts(counted, width, bitmap) if width > 1 else words.withColumnsRenamed({"chunk": "phrase", "weight": "n"})
+        rows.where(F.col("n") >= least).select("lang", F.col("phrase").cast("string").alias("phrase"), "h", "n").write.parquet(
+            f"{folder}/counts/width={width}")
         if width < longest:
-            bitmaps.append(frequent_bitmap(spark.read.parquet(f"{folder}/counts/width={width}")))
-    counts = spark.read.parquet(*[f"{folder}/counts/width={w}" for w in range(1, longest + 1)])
+            bitmap = frequent_bitmap(spark.read.parquet(f"{folder}/counts/width={width}"))
+    counts = spark.read.parquet(*[f"{folder}/counts/width={w}" for w in range(1, longest + 1)]).drop("h")
     totals = chunks.groupBy("lang").agg(F.sum(F.col("owned") * F.col("weight")).alias("total"))
 
     candidates = counts.withColumn("words", F.split("phrase", " ")).where(F.size("words") > 1)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_rank
-from ..session import scratch_path, settle
+from ..session import bounded_batches, scratch_path, settle
 
 BUCKETS = 10_000
 LONGEST = 1
@@ -168,6 +168,7 @@ def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: s
     Of the documents with ``least_words`` words, floor(``percent`` / 100 of them) are drawn.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = scratch_path(spark, f"importance-{uuid.uuid4().hex[:8]}")
     gain = np.zeros(buckets, dtype=np.int64)
     for row in gains(bucket_counts(docs, text, buckets, longest), bucket_counts(target, target_text, buckets, longest), buckets).collect():

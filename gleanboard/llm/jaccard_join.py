@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, settle
+from ..session import bounded_batches, scratch_path, settle
 from . import graph
 from .words import U, WordHasher, mix, mix_one, shingle_sets
 
@@ -75,9 +75,11 @@ class Keys:
             rare = s[self.common[at] != s]
         band = bisect_right(self.edges, n) - 1
         out = self._layout(s, rare, band, int((n + n / self.share) * self.differ + 1e-9))
-        below = self.edges[band] - 1
-        if band and below >= self.share * n - 1e-9:  # partners in the band below
-            out += self._layout(s, rare, band - 1, int((n + below) * self.differ + 1e-9))
+        for lower in range(band - 1, -1, -1):  # partners in the bands below
+            most = self.edges[lower + 1] - 1
+            if most < self.share * n - 1e-9:
+                break
+            out += self._layout(s, rare, lower, int((n + most) * self.differ + 1e-9))
         return np.unique(np.concatenate(out)).view(np.int64)
 
     def _layout(self, s: np.ndarray, rare: np.ndarray, band: int, d: int) -> list[np.ndarray]:
@@ -152,29 +154,59 @@ def _sets(batch: pa.RecordBatch, hasher: WordHasher, width: int) -> Iterator[np.
 def _profile(width: int):
     """Per document its size, node and sketch; per task the shingles that are common in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, keys, counts = WordHasher(lower=True), 0, np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+        hasher, often = WordHasher(lower=True), Frequent()
         for batch in batches:
-            sizes, nodes, sketches, sets = [], [], [], []
+            sizes, nodes, sketches = [], [], []
             for s in _sets(batch, hasher, width):
                 sizes.append(len(s))
                 nodes.append(fingerprint(s) if len(s) else None)
                 sketches.append(sketch(s) if len(s) else None)
-                sets.append(s)
-            yield _rows(batch.column("doc_id"), sizes, nodes, sketches)
-            # Lossy counting: what stays below one in 2 x COMMON documents of the task is forgotten.
-            seen += len(sets)
-            both, inverse = np.unique(np.concatenate([keys, *sets]), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate([counts, np.ones(len(inverse) - len(counts))]), minlength=len(both))
-            stay = total > max(1.0, seen / (2 * COMMON))
-            keys, counts = both[stay], total[stay].astype(np.int64)
-        yield _rows(pa.nulls(len(keys), pa.int64()), counts.tolist(), keys.view(np.int64).tolist(), [b""] * len(keys))
+                often.add(s)
+            yield _rows(batch.column("doc_id"), batch.column("h"), sizes, nodes, sketches)
+        keys, counts = often.fold()
+        none = pa.nulls(len(keys), pa.int64())
+        yield _rows(none, none, counts.tolist(), keys.view(np.int64).tolist(), [b""] * len(keys))
     return run
 
 
-def _rows(ids, sizes, nodes, sketches) -> pa.RecordBatch:
+class Frequent:
+    """Lossy counting: what stays below one in 2 x COMMON documents of the task is forgotten.
+
+    Sets are gathered up to HELD shingles and folded into the counts together.
+    """
+
+    HELD = 3_000_000
+
+    def __init__(self):
+        self.seen, self.held, self.sets = 0, 0, []
+        self.keys, self.counts = np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
+
+    def add(self, s: np.ndarray) -> None:
+        self.seen += 1
+        self.held += len(s)
+        self.sets.append(s)
+        if self.held >= self.HELD:
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.sets:
+            new, counts = np.unique(np.concatenate(self.sets), return_counts=True)
+            self.sets, self.held = [], 0
+            both = np.concatenate([self.keys, new])
+            counts = np.concatenate([self.counts, counts])
+            order = np.argsort(both, kind="stable")
+            both, counts = both[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            total = np.add.reduceat(counts, first) if len(both) else counts
+            stay = total > max(1.0, self.seen / (2 * COMMON))
+            self.keys, self.counts = both[first][stay], total[stay]
+        return self.keys, self.counts
+
+
+def _rows(ids, texts, sizes, nodes, sketches) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())],
-        names=["doc_id", "n", "node", "sketch"])
+        [ids.cast(pa.int64()), texts, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())],
+        names=["doc_id", "h", "n", "node", "sketch"])
 
 
 def _keys(width: int, share: float, common: np.ndarray):
@@ -255,7 +287,6 @@ def _across(share_pct: int):
     def pairs(cell: tuple, rows: list[tuple]) -> list[tuple]:
         key, lo, hi = cell
         part, node, comp, n, sketches, keys = zip(*rows, strict=True)
-        lesser = [{k for k in ks if k < key} for ks in keys]
         part, node, comp, n = np.array(part), np.array(node), np.array(comp), np.array(n)
         bits = [np.frombuffer(x, dtype=U) for x in sketches]
         short = np.array([np.bitwise_xor.reduce(x.reshape(-1, SKETCH_WORDS), axis=0) for x in bits])  # all of one length
@@ -269,13 +300,19 @@ def _across(share_pct: int):
             j = j[far * (100 + share_pct) <= (n[j] + n[i]) * (100 - share_pct)]
             far = np.array([distance(bits[i], bits[k]) for k in j], dtype=np.int64)
             j = j[far * (100 + share_pct) <= (n[j] + n[i]) * (100 - share_pct)]
-            found += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j if lesser[i].isdisjoint(lesser[k])]
+            found += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j if least_shared(keys[i], keys[k]) == key]
         return found
 
+    def least_shared(x: np.ndarray, y: np.ndarray) -> int:
+        return int(np.intersect1d(x, y, assume_unique=True)[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows, done = None, [], set()
         for batch in batches:
-            for k, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in CELL), strict=True):
+            # The lists of keys stay in their buffer: only those of surviving pairs are looked at.
+            lists, flat = batch.column("keys").offsets.to_numpy(), batch.column("keys").values.to_numpy()
+            keys = [flat[a:b] for a, b in zip(lists[:-1].tolist(), lists[1:].tolist(), strict=True)]
+            for k, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in CELL[:-1]), keys, strict=True):
                 if (k, lo, hi) != cell:
                     if len(rows) > 1:
                         done.update(pairs(cell, rows))
@@ -307,19 +344,40 @@ def _node_sets(width: int):
     return run
 
 
+def row_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, share_pct: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one of each group: the smallest id, null last, and of equal ids the smallest hash of the text.
+
+    A row that repeats is kept once. A document without words is a group of its own.
+    """
+    documents, _ = jaccard_groups(docs, doc_id, text, width, share_pct)
+    documents = settle(documents.select("doc_id", "component", "h"))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    chosen = documents.where("component is not null").groupBy("component").agg(order).select(F.col("first.h").alias("_h"))
+    chosen = chosen.union(documents.where("component is null").select("h")).distinct()
+    rows = docs.withColumn("_own", row_hash(doc_id, text)).join(chosen, F.col("_own") == F.col("_h"), "left_semi")
+    once = Window.partitionBy("_own").orderBy("_own")  # rows are in this order after the join
+    return rows.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
                    share_pct: int = 80) -> tuple[DataFrame, DataFrame]:
     """(documents, links).
 
-    documents: (doc_id, n_shingles, node, component_id), one row per input row;
-    component_id is the smallest id that links reach. links: (a, b), verified
+    documents: (doc_id, n_shingles, node, component_id, component, h), one row per
+    input row; component_id is the smallest id that links reach, component tells
+    groups apart that share it (repeated ids), h is a hash of the row's id and text. links: (a, b), verified
     links between nodes that connect every component.
     """
     spark = docs.sparkSession
     share = share_pct / 100
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    bounded_batches(spark)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_hash(doc_id, text).alias("h"))
     folder = scratch_path(spark, f"jaccard-{uuid.uuid4().hex[:8]}")
-    texts.mapInArrow(_profile(width), "doc_id long, n long, node long, sketch binary").write.parquet(f"{folder}/profile")
+    texts.mapInArrow(_profile(width), "doc_id long, h long, n long, node long, sketch binary").write.parquet(f"{folder}/profile")
     profile = spark.read.parquet(f"{folder}/profile")
     known = profile.where("sketch is null or length(sketch) > 0")
     nodes = known.where("node is not null").groupBy("node").agg(
@@ -360,11 +418,11 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     least = nodes.select("node", "doc_id").join(labels, "node").select("node", "doc_id", "component")
     smallest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    to = least.join(smallest, "component").select("node", "component_id")
+    to = least.join(smallest, "component").select("node", "component_id", "component")
     own = nodes.select("node", F.col("doc_id").alias("own")).join(to, "node", "left").select(
-        "node", F.coalesce("component_id", "own").alias("component_id"))
+        "node", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("component", "node").alias("component"))
     documents = known.join(own, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"), "component", "h")
     return documents, links
 
 

@@ -5,7 +5,8 @@ counted by Spark from labelled documents. A document is a mixture: each of its
 words comes from one of its languages, and expectation-maximisation estimates
 the proportions from the words' n-gram likelihoods. Sets of one, two and more
 languages (the most probable ones) are compared by likelihood less a penalty
-for each further language; the set's largest proportion is the answer.
+for each further language; a set grows until a further language is not worth its
+penalty. The chosen set comes with its proportions, the largest of them is the answer.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and
 when nothing could be learned; whole texts of any length are read; equal
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches
 from .words import SPACE_BYTES, U, mix
 
 BUCKETS = 1 << 15
@@ -106,6 +108,7 @@ class Model:
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = LABELLED_ROWS) -> Model:
     """Counts n-grams of labelled documents, about ``rows`` of each language."""
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         "doc_id is not null and text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -123,8 +126,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Model(names, counts)
 
 
-def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(chosen language, its proportion) of texts that have words."""
+def infer(model: Model, texts: list[str]) -> np.ndarray:
+    """Proportions [text, language] of the chosen set of each text that has words; 0 outside the set."""
     bucket, word, firsts = _grams(texts)
     n_words, k = int(firsts[-1]), len(model.names)
     like = np.zeros((n_words, k))
@@ -136,53 +139,68 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         like[full] = np.add.reduceat(model.logs[bucket].astype(np.float64), edges[:-1][full], axis=0)
     top = like.max(axis=1, keepdims=True)
     like = np.exp(np.maximum(like - top, -60.0))
-    begin, sizes = firsts[:-1], np.diff(firsts)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-
-    def fit(share):
-        for _ in range(STEPS):
-            part = like * share[doc]
+    sizes = np.diff(firsts)
+
+    def fit(rows, share, steps=STEPS):
+        """Proportions and log-likelihood of some texts after so many steps."""
+        mine = like if len(rows) == len(sizes) else like[np.repeat(np.isin(np.arange(len(sizes)), rows), sizes)]
+        begin = np.cumsum(sizes[rows]) - sizes[rows]
+        doc = np.repeat(np.arange(len(rows)), sizes[rows])
+        for _ in range(steps):
+            part = mine * share[doc]
             part /= part.sum(axis=1, keepdims=True)
-            share = np.add.reduceat(part, begin, axis=0) / sizes[:, None]
-        return share, np.add.reduceat(np.log((like * share[doc]).sum(axis=1)), begin)
+            share = np.add.reduceat(part, begin, axis=0) / sizes[rows, None]
+        return share, np.add.reduceat(np.log((mine * share[doc]).sum(axis=1) + 1e-300), begin)
 
-    all_of_them, _ = fit(np.full((len(sizes), k), 1.0 / k))
+    every = np.arange(len(sizes))
+    all_of_them, _ = fit(every, np.full((len(sizes), k), 1.0 / k))
     rank = np.argsort(np.argsort(-all_of_them, axis=1, kind="stable"), axis=1)
-    best = np.full(len(sizes), -np.inf)
-    chosen, share_of = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes))
-    for m in range(1, min(k, 3) + 1):
-        start = np.where(rank < m, np.maximum(all_of_them, 1e-3), 0.0)
+    best, chosen = np.full(len(sizes), -np.inf), np.zeros((len(sizes), k))
+    growing = every  # texts whose last language was worth its penalty
+    for m in range(1, k + 1):
+        start = np.where(rank[growing] < m, np.maximum(all_of_them[growing], 1e-3), 0.0)
         start /= start.sum(axis=1, keepdims=True)
-        share, fit_of = fit(start) if m > 1 else (start, np.add.reduceat(np.log((like * start[doc]).sum(axis=1) + 1e-300), begin))
-        worth = fit_of - (m - 1) * (0.5 * np.log(sizes + 1.0) + np.log(k))
-        better = worth > best
-        best[better] = worth[better]
-        chosen[better] = share.argmax(axis=1)[better]
-        share_of[better] = share.max(axis=1)[better]
-    return chosen, share_of
+        share, fit_of = fit(growing, start, STEPS if m > 1 else 0)
+        worth = fit_of - (m - 1) * (0.5 * np.log(sizes[growing] + 1.0) + np.log(k))
+        better = worth > best[growing]
+        growing, share, worth = growing[better], share[better], worth[better]
+        best[growing], chosen[growing] = worth, share
+        if not len(growing):
+            break
+    return chosen
 
 
-def _predict(model: Model):
+def _predict(model: Model, text: str, more: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            texts = batch.column(text).to_pylist()
+            sets: list[list[str]] = [[] for _ in texts]
+            shares: list[list[float]] = [[] for _ in texts]
             for a, b in _slices(texts):
                 have = [i for i in range(a, b) if texts[i] and model.names and LETTER.search(texts[i])]
                 if have:
-                    chosen, share = infer(model, [texts[i] for i in have])
-                    for i, c, x in zip(have, chosen.tolist(), share.tolist(), strict=True):
-                        names[i], scores[i] = model.names[c], min(1.0, max(0.0, x))
+                    for i, share in zip(have, infer(model, [texts[i] for i in have]), strict=True):
+                        order = np.argsort(-share, kind="stable")[: np.count_nonzero(share)]
+                        sets[i] = [model.names[c] for c in order.tolist()]
+                        shares[i] = np.clip(share[order], 0.0, 1.0).tolist()
+            first = [s[0] if s else UNKNOWN for s in sets]
+            score = [s[0] if s else 0.0 for s in shares]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"])
+                [*batch.columns, pa.array(first, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())),
+                 pa.array(shares, pa.list_(pa.float64()))], names=[*batch.schema.names, *more])
     return run
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` with lang_pred and score; only the text decides."""
-    names = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text).alias("text"))
-    schema = ", ".join([*(f"{n} {t}" for n, t in rows.dtypes), "lang_pred string", "score double"])
-    out = rows.mapInArrow(_predict(model), schema)
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "lang_pred", "score")
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+            into: tuple[str, str, str, str] = ("lang_pred", "score", "languages", "proportions")) -> DataFrame:
+    """The columns of ``keep`` with the largest language and its proportion, and the chosen set, largest first.
+
+    Only the text decides. ``into`` names the new columns; a text that is kept travels once.
+    """
+    bounded_batches(docs.sparkSession)
+    names = {c: f"_k{i}" for i, c in enumerate(dict.fromkeys((*keep, text)))}
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    more = ["_lang", "_score", "_languages", "_proportions"]
+    schema = ", ".join([*(f"{n} {t}" for n, t in rows.dtypes), "_lang string", "_score double", "_languages array<string>", "_proportions array<double>"])
+    out = rows.mapInArrow(_predict(model, names[text], more), schema)
+    return out.select(*(F.col(names[c]).alias(c) for c in keep), *(F.col(a).alias(b) for a, b in zip(more, into, strict=True)))

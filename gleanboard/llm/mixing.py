@@ -203,11 +203,16 @@ def _repair(out: DataFrame, moved: list[tuple], most: int) -> list[tuple]:
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """The documents, each as often as the mix takes it."""
-    taken = mix(docs, doc_id, source, text, **how).where("copies > 0").groupBy("doc_id", "source", "tag").agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).withColumnsRenamed(
-        {"doc_id": "_doc_id", "source": "_source", "tag": "_tag"})
-    own = docs.withColumn("_tag_here", F.xxhash64(F.col(text)))
-    same = (own[doc_id].eqNullSafe(F.col("_doc_id")) & own[source].eqNullSafe(F.col("_source")) & own["_tag_here"].eqNullSafe(F.col("_tag")))
-    return own.join(taken, same).withColumn("_n", F.explode(F.sequence(
-        F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("_copies") / F.col("_rows")).cast("int"))))).select(*docs.columns)
+    """The documents, each as often as the mix takes it.
+
+    Rows that repeat id, source and text share the copies of all of them as evenly as whole copies allow.
+    """
+    taken = mix(docs, doc_id, source, text, **how).groupBy(
+        F.xxhash64("doc_id", "source", "tag").alias("_key")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    own = docs.withColumn("_row_key", F.xxhash64(F.col(doc_id).cast("long"), F.col(source), F.xxhash64(F.col(text))))
+    joined = own.join(taken, F.col("_row_key") == F.col("_key"))
+    alike = W.partitionBy("_row_key")
+    rows, place = F.count("*").over(alike), F.row_number().over(alike.orderBy("_row_key"))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_place") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    times = joined.withColumns({"_rows": rows, "_place": place}).withColumn("_times", share.cast("int")).where("_times > 0")
+    return times.withColumn("_n", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"`{c}`") for c in docs.columns])

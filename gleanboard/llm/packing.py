@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import bounded_batches, scratch_path
 
 SIZE = 4096
 END = 2
@@ -34,6 +34,18 @@ END = 2
 REMEMBERED = 400_000
 
 
+class _Known(dict):
+    """Values of keys, computed when a key is first asked for."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key: bytes) -> bytes:
+        self[key] = value = self.compute(key)
+        return value
+
+
 class WordTokens:
     """Token ids of whole texts, word by word, each different word once.
 
@@ -51,7 +63,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.words = _Known(self._word)
         self.parts: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -78,11 +90,7 @@ class WordTokens:
         if len(self.words) > REMEMBERED:
             self.words.clear()
             self.parts.clear()
-        known = self.words
-        for w in set(words):
-            if w not in known:
-                known[w] = self._word(w)
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4")
 
 
 def _pieces(path: str, size: int, end: int):
@@ -178,6 +186,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = scratch_path(spark, f"packing-{uuid.uuid4().hex[:8]}")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # Written before the range sort, which reads its input twice.

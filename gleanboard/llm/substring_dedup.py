@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import bounded_batches, scratch_path
 from .words import SLICE_BYTES, U, WordHasher, mix, mix_one
 
 #: r names runs, p names pairs.
@@ -163,13 +163,15 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 #: which goes by its content instead; a note that a symbol has such spans; a stretch that is known to go.
 SPAN, SPREAD, NOTE, GONE = range(4)
 MANY = 3
+#: A span is shorter than its window, and ``_at`` has room for 1,023.
+MOST_WINDOW = 1000
 ROW = ["kind", "s", "h", "doc", "at"]
 MET = "kind int, s long, doc long, at long"
 
 
 def _at(tag: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Text tag (23 bits), first window (34 bits) and windows (6 bits) in one number."""
-    return (tag.astype(np.int64) << 40) | (first.astype(np.int64) << 6) | n
+    """Text tag (23 bits), first window (30 bits) and windows (10 bits) in one number."""
+    return (tag.astype(np.int64) << 40) | (first.astype(np.int64) << 10) | n
 
 
 def _combine(s: np.ndarray, h: np.ndarray, doc: np.ndarray, at: np.ndarray, spread: bool) -> pa.RecordBatch:
@@ -260,7 +262,7 @@ def _own(covers: pa.Scalar, tag: int, *more: str) -> tuple[np.ndarray, ...]:
     at = (items.field("at") if more else items).to_numpy()
     own = (at >> 40) == tag
     at = at[own]
-    return (at >> 6) & ((1 << 34) - 1), at & 63, *(items.field(c).to_numpy()[own] for c in more)
+    return (at >> 10) & ((1 << 30) - 1), at & 1023, *(items.field(c).to_numpy()[own] for c in more)
 
 
 def _windows(window: int):
@@ -318,6 +320,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``kept`` joins the words that stay by one space.
     """
     spark = docs.sparkSession
+    if not 0 < window <= MOST_WINDOW:
+        raise ValueError(f"window must be from 1 to {MOST_WINDOW}")
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     texts = texts.withColumn("tag", F.col("hash").bitwiseAND(F.lit((1 << 23) - 1)))
     folder = scratch_path(spark, f"repeats-{uuid.uuid4().hex[:8]}")

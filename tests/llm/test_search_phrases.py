@@ -152,7 +152,7 @@ def test_every_start_is_owned_once_and_equal_passages_share_chunks():
     passage = [f"p{i}" for i in range(400)]
     texts = [" ".join([f"{side}{rng.getrandbits(40)}" for _ in range(rng.randint(1, 60))] + passage) for side in "abcd"]
     parser = collocations.Parser()
-    chunks = [list(parser([t])) for t in texts]
+    chunks = [parser([t])[0] for t in texts]
     for text, cut in zip(texts, chunks, strict=True):
         words = text.split()
         at = 0
@@ -168,8 +168,15 @@ def test_every_start_is_owned_once_and_equal_passages_share_chunks():
 def test_scores_beyond_64_bits_stay_exact(spark, monkeypatch):
     rows = spark.createDataFrame([("en", "a b")], "lang string, text string")
     big = 4_000_000_000_000
-    real = collocations.dictionary
-    monkeypatch.setattr(collocations, "dictionary", lambda *a: real(*a).withColumn("weight", F.lit(big)))
+    one = collocations.Counter
+    monkeypatch.setattr(collocations, "HELD_ROWS", 1)
+
+    class Repeated(one):
+        """Every chunk and word as if the text stood there very often."""
+        def values(self):
+            return [big] * len(self)
+
+    monkeypatch.setattr(collocations, "Counter", Repeated)
     got = collocations.collocations(rows).first()
     assert (got["a"], got["n"], got["score"]) == (big, 2 * big, 1000 * big * 2 * big // (big * big))
 
