@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over the table of documents.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents. ``run`` writes each stage's result to the
+last return the columns of documents, further ones included, whatever their names.
+An empty table passes through every stage. ``run`` writes each stage's result to the
 shared folder and reads it again for the next.
 """
 
@@ -21,22 +22,30 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sets ``lang`` to the predicted language; documents without one, or of no dominant one, go."""
+    """Sets ``lang`` to the predicted language; documents without one (null or no letters), or of no dominant one, go.
+
+    Every row is judged by its text alone, so rows that repeat and null ids are treated like any other.
+    """
     model = language_id.learn(docs)
-    judged = language_id.predict(docs, model, keep=tuple(docs.columns), text="text")
-    kept = judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    judged = language_id.predict(docs, model, keep=tuple(docs.columns), into=("_lang", "_share", "_set", "_shares"))
+    kept = judged.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_share") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("_lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of documents that share 80 % of their 5-word shingles, the smallest id stays."""
-    groups, _ = jaccard_join.jaccard_groups(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    """Of every group of documents that share 80 % of their 5-word shingles, one stays: the smallest id.
+
+    Null ids come last, of equal ids the smallest hash of the text stays; a row that
+    repeats stays once; documents without words are no copies of each other.
+    """
+    return jaccard_join.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts words that windows of 50 repeat from a document of smaller id; a document left without words goes."""
+    """Cuts words that windows of 50 repeat from a document of smaller id; a document left without words goes.
+
+    Rows that share an id are not held against each other; a row with a null id is neither cut nor a reason to cut.
+    """
     cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select(
         F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_tag"])
     tagged = docs.withColumn("_own", F.xxhash64("text"))
@@ -48,12 +57,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target asks."""
+    """Every document as often as its source's target asks; rows that repeat share the copies of all of them."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null text is one end token."""
     return packing.pack(docs, word_bpe())
 
 

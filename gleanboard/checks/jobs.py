@@ -9,16 +9,18 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from ..functions.scores import CANDIDATE_WEIGHTS, RECRUITER_WEIGHTS
 from ..functions.keys import match_key
 from ..operators import nearest
-from ..operators.passes import CANDIDATE, PRESCREEN, RECRUITER, ask_model, score_pass
+from ..operators.passes import CANDIDATE, PRESCREEN, RECRUITER, ModelStopped, ask_model, score_pass
 from ..operators.ranking import rank_within, rescored_order
 from ..plans import collect, index as indexing
 from ..plans.ask import ask, prompts
-from ..plans.match import MatchSettings, Models, RunStore, code_profiles, match, rescore, rescored_preview
+from ..plans.match import MatchSettings, Models, code_profiles, match, rescore, rescored_preview
+from ..plans.stored_pass import RunStore, stored_pass
 from ..schemas import THEME_LISTS
 from ..session import scratch_path, settle
 from ..sources import tables
@@ -131,8 +133,8 @@ def match_rows(df):
                      F.col("error").isNotNull().alias("failed"), "rank")
 
 
-def run_match(t: Inputs, **options):
-    return match(profiles(t), doc_postings(t), vector_index(t).select("key", "embedding"), STAND_IN, now=NOW, **options)
+def run_match(t: Inputs, models: Models = STAND_IN, **options):
+    return match(profiles(t), doc_postings(t), vector_index(t).select("key", "embedding"), models, now=NOW, **options)
 
 
 # -- passes ---------------------------------------------------------------------
@@ -384,10 +386,6 @@ def _(t: Inputs):
     return run_match(t, prescreen_only=True).select("profile_id", "key", "title", "n_chars")
 
 
-def _broken(messages: list[str]) -> list[str]:
-    raise AssertionError("a reused verdict was computed again")
-
-
 @check("k5_resume", MATCH_SQL)
 def _(t: Inputs):
     """A run that stopped after the first pass, then one that reuses it."""
@@ -396,6 +394,52 @@ def _(t: Inputs):
     return match_rows(run_match(t, store=RunStore(path, "run-2", resume="run-1")))
 
 
+@check("k5_broken_pass", MATCH_SQL)
+def _(t: Inputs):
+    """A run whose model dies in the midst of the second pass, then the same run
+    again: verdicts that were stored are not asked for a second time."""
+    path, spark = scratch_path(t.spark, "verdicts"), t.spark
+    store, rated = RunStore(path, "run-1", bucket_rows=600), spark.sparkContext.accumulator(0)
+
+    def dying(messages: list[str]) -> list[str]:
+        if any(_parts(m)[0] % 97 == 5 for m in messages):
+            raise ModelStopped("quota used up")
+        return recruiter_model(messages)
+
+    def counted(messages: list[str]) -> list[str]:
+        rated.add(len(messages))
+        return ["{}" if _parts(m)[0] % 37 == 1 else recruiter_model([m])[0] for m in messages]
+
+    try:
+        run_match(t, store=store, models=Models(prescreen_model, dying, candidate_model))
+    except PythonException:
+        pass
+    before = tables.read_verdicts(spark, path, "run-1", usable=True).where("pass = 'recruiter'").count()
+    out = settle(match_rows(run_match(t, store=store, models=Models(_broken, counted, candidate_model))))
+    after = tables.read_verdicts(spark, path, "run-1").where("pass = 'recruiter'").count()
+    if rated.value != after - before:
+        raise AssertionError(f"{rated.value} messages for {after - before} missing verdicts")
+    return out
+
+
+def _broken(messages: list[str]) -> list[str]:
+    """Only what failed may come again."""
+    if any(_parts(m)[0] % 37 for m in messages):
+        raise ModelStopped("a stored verdict was asked for again")
+    raise TimeoutError("still no answer")
+
+
+@check("i4_progress", f"""
+WITH {DOCS} SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE doc_id % 37 = 0) AS BIGINT) AS failed,
+  CAST(ceil(count(*) / 150.0) AS INTEGER) AS buckets FROM p""")
+def _(t: Inputs):
+    """What the notes of a stored pass add up to."""
+    store = RunStore(scratch_path(t.spark, "verdicts"), "run", bucket_rows=150)
+    stored_pass(_rows(t), prescreen_model, PRESCREEN, store, concurrency=8)
+    notes = tables.read_progress(t.spark, store.path, "run").where("bucket >= 0")
+    return notes.agg(F.sum("rows").alias("rows"), F.sum("failed").alias("failed"), F.max("buckets").alias("buckets"))
+
+
 @check("k7_rescore", match_sql() + f""",
 again AS (SELECT profile_id, key, {recruiter_sql(SCREEN_WEIGHTS)} AS rec_sc, candidate_score AS cand_sc FROM final)
 SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY rec_sc DESC, cand_sc DESC, key) AS place FROM again WHERE rec_sc >= 65""")

@@ -576,6 +576,53 @@ def _(t: Inputs):
     return nearest.search(vector_index(t), every, 10, block_bytes=200_000)
 
 
+def two_spellings(t: Inputs):
+    """Every vector under two keys, and once more a little longer: equal to six digits, not to twelve."""
+    longer = F.transform("embedding", lambda x: (x.cast("double") * 1.0000001).cast("float"))
+    copies = [t.embeddings.select(F.concat(F.lit(k), "vec_id").alias("key"), v.alias("embedding"))
+              for k, v in (("d", F.col("embedding")), ("c", F.col("embedding")), ("z", longer))]
+    return copies[0].unionByName(copies[1]).unionByName(copies[2])
+
+
+@check("f1_top_k_near_ties", f"""
+WITH {LABEL_QUERIES}, a AS (SELECT 'd' || vec_id AS key, embedding FROM embeddings UNION ALL SELECT 'c' || vec_id, embedding FROM embeddings
+  UNION ALL SELECT 'z' || vec_id, list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * CAST(1.0000001 AS DOUBLE) AS FLOAT)) FROM embeddings)
+SELECT * FROM (SELECT query_id, key, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {CUT_SQL} DESC, key) AS rank
+  FROM a, q) WHERE rank <= 8""")
+def _(t: Inputs):
+    return nearest.search(two_spellings(t), label_queries(t), 8)
+
+
+@check("f1_top_k_bad_vectors", f"""
+WITH {LABEL_QUERIES}, a AS (SELECT * FROM embeddings WHERE vec_id % 7 > 3)
+SELECT * FROM (SELECT query_id, 'd' || vec_id AS key, {SCORE_SQL} AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY {CUT_SQL} DESC, 'd' || vec_id) AS rank FROM a, q WHERE label <> 3) WHERE rank <= 10""".replace(
+    "WHERE label <> 3", "WHERE q.label <> 3"))
+def _(t: Inputs):
+    """Vectors that are null or hold a null, a NaN or an infinite item, on both sides."""
+    def with_first(x):
+        return F.concat(F.array(x.cast("float")), F.slice("embedding", 2, 1000))
+
+    i = F.col("vec_id") % 7
+    spoilt = (F.when(i > 3, F.col("embedding")).when(i == 0, with_first(F.lit(None))).when(i == 1, with_first(F.lit(float("nan"))))
+              .when(i == 2, with_first(F.lit(float("-inf")))))
+    asked = label_queries(t).withColumn("embedding", F.when(F.col("label") != 3, F.col("embedding")).otherwise(with_first(F.lit(float("nan")))))
+    return nearest.search(vector_index(t).withColumn("embedding", spoilt), asked, 10)
+
+
+@check("f1_metadata", f"""
+WITH {LABEL_QUERIES}, {DOCS} SELECT * FROM (SELECT query_id, key, {SCORE_SQL} AS score, city, row_number() OVER (
+  PARTITION BY query_id ORDER BY {CUT_SQL} DESC, key) AS rank FROM embeddings JOIN p ON vec_id = doc_id, q WHERE city = 'de') WHERE rank <= 10""")
+def _(t: Inputs):
+    """A filter on what the index itself carries, and that with the hits."""
+    from ..functions.keys import metadata
+
+    posts = doc_postings(t)
+    rows = vector_index(t).join(posts.select("key", metadata(["city", "country"]).alias("metadata")), "key")
+    hits = nearest.search(filters.in_metadata(rows, city="de", country=None), label_queries(t), 10, columns=("metadata",))
+    return hits.select("query_id", "rank", "key", "score", F.col("metadata")["city"].alias("city"))
+
+
 @check("f2_top_percent", f"""
 WITH {SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY recruiter_score DESC, doc_id) AS rn,
   count(*) OVER (PARTITION BY lang) AS n FROM s)
@@ -583,10 +630,25 @@ SELECT key, lang, recruiter_score FROM c WHERE rn <= greatest(1, round_even(n *
 def _(t: Inputs):
     v = stored_verdicts(t, RECRUITER, "recruiter").withColumn("recruiter_score", recruiter_score())
     v = v.join(replies(t).select("key", "lang", "doc_id"), "key")
-    return ranking.top_percent(v, 30, [F.desc("recruiter_score"), F.asc("doc_id")], ["lang"]).select(
+    return ranking.top_percent(v, 30, [F.desc("recruiter_score"), F.asc("doc_id")], ["lang"], score="recruiter_score").select(
         "key", "lang", "recruiter_score")
 
 
+@check("f2_hot_group", """
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS score,
+             CASE WHEN l_orderkey % 10 < 9 THEN 'hot' WHEN l_linenumber = 1 THEN NULL ELSE l_returnflag END AS g FROM lineitem),
+c AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn,
+  count(*) OVER (PARTITION BY g) AS n FROM s)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(g, 'none') AS g FROM c WHERE rn <= greatest(1, round_even(n * 10 / 100.0, 0))""")
+def _(t: Inputs):
+    """One group with nine tenths of the rows, scores that hardly repeat, a null group."""
+    n = F.col("l_orderkey") % 10
+    rows = t.lineitem.select(*IDS, F.col("l_extendedprice").alias("score"),
+                             F.when(n < 9, "hot").when(F.col("l_linenumber") != 1, F.col("l_returnflag")).alias("g"))
+    kept = ranking.top_percent(rows, 10, [F.desc("score"), *[F.asc(c) for c in IDS]], ["g"], score="score")
+    return kept.select(*IDS, F.coalesce("g", F.lit("none")).alias("g"))
+
+
 @check("f3_final_rank", f"""
 WITH {SCORED} SELECT key, candidate_score, recruiter_score,
   row_number() OVER (ORDER BY candidate_score DESC, recruiter_score DESC, key) AS rank FROM s""")

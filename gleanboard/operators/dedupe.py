@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.keys import match_key, posting_key
 from ..functions.text import form_text, match_text
@@ -25,12 +25,6 @@ def has_match_parts(columns: Sequence[str] = TRIPLE) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(match_text(F.col(c)) != "", F.lit(False)) for c in columns])
 
 
-def sort_prefix(*columns: str) -> Column:
-    """A hash put before the grouping columns. It decides nothing, but aggregates
-    that sort compare this number first and rarely the long texts behind it."""
-    return F.xxhash64(*columns).alias("_prefix")
-
-
 def first_row(df: DataFrame, order_by: Sequence[str | Column], payload: Sequence[str]) -> Column:
     """Aggregate: the payload of the row that comes first in ``order_by``.
 
@@ -47,6 +41,38 @@ def first_row(df: DataFrame, order_by: Sequence[str | Column], payload: Sequence
     return F.struct(*[best[named.get(c, c)].alias(c) for c in payload])
 
 
+def _hash_pair(columns: Sequence[str | Column], names: tuple[str, str]) -> list[Column]:
+    """128 bits that stand for the values of some columns; nulls count as values."""
+    return [F.xxhash64(*columns).alias(names[0]), F.xxhash64(F.lit(names[1]), *columns).alias(names[1])]
+
+
+ROW = ("_row", "_row2")
+GROUP = ("_group", "_group2")
+
+
+def located(df: DataFrame) -> DataFrame:
+    """Rows with the hashes by which they are found again. Maps and variants are not hashed."""
+    plain = [f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.select("*", *_hash_pair(plain, ROW))
+
+
+def fetch(df: DataFrame, winners: DataFrame) -> DataFrame:
+    """The rows of ``located(df)`` that ``winners`` (ROW and more) name, each once, with what the winners carry.
+
+    Wide rows are moved here only, and not at all while the winners are few
+    enough to be broadcast: then just the winning rows are put in order.
+    """
+    once = Window.partitionBy(*ROW).orderBy(ROW[0])
+    return (located(df).join(winners, list(ROW)).withColumn("_copy", F.row_number().over(once))
+            .where(F.col("_copy") == 1).drop("_copy", *ROW))
+
+
+def _at(order_by: Sequence[str | Column]) -> Column:
+    """What decides among the rows of a group: the order, then the hash of the row."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order_by]
+    return F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *ROW).alias("_at")
+
+
 def merge_across_sources(
     df: DataFrame,
     order_by: Sequence[str],
@@ -57,31 +83,23 @@ def merge_across_sources(
 ) -> DataFrame:
     """One row per job with the sorted distinct sources it was found on.
 
-    One shuffle. Rows are grouped by the normalised triple; the survivor is
-    the first row in ``order_by``. A row with a blank part gets its own group
-    from its order values and a hash of the row, so blanks do not pile up in
-    one task; ``_copies`` restores rows that are equal in every column. Both
-    aggregates combine before the shuffle, so a job listed very often sends
-    one row per map task.
+    Only hashes of the normalised triple and of the row, the order values and the
+    source are grouped; the aggregates combine before the shuffle, so a job listed
+    very often sends one narrow row per map task. The survivor is the first row in
+    ``order_by``; its wide row is then fetched by its hash. Rows with a blank part
+    are no group: they pass by as they are and are never moved. ``df`` is read
+    twice: store it first if it is dear to compute.
     """
     source = effective_source() if source is None else source
     payload = [c for c in df.columns if c not in {*within, *drop}]
-    parts = [f"_{c}" for c in TRIPLE]
-    shadowed = df.withColumns({f"_{c}": match_text(F.col(c)) for c in TRIPLE})
-    complete = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) != "", F.lit(False)) for c in parts])
-    alone = F.when(~complete, F.struct(*order_by, F.xxhash64(*df.columns).alias("_row")))
-    grouped = (
-        shadowed.withColumn("_alone", alone).withColumn("_source", source)
-        .groupBy(sort_prefix(*within, *parts, "_alone"), *within, *parts, "_alone")
-        .agg(first_row(df, order_by, payload).alias("_first"),
-             F.array_sort(F.collect_set("_source")).alias("found_on"),
-             F.count(F.lit(1)).alias("_n"))
-    )
-    copies = F.when(F.col("_alone").isNotNull(), F.col("_n")).otherwise(F.lit(1))
-    return (
-        grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-        .select(*within, "_first.*", "found_on")
-    )
+    complete = has_match_parts()
+    parts = [*within, *[match_text(F.col(c)) for c in TRIPLE]]
+    narrow = located(df.where(complete)).select(*_hash_pair(parts, GROUP), _at(order_by), source.alias("_source"))
+    winners = narrow.groupBy(*GROUP).agg(F.min("_at").alias("_at"), F.array_sort(F.collect_set("_source")).alias("found_on"))
+    merged = fetch(df.where(complete), winners.select(*[F.col("_at")[c].alias(c) for c in ROW], F.col("found_on").alias("_found_on")))
+    alone = df.where(~complete).withColumn("_found_on", F.array_compact(F.array(source)))
+    kept = [*within, *payload, F.col("_found_on").alias("found_on")]
+    return merged.select(*kept).unionByName(alone.select(*kept))
 
 
 def keep_first(
@@ -95,21 +113,21 @@ def keep_first(
     """The first row of each group of equal raw values; nulls are equal.
 
     ``by`` is cut to the columns that exist; without any the rows pass through.
+    Hashes of ``by`` and of the row are grouped, the winners' rows fetched.
     ``merge_found_on`` unites the provenance instead of keeping the winner's.
     """
     by = [c for c in by if c in df.columns]
     kept = [c for c in df.columns if c not in drop]
     if not by:
         return df.select(*kept)
-    rest = [c for c in df.columns if c not in by and c not in drop]
-    aggregates = [first_row(df, order_by, rest).alias("_first")] if rest else [F.count(F.lit(1)).alias("_n")]
+    carried = ["found_on"] if merge_found_on else []
+    narrow = located(df).select(*_hash_pair(by, GROUP), _at(order_by), *carried)
+    aggregates = [F.min("_at").alias("_at")]
     if merge_found_on:
-        aggregates.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("found_on")))).alias("_all"))
-    out = df.groupBy(sort_prefix(*by), *by).agg(*aggregates)
-    picked = [F.col(c) if c in by else
-              (F.col("_all") if merge_found_on and c == "found_on" else F.col(f"_first.{c}")).alias(c)
-              for c in kept]
-    return out.select(*picked)
+        aggregates.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("found_on")))).alias("_found_on"))
+    winners = narrow.groupBy(*GROUP).agg(*aggregates)
+    found = fetch(df, winners.select(*[F.col("_at")[c].alias(c) for c in ROW], *[f"_{c}" for c in carried]))
+    return found.select(*[F.col("_found_on").alias(c) if c in carried else F.col(c) for c in kept])
 
 
 def keep_first_of_queries(df: DataFrame, order_by: Sequence[str], merge_found_on: bool = False) -> DataFrame:
@@ -152,3 +170,31 @@ def require_unique_key(df: DataFrame, key: str = "key") -> DataFrame:
     if rows:
         raise ValueError(f"found {rows} rows with duplicate keys")
     return df
+
+
+def first_hits(df: DataFrame, matches: Column, order_by: Sequence[str], *, merge_found_on: bool = False) -> DataFrame:
+    """The jobs that any query of a portfolio finds, each as its first query finds it.
+
+    ``matches`` gives the numbers of the queries that find a row. The same as
+    merging every query's hits across sources and keeping the first of equal raw
+    values across queries, but only hashes, orders and sources are multiplied by
+    the queries; the text of a job is fetched once, when the winner is known.
+    """
+    hits = located(df).select(
+        *_hash_pair([match_text(F.col(c)) for c in TRIPLE], GROUP), *_hash_pair([c for c in TRIPLE if c in df.columns], ("_raw", "_raw2")),
+        _at(order_by), has_match_parts().alias("_complete"), effective_source().alias("_source"), F.explode(matches).alias("_query"))
+    # Of the rows of a job the first stands for it, also with its raw values.
+    first = F.min(F.struct("_at", "_raw", "_raw2")).alias("_first")
+    merged = hits.where("_complete").groupBy("_query", *GROUP).agg(first, F.array_sort(F.collect_set("_source")).alias("_found_on")).select(
+        "_query", "_first.*", "_found_on")
+    alone = hits.where("NOT _complete").select("_query", "_at", "_raw", "_raw2", F.array_compact(F.array("_source")).alias("_found_on"))
+    every = merged.unionByName(alone)
+    aggregates = [F.min(F.struct("_query", "_at", "_found_on")).alias("_best")]
+    if merge_found_on:
+        aggregates.append(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_found_on")))).alias("_all"))
+    best = every.groupBy("_raw", "_raw2").agg(*aggregates)
+    sources = F.col("_all") if merge_found_on else F.col("_best._found_on")
+    winners = best.select(*[F.col("_best._at")[c].alias(c) for c in ROW], sources.alias("_sources"))
+    found = fetch(df, winners)
+    dropped = {"actor", "source_platform"}
+    return found.select(*[c for c in df.columns if c not in dropped], F.col("_sources").alias("found_on"))

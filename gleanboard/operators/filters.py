@@ -58,6 +58,12 @@ def metadata_filter(df: DataFrame, **equals: str | None) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, clauses)) if clauses else df
 
 
+def in_metadata(df: DataFrame, column: str = "metadata", **equals: str | None) -> DataFrame:
+    """The same over a map of texts, as the index carries it: its rows are cut before they are scored."""
+    clauses = [F.col(column)[c] == v for c, v in equals.items() if v]
+    return df.where(reduce(lambda a, b: a & b, clauses)) if clauses else df
+
+
 def not_rejected(decision: Column) -> Column:
     """Fail-open: everything but a clean 'reject' survives."""
     return F.lower(F.coalesce(decision, F.lit(""))) != "reject"
@@ -102,20 +108,23 @@ def facets(
     return df
 
 
-def keyword_hits(df: DataFrame, queries: Sequence[str], columns: Sequence[str] = ("title", "description")) -> DataFrame:
-    """One row per (row, query) whose text contains the query, any case.
-
-    The portfolio is a list typed by a person, so it travels inside the plan
-    as one constant array: no join, and the text is lowered once per row.
-    """
+def matching_queries(queries: Sequence[str], columns: Sequence[str] = ("title", "description")) -> Column:
+    """The queries that the text of a row contains, as structs, any case."""
     if not queries:
         raise ValueError("enter at least one query")
     portfolio = F.array(*[
         F.struct(F.lit(i).alias("query_ord"), F.lit(q).alias("search_query"),
                  F.lit(q.strip().lower()).alias("needle")) for i, q in enumerate(queries)])
     text = F.lower(F.concat_ws("\n", *columns))
-    matches = F.get(F.transform(F.array(text), lambda t: F.filter(
-        portfolio, lambda q: F.contains(t, q["needle"]))), F.lit(0))
-    return (df.select("*", F.explode(matches).alias("_q"))
+    return F.get(F.transform(F.array(text), lambda t: F.filter(portfolio, lambda q: F.contains(t, q["needle"]))), F.lit(0))
+
+
+def keyword_hits(df: DataFrame, queries: Sequence[str], columns: Sequence[str] = ("title", "description")) -> DataFrame:
+    """One row per (row, query) whose text contains the query, any case.
+
+    The portfolio is a list typed by a person, so it travels inside the plan
+    as one constant array: no join, and the text is lowered once per row.
+    """
+    return (df.select("*", F.explode(matching_queries(queries, columns)).alias("_q"))
             .select(*df.columns, "_q.query_ord", query_label(F.col("_q.search_query")).alias("search_label"),
                     "_q.search_query"))

@@ -8,16 +8,18 @@ shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType, DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.vectors import cosine
-from ..session import settle
+from ..session import scratch_path, settle
+from .joins import small_side
 from .ranking import top_k, top_k_per_group
 
 TILE = 4_000_000            # scores held at once by a task
@@ -97,32 +99,54 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def search(
     index: DataFrame, queries: DataFrame, k: int = 5, *, digits: int = DIGITS,
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    block_bytes: int = QUERY_BLOCK_BYTES, columns: Sequence[str] = (),
 ) -> DataFrame:
-    """(query_id, rank, key, score) for every query of a table.
+    """(query_id, rank, key, score) for every query of a table, and ``columns`` of the index.
 
     ``index`` has key and embedding, ``queries`` query_id and embedding; vectors
     with null, NaN or infinite items are left out. The queries are evaluated once
-    and measured, with their ids and their k winners: up to ``block_bytes`` they are broadcast
-    and the index is not moved; beyond that both sides are cut into blocks
-    that meet by an equi-join of block numbers.
+    and measured, with their ids and their k winners, and cut into blocks of
+    ``block_bytes``. A block is broadcast and meets the index where it lies, so
+    the index is read once for each block and never moved. A task holds the k best
+    rows of each query of one block, whatever the index holds.
     """
+    spark, source = index.sparkSession, index
     index = index.where(usable()).select("key", "embedding")
     queries = settle(queries.where(usable()).select("query_id", "embedding"))
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"),
                        F.sum(F.length(F.col("query_id").cast("string"))).alias("ids")).first()
     total = (size["n"] or 0) * (size["d"] or 0) * 8 + (size["ids"] or 0) + (size["n"] or 0) * k * 24
     schema = StructType([queries.schema["query_id"], index.schema["key"], StructField("score", DoubleType())])
-    if total <= block_bytes:
+    blocks = max(1, math.ceil(total / block_bytes))
+    if blocks == 1:
         partial = _scan(index, queries, k, schema)
     else:
-        partial = _blocks(index, queries, k, schema, total, size["d"] * 8, block_bytes)
+        folder = scratch_path(spark, "hits")
+        # Positions in a checkpoint do not change, so a query is in one block.
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+        queries.withColumn("_block", place).repartition("_block").write.partitionBy("_block").parquet(f"{folder}/queries")
+        dealt = spark.read.schema(StructType([*queries.schema, StructField("_block", IntegerType())])).parquet(f"{folder}/queries")
+        for i in range(blocks):
+            block = dealt.where(F.col("_block") == i).select("query_id", "embedding")
+            _scan(index, block, k, schema).write.mode("append").parquet(f"{folder}/partial")
+        partial = spark.read.schema(schema).parquet(f"{folder}/partial")
     hits = top_k_per_group(partial, ["query_id"], best_first(), k)
-    return hits.select("query_id", "rank", "key", F.round("score", digits).alias("score"))
+    hits = hits.select("query_id", "rank", "key", F.round("score", digits).alias("score"))
+    return with_columns_of(hits, source, columns) if columns else hits
 
 
-def _scan(index, queries, k, schema) -> DataFrame:
+def with_columns_of(hits: DataFrame, index: DataFrame, columns: Sequence[str] = ("metadata",)) -> DataFrame:
+    """The hits with columns of their index rows. Only those columns are read
+    again; the hits are stored, counted and broadcast while they are few."""
+    hits = settle(hits)
+    carried = index.select("key", *columns).join(small_side(hits.select("key").distinct()), "key", "left_semi")
+    return hits.join(carried, "key", "left").select("query_id", "rank", "key", "score", *columns)
+
+
+def _scan(index: DataFrame, queries: DataFrame, k: int, schema: StructType) -> DataFrame:
+    """The k best rows of every query that each task has seen."""
     table = queries.toArrow()
+    id_type, key_type = (to_arrow_type(schema[c].dataType) for c in ("query_id", "key"))
     shared = index.sparkSession.sparkContext.broadcast(
         (table.column("query_id").to_pylist(), _matrix(table.column("embedding"))))
 
@@ -130,39 +154,13 @@ def _scan(index, queries, k, schema) -> DataFrame:
         ids, matrix = shared.value
         best = _Best(matrix, k)
         for batch in batches:
-            if matrix.size:
+            if matrix.size and batch.num_rows:
                 keys = np.array(batch.column(0).to_pylist(), dtype=object)
                 best.add(keys, _matrix(batch.column(1)))
         rows = best.cut()
-        names = np.array(ids, dtype=object)[rows["q"].to_numpy(dtype=np.int64)] if len(rows) else []
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(names), table.schema.field("query_id").type),
-             pa.array(list(rows["key"]), key_type), pa.array(rows["score"].to_numpy(np.float64))],
+            [pa.array([ids[i] for i in rows["q"].astype(np.int64)], id_type), pa.array(list(rows["key"]), key_type),
+             pa.array(rows["score"].to_numpy(np.float64), pa.float64())],
             names=["query_id", "key", "score"])
 
-    key_type = index.limit(0).toArrow().schema.field("key").type
     return index.mapInArrow(run, schema)
-
-
-def _blocks(index, queries, k, schema, total, row_bytes, block_bytes) -> DataFrame:
-    n_query_blocks = math.ceil(total / block_bytes)
-    n_index_blocks = max(1, math.ceil(index.count() * row_bytes / block_bytes))
-
-    def block(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    left = (index.withColumn("_i", block("key", n_index_blocks))
-            .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))))
-    right = (queries.withColumn("_q", block("query_id", n_query_blocks))
-             .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_index_blocks - 1)))))
-
-    def pair(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if vectors.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "key": [], "score": []})
-        best = _Best(np.stack(asked["embedding"]).astype(np.float64), k)
-        best.add(vectors["key"].to_numpy(dtype=object), np.stack(vectors["embedding"]).astype(np.float64))
-        rows = best.cut()
-        ids = asked["query_id"].to_numpy(dtype=object)[rows["q"].to_numpy(dtype=np.int64)]
-        return pd.DataFrame({"query_id": ids, "key": rows["key"], "score": rows["score"]})
-
-    return left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(pair, schema)

@@ -12,12 +12,18 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from ..functions import verdicts as v
 from ..functions.scores import candidate_score, recruiter_score
 from ..schemas import RATINGS, TEXTS, THEME_LISTS, VERDICT_LISTS
+from ..session import bounded_batches
 from .joins import split_by_cache
 
 # A model takes the messages of a batch and returns one text per message.
 Model = Callable[[list[str]], list[str]]
 
 
+class ModelStopped(Exception):
+    """Raised by a model that must not be asked any more (quota used up, access
+    withdrawn). It ends the job; other errors belong to their message alone."""
+
+
 @dataclass(frozen=True)
 class PassSpec:
     name: str
@@ -53,6 +59,8 @@ def call_each(model: Model, messages: list[str]) -> list[tuple[str | None, str |
         if len(replies) != len(messages):
             raise ValueError(f"{len(replies)} replies for {len(messages)} messages")
         return [(r, None) for r in replies]
+    except ModelStopped:
+        raise
     except Exception as batch_error:  # noqa: BLE001 - user code
         if len(messages) == 1:
             return [(None, str(batch_error) or type(batch_error).__name__)]
@@ -63,8 +71,10 @@ def ask_model(rows: DataFrame, model: Model, keys: Sequence[str], *, batch: int
               concurrency: int | None = None) -> DataFrame:
     """keys + ``reply`` and ``call_error``; ``rows`` has a ``message`` column.
 
-    ``concurrency`` is what the model allows and sets the number of tasks.
+    ``concurrency`` is what the model allows and sets the number of tasks;
+    messages reach a task in batches of bounded bytes.
     """
+    bounded_batches(rows.sparkSession)
     rows = rows.select(*keys, "message")
     if concurrency:
         rows = rows.repartition(concurrency, *keys)

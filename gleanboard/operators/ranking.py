@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
+from .joins import small_side
 
 OFFSET_BITS = 33  # layout of monotonically_increasing_id: partition, then offset
 
@@ -79,13 +80,17 @@ def n_kept(n: Column, percent: float) -> Column:
 
 def top_percent(
     df: DataFrame, percent: float, order_by: Sequence[Column], group: Sequence[str] = (),
-    *, bounded_groups: bool = False,
+    *, bounded_groups: bool = False, score: str | None = None,
 ) -> DataFrame:
     """Keep the best ``percent`` of each group, at least one row.
 
-    ``bounded_groups`` says that a group fits one task (hits of one profile);
-    otherwise the rank is computed over range partitions.
+    ``bounded_groups`` says that a group fits one task (hits of one profile).
+    ``score`` names a numeric column by which ``order_by`` begins, falling and
+    with nulls last: the cut is then found by selection (``top_percent_by_score``).
+    Otherwise the rank is computed over range partitions.
     """
+    if score is not None and not bounded_groups:
+        return top_percent_by_score(df, percent, score, order_by, group)
     if bounded_groups:
         ranked = rank_within(df, group, order_by, "_rank")
     else:
@@ -99,6 +104,67 @@ def top_percent(
     return ranked.where(F.col("_rank") <= n_kept(n, percent)).select(*df.columns)
 
 
+#: Relative error of the sketches that bracket a cut: 1 / SKETCH of a group's rows.
+SKETCH = 2_000
+
+
+def _height(score: str) -> Column:
+    """A number without gaps that falls as the order by falling score goes on: null is lowest, NaN is on top."""
+    x = F.col(score).cast("double")
+    return F.coalesce(F.when(F.isnan(x), float("inf")).otherwise(x), F.lit(float("-inf")))
+
+
+def _per_group(table: DataFrame, group: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """One row per group with its key renamed, and the condition that joins it to the rows."""
+    named = table.select(*[F.col(g).alias(f"_g_{g}") for g in group], *columns)
+    return named, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+
+
+def top_percent_by_score(
+    df: DataFrame, percent: float, score: str, order_by: Sequence[Column], group: Sequence[str] = (),
+) -> DataFrame:
+    """The best ``percent`` of each group by selection: rows are not moved by group.
+
+    Two narrow passes over (group, score) find the cut. The first counts every
+    group and brackets its cut between two values of a percentile sketch; the
+    second counts exactly what lies above and inside the bracket. Rows above it are
+    kept where they are, rows below it are dropped, and only the rows inside, about
+    4 in ``SKETCH`` of a group and the ties of its ends, are ranked, over range
+    partitions. A bracket that misses the cut is opened to the whole group, so the
+    result is exact whatever the sketch says. The table of brackets has one row per
+    group; it is broadcast when it is small. ``df`` is read four times: store it
+    first if it is dear to compute.
+    """
+    if not group:  # one group for all, so that what is joined has a key
+        whole = df.withColumn("_all", F.lit(1))
+        return top_percent_by_score(whole, percent, score, order_by, ["_all"]).drop("_all")
+    height = _height(score).alias("_height")
+    share = percent / 100.0
+    ends = [min(1.0, max(0.0, 1 - share + d / SKETCH)) for d in (2.0, -2.0)]
+    narrow = df.select(*group, height)
+    sketch = narrow.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_height", F.array(*[F.lit(e) for e in ends]), SKETCH).alias("_ends"))
+    brackets = settle(sketch.select(*group, "_n", F.get("_ends", 0).alias("_high"), F.get("_ends", 1).alias("_low")))
+
+    named, same = _per_group(brackets, group, ["_n", "_high", "_low"])
+    counted = narrow.join(small_side(named), same).groupBy(*[f"_g_{g}" for g in group], "_n", "_high", "_low").agg(
+        F.count_if(F.col("_height") > F.col("_high")).alias("_above"),
+        F.count_if(F.col("_height") >= F.col("_low")).alias("_reached"))
+    keep = n_kept(F.col("_n"), percent)
+    held = (F.col("_above") <= keep) & (keep <= F.col("_reached"))
+    infinite = F.lit(float("inf"))
+    cuts = settle(counted.select(
+        *[F.col(f"_g_{g}").alias(g) for g in group],
+        F.when(held, F.col("_high")).otherwise(infinite).alias("_high"), F.when(held, F.col("_low")).otherwise(-infinite).alias("_low"),
+        F.when(held, keep - F.col("_above")).otherwise(keep).alias("_rest")))
+    named, same = _per_group(cuts, group, ["_high", "_low", "_rest"])
+    placed = df.withColumn("_height", height).join(small_side(named), same)
+    sure = placed.where(F.col("_height") > F.col("_high")).select(*df.columns)
+    inside = placed.where((F.col("_height") <= F.col("_high")) & (F.col("_height") >= F.col("_low"))).select(*df.columns, "_rest")
+    ranked = global_rank(inside, order_by, group, "_rank")
+    return sure.unionByName(ranked.where(F.col("_rank") <= F.col("_rest")).select(*df.columns))
+
+
 def final_order() -> list[Column]:
     return [F.desc_nulls_last("candidate_score"), F.desc_nulls_last("recruiter_score")]
 

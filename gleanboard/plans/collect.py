@@ -8,8 +8,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.dedupe import keep_first_of_queries, merge_across_sources, with_keys
-from ..operators.filters import keyword_hits
+from ..operators.dedupe import first_hits, merge_across_sources, with_keys
+from ..operators.filters import keyword_hits, matching_queries
 from ..schemas import COLLECTED, POSTING, conform
 from ..sources.boards import board, read_board
 
@@ -79,6 +79,8 @@ def run_portfolio(
     hits = keyword_hits(postings, wanted, columns)
     tags = ["query_ord", "search_label", "search_query"]
     per_query = with_keys(merge_across_sources(hits, order_by, within=tags))
-    return keep_first_of_queries(per_query, order_by, merge_found_on), per_query
+    found = F.transform(matching_queries(wanted, columns), lambda q: q["query_ord"])
+    unique = first_hits(postings, found, order_by, merge_found_on=merge_found_on)
+    return with_keys(unique), per_query
 
 

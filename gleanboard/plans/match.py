@@ -14,12 +14,13 @@ from ..operators.filters import at_least, not_rejected, recent
 from ..operators.joins import postings_of, with_verdicts
 from ..operators.nearest import search
 from ..operators.passes import (CANDIDATE, PRESCREEN, PROFILE_CODING, RECRUITER, Model, PassSpec, ask_model,
-                                from_records, read_replies, score_pass, to_records)
+                                read_replies, score_pass)
 from ..operators.ranking import final_order, rank_within, rescored_order, top_percent
 from ..schemas import THEME_LISTS
 from ..session import settle
-from ..sources.tables import previous_run, preview, read_verdicts, register_run, write_verdicts
+from ..sources.tables import previous_run, preview, register_run
 from .index import scoped
+from .stored_pass import RunStore, stored_pass
 
 KEYS = ["profile_id", "key"]
 
@@ -43,15 +44,6 @@ class Models:
     candidate: Model
 
 
-@dataclass(frozen=True)
-class RunStore:
-    """Where verdicts are kept and which run to reuse them from."""
-    path: str
-    run_id: str
-    resume: str | None = None
-    configured_resume: str | None = None
-
-
 def code_profiles(cvs: DataFrame, model: Model, concurrency: int | None = None) -> DataFrame:
     """(profile_id, cv_text) to profiles with theme lists and a search query."""
     replies = ask_model(cvs.withColumn("message", F.col("cv_text")), model, ["profile_id"], concurrency=concurrency)
@@ -65,16 +57,11 @@ class _Cascade:
         self.resume = store and previous_run(self.spark, store.path, store.resume, store.configured_resume)
 
     def run_pass(self, rows: DataFrame, spec: PassSpec, model: Model) -> DataFrame:
-        """Verdicts computed once: stored under the run, or checkpointed."""
-        cache = None
-        if self.resume:
-            cache = from_records(read_verdicts(self.spark, self.store.path, self.resume), spec)
-        out = score_pass(rows, model, spec, KEYS, cache=cache, batch=self.settings.batch,
-                         concurrency=self.settings.concurrency)
-        if not self.store:
-            return settle(out)
-        write_verdicts(to_records(out, spec, self.store.run_id), self.store.path)
-        return from_records(read_verdicts(self.spark, self.store.path, self.store.run_id), spec)
+        """Verdicts computed once: stored under the run bucket by bucket, or checkpointed."""
+        options = {"batch": self.settings.batch, "concurrency": self.settings.concurrency}
+        if self.store:
+            return stored_pass(rows, model, spec, self.store, KEYS, resume=self.resume, **options)
+        return settle(score_pass(rows, model, spec, KEYS, **options))
 
     def cv_rows(self, keys: DataFrame, profiles: DataFrame) -> DataFrame:
         posting = posting_text(self.settings.max_description)

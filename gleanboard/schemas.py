@@ -34,6 +34,8 @@ PROFILE = _table(
     nice_to_have_themes=TEXTS, disqualifiers=TEXTS, search_query="string")
 VERDICT = _table(profile_id="string", key="string", payload="string", error="string",
                  run_id="string", **{"pass": "string"})
+# A finished bucket of a pass.
+PROGRESS = _table(run_id="string", **{"pass": "string"}, bucket="integer", buckets="integer", rows="long", failed="long")
 RUN = _table(run_id="string", started_at="timestamp", settings="string", settings_hash="string",
              profiles="string")
 

@@ -24,6 +24,22 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
+#: Bytes of an Arrow batch that is handed to Python.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches of the session by bytes, not only by rows.
+
+    Texts have any length: ten thousand of them in one batch can fill a worker.
+    A smaller limit that the session already has stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    if now <= 0 or now > limit:
+        spark.conf.set(key, str(limit))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only in local mode."""
     sc = spark.sparkContext

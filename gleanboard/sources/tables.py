@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.keys import render_list
 from ..functions.text import file_slug, form_text
 from ..operators.dedupe import keep_first
-from ..schemas import EMBEDDING, POSTING_DEDUPED, RUN, THEME_LISTS, VERDICT, conform
+from ..schemas import EMBEDDING, POSTING_DEDUPED, PROGRESS, RUN, THEME_LISTS, VERDICT, conform
 
 SUMMARY_COLUMNS = ["key", "title", "employer_name", "city", "country",
                    "recruiter_score", "candidate_score", "error"]
@@ -107,20 +107,43 @@ def append_embeddings(df: DataFrame, path: str) -> None:
 
 # -- verdicts and runs ---------------------------------------------------------
 
-def write_verdicts(records: DataFrame, path: str) -> None:
-    """One partition per run and pass; writing a pass again replaces it."""
-    (conform(records, VERDICT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id", "pass").parquet(path))
+def write_verdicts(records: DataFrame, path: str, bucket: int = 0) -> None:
+    """One partition per run, pass and bucket; writing a bucket again replaces it."""
+    (conform(records, VERDICT).withColumn("bucket", F.lit(bucket))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "pass", "bucket").parquet(path))
 
 
 def read_verdicts(spark: SparkSession, path: str, run_id: str | None = None, usable: bool = False) -> DataFrame:
     """Stored verdicts; ``usable`` leaves out the errored ones (a cache miss)."""
-    records = spark.read.schema(VERDICT).parquet(path)
+    records = spark.read.schema(VERDICT).parquet(path).select(*VERDICT.names)
     if run_id is not None:
         records = records.where(F.col("run_id") == run_id)
     return records.where(F.coalesce("error", F.lit("")) == "") if usable else records
 
 
+def mark_finished(spark: SparkSession, path: str, run_id: str, name: str, bucket: int, buckets: int,
+                  rows: int, failed: int) -> None:
+    """Note that a bucket of a pass is stored. Readers of the verdicts do not see this folder."""
+    row = spark.createDataFrame([(run_id, name, bucket, buckets, rows, failed)], PROGRESS)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/_progress")
+
+
+def read_progress(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """One row per finished bucket: run, pass, bucket, number of buckets, rows and failed rows."""
+    try:
+        found = spark.read.schema(PROGRESS).parquet(f"{path}/_progress")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], PROGRESS)
+    if run_id is not None:
+        found = found.where(F.col("run_id") == run_id)
+    # A bucket that was finished again is noted again: the fullest note counts.
+    return found.groupBy("run_id", "pass", "bucket").agg(
+        F.max("buckets").alias("buckets"), F.max("rows").alias("rows"), F.min("failed").alias("failed"))
+
+
 def verdict_preview(records: DataFrame, postings: DataFrame) -> DataFrame:
     """Records with the posting shown beside them, joined when read."""
     return records.join(postings.select("key", *PREVIEW_COLUMNS), "key", "left")

@@ -50,6 +50,37 @@ def test_k_above_the_corpus_and_empty_sides(spark):
     assert nearest.search(index, queries.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 25, 1, 500])
+def test_blocks_with_repeated_and_numeric_ids(spark, block_bytes):
+    """A query id that repeats asks with all its vectors; ids and keys keep their types."""
+    index, queries, vectors = tables(spark, 60, 6)
+    index = index.where("key <> 'none'").withColumn("key", F.substring("key", 2, 9).cast("long"))
+    asked = queries.withColumn("query_id", (F.substring("query_id", 2, 9).cast("int") / 2).cast("int"))
+    got = nearest.search(index, asked, 4, block_bytes=block_bytes)
+    assert [f.dataType.simpleString() for f in got.schema] == ["int", "int", "bigint", "double"]
+    for q in range(3):
+        both = np.round(vectors @ vectors[[2 * q, 2 * q + 1]].T, 12)
+        pairs = sorted(((-s, j) for j, row in enumerate(both) for s in row))[:4]
+        rows = sorted((r["rank"], r["key"]) for r in got.where(f"query_id = {q}").collect())
+        assert [k for _, k in rows] == [j for _, j in pairs]
+
+
+def test_columns_of_the_index_come_with_the_hits(spark):
+    index, queries, vectors = tables(spark, 50, 3)
+    carried = index.withColumn("metadata", F.create_map(F.lit("key"), "key")).withColumn("n", F.length("key"))
+    plain = found(nearest.search(index, queries, 4))
+    rows = nearest.search(carried, queries, 4, columns=("metadata", "n")).collect()
+    assert {(r["query_id"], r["rank"], r["key"], round(r["score"], 6)) for r in rows} == plain
+    assert all(r["metadata"] == {"key": r["key"]} and r["n"] == len(r["key"]) for r in rows)
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    index = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0])], "key string, embedding array<float>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    with pytest.raises(Exception, match="different lengths"):
+        nearest.search(index.coalesce(1), queries, 1).collect()
+
+
 def test_one_query_equals_many(spark):
     index, queries, _ = tables(spark, 100, 1, 10)
     one = nearest.search_one(index, queries.first()["embedding"], 20).collect()

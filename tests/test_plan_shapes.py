@@ -22,12 +22,24 @@ def shuffles(text):
     return len(re.findall(r"\bExchange (?:hash|range|Round)", text))
 
 
-def test_dedupe_shuffles_once_and_combines_before(spark):
-    df = listings(Inputs(spark, SF))
+def wide_moves(text, column="description"):
+    """Exchanges whose rows hold the given column."""
+    out, lines = 0, text.splitlines()
+    for i, line in enumerate(lines):
+        if re.search(r"\b(?:Exchange|BroadcastExchange)\b", line):
+            below = next((x for x in lines[i + 1:] if re.search(r"Project|Aggregate|Scan|Filter", x)), "")
+            out += f"{column}#" in below.split("Batched")[0]
+    return out
+
+
+def test_dedupe_groups_narrow_rows_and_moves_wide_ones_once(spark):
+    df = listings(Inputs(spark, SF)).checkpoint()
     for out in (merge_across_sources(df, ORDER), keep_first(df, ORDER)):
         text = plan(out)
-        assert shuffles(text) == 1
-        assert "partial_" in text
+        assert "partial_" in text and "CartesianProduct" not in text
+        grouped = [line for line in text.splitlines() if "Aggregate(" in line]
+        assert grouped and not any("description" in line for line in grouped)
+        assert wide_moves(text) <= 1
 
 
 def test_single_query_uses_the_built_in_top_k(spark):
@@ -84,3 +96,11 @@ def test_few_hits_do_not_shuffle_the_postings(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert shuffles(few) == 0 and "BroadcastHashJoin" in few
     assert "SortMergeJoin" in many or "ShuffledHashJoin" in many
+
+
+def test_a_percent_cut_does_not_move_rows_by_group(spark):
+    t = Inputs(spark, SF)
+    rows = doc_postings(t).select("key", "description", "lang", F.col("n_chars").alias("score"))
+    text = plan(ranking.top_percent(rows, 30, [F.desc("score"), F.asc("key")], ["lang"], score="score"))
+    moved = [line for line in text.splitlines() if re.search(r"\bExchange (?:hash|range|Round)", line)]
+    assert not moved, moved
