@@ -56,8 +56,8 @@ MOST_WORDS = 64
 SLICE_BYTES = 4_000_000
 #: Chunks or words that a task gathers before it hands them on.
 HELD_ROWS = 300_000
-#: Bits of a bitmap: 32 for each phrase in it, within these bounds (4 KB and 32 MB).
-LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
+#: Bits of a bitmap: 256 for each phrase in it, within these bounds (4 KB and 32 MB).
+BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 256, 1 << 15, 1 << 28
 PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + b"\t" + PUNCTUATION, bytes(range(97, 123)) + b" " + b"\n" * len(PUNCTUATION))
 SPACES = re.compile(b" {2,}")
@@ -137,8 +137,9 @@ def dictionary(docs: DataFrame, path: str, text: str = "text", lang: str = "lang
                     if size >= SLICE_BYTES or j == len(rows) - 1:
                         cut, found = parser(part)
                         chunks.update((name, chunk, own) for chunk, own in cut)
-                        for word, h, n in counted(found.phrases(1, name), found, 1):
-                            words[name, word, h] += n
+                        texts_of, h, n = counted(found.phrases(1, name), found, 1)
+                        for word, h_of, times in zip(texts_of, h.tolist(), n.tolist(), strict=True):
+                            words[name, word, h_of] += times
                         part, size = [], 0
                         if len(chunks) >= HELD_ROWS or len(words) >= HELD_ROWS:
                             yield from handed(chunks, words)
@@ -161,11 +162,11 @@ def dictionary(docs: DataFrame, path: str, text: str = "text", lang: str = "lang
     summed.write.partitionBy("kind").parquet(path)
 
 
-def counted(h: np.ndarray, words: _Words, width: int, at: np.ndarray | None = None, weight: np.ndarray | None = None) -> Iterator[tuple[bytes, int, int]]:
-    """(phrase, hash, times) of the different phrases at some places, or at all."""
+def counted(h: np.ndarray, words: _Words, width: int, at: np.ndarray | None = None, weight: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different phrases at some places, or at all, with their hashes and times."""
     h = h if at is None else h[at]
     if not len(h):
-        return iter(())
+        return [], h.view(np.int64), h.view(np.int64)
     if weight is None:
         values, first, times = np.unique(h, return_index=True, return_counts=True)
     else:
@@ -173,12 +174,12 @@ def counted(h: np.ndarray, words: _Words, width: int, at: np.ndarray | None = No
         begin = np.flatnonzero(np.diff(h[order], prepend=~h[order[0]]))
         values, first, times = h[order[begin]], order[begin], np.add.reduceat(weight[order], begin)
     place = first if at is None else at[first]
-    return zip(words.texts(place, place + width - 1), values.view(np.int64).tolist(), times.tolist(), strict=True)
+    return words.texts(place, place + width - 1), values.view(np.int64), times
 
 
 def frequent_bitmap(frequent: DataFrame) -> np.ndarray:
     """Bits of the hashes of frequent phrases; a power of two of them, bounded whatever the corpus."""
-    wanted = 32 * max(1, frequent.count())
+    wanted = BITS_A_PHRASE * max(1, frequent.count())
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (wanted - 1).bit_length()))
     place = F.col("h").bitwiseAND(F.lit(bits - 1))
     parts = frequent.groupBy(F.shiftright(place, 15).cast("int").alias("part")).agg(
@@ -211,19 +212,19 @@ class _Chunks(_Words):
         out[: len(h)] = hit(h, bitmap) & (self.left[: len(h)] >= width)
         return out
 
-    def count(self, width: int, bitmap: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+    def count(self, width: int, bitmap: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(phrase, hash, times) of the phrases whose parts of one word less may both be frequent."""
         parts = self.frequent(width - 1, bitmap)
         at = np.flatnonzero(parts[:-1] & parts[1:] & (self.left >= width) & (self.own > 0))
         return counted(self.phrases(width, self.lang), self, width, at, self.weight[at])
 
-    def runs(self, bitmap: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+    def runs(self, bitmap: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(run, words that it owns, weight): the longest runs of three or more words in which all neighbours are frequent pairs."""
         edge = np.flatnonzero(np.diff(self.frequent(2, bitmap).view(np.int8), prepend=0))
         start, end = edge[0::2], edge[1::2]  # the pairs at start .. end - 1 reach to the word at end
         own = np.minimum(self.own[start], end + 1 - start)
         some = np.flatnonzero((end - start >= 2) & (own > 0))
-        return zip(self.texts(start[some], end[some]), own[some].tolist(), self.weight[start[some]].tolist(), strict=True)
+        return self.texts(start[some], end[some]), own[some], self.weight[start[some]]
 
 
 def _by_slices(chunks: DataFrame, rows_of, schema: str) -> DataFrame:
@@ -233,24 +234,27 @@ def _by_slices(chunks: DataFrame, rows_of, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = WordHasher(lower=False), {}, 0
         for batch in batches:
-            langs, found = batch.column("lang").to_pylist(), batch.column("chunk").to_pylist()
-            numbers = [batch.column(c).to_pylist() for c in ("owned", "weight")]
-            for lang, *row in zip(langs, found, *numbers, strict=True):
-                held.setdefault(lang, []).append(row)
-                size += len(row[0])
-                if size >= SLICE_BYTES:
-                    yield from done(held, hasher)
-                    held, size = {}, 0
+            chunks, langs = batch.column("chunk").to_pylist(), batch.column("lang").dictionary_encode()
+            owned, weight = (batch.column(c).to_numpy() for c in ("owned", "weight"))
+            code, names_of = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+            for i, lang in enumerate(names_of):
+                part = held.setdefault(lang, ([], [], []))
+                rows = slice(None) if len(names_of) == 1 else np.flatnonzero(code == i)
+                part[0].extend(chunks if len(names_of) == 1 else [chunks[r] for r in rows.tolist()])
+                part[1].append(owned[rows])
+                part[2].append(weight[rows])
+            size += batch.column("chunk").nbytes
+            if size >= SLICE_BYTES:
+                yield from done(held, hasher)
+                held, size = {}, 0
         yield from done(held, hasher)
 
-    def done(held: dict[str, list], hasher: WordHasher) -> Iterator[pa.RecordBatch]:
-        for lang, rows in held.items():
-            found, owned, weight = zip(*rows, strict=True)
-            out = list(rows_of(_Chunks(lang, list(found), np.array(owned), np.array(weight), hasher)))
-            if out:
-                text, x, y = zip(*out, strict=True)
+    def done(held: dict[str, tuple], hasher: WordHasher) -> Iterator[pa.RecordBatch]:
+        for lang, (found, owned, weight) in held.items():
+            texts, x, y = rows_of(_Chunks(lang, found, np.concatenate(owned), np.concatenate(weight), hasher))
+            if texts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(out), pa.string()), pa.array(text, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64())],
+                    [pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64())],
                     names=names)
 
     return chunks.mapInArrow(run, schema)

@@ -44,13 +44,13 @@ def shingle_set(text):
     return {tuple(w[i: i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_components(rows):
+def brute_components(rows, share_pct=80):
     sets = [shingle_set(t) for _, t, *_ in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+            if both and 100 * both >= share_pct * len(sets[i] | sets[j]):
                 a, b = label[i], label[j]
                 label = [b if x == a else x for x in label]
     least = {}
@@ -68,6 +68,46 @@ def test_jaccard_groups(spark, seed):
     assert links.columns == ["a", "b"]
 
 
+@pytest.mark.parametrize("share_pct", [30, 50, 95])
+def test_other_shares(spark, share_pct):
+    """Texts of one beginning and many lengths, so that similar sets lie in bands far apart."""
+    rng = random.Random(share_pct)
+    rows = []
+    for i in range(12):
+        base = [f"w{rng.getrandbits(30)}" for _ in range(200)]
+        rows += [(100 * i + k, " ".join(base[: n]), "x", 1, 2) for k, n in enumerate((200, 180, 110, 70, 40, 25, 17, 9))]
+    got, _ = jaccard_join.jaccard_groups(spark.createDataFrame(rows, DOCS), share_pct=share_pct)
+    want = brute_components(rows, share_pct)
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got.collect()) == want
+
+
+def test_representatives_are_one_row_of_a_group(spark):
+    rows = corpus(8, 25)
+    rows += [rows[2], rows[2], (rows[4][0], rows[2][1], "x", 1, 2), (None, rows[6][1], "x", 1, 2), (None, None, "y", 1, 2)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = [tuple(r) for r in jaccard_join.representatives(df.repartition(3)).collect()]
+    groups, _ = jaccard_join.jaccard_groups(df)
+    of = {r["h"]: r["component"] for r in groups.collect()}
+    h = {(r["doc_id"], r["text"]): r["h"] for r in df.select("doc_id", "text", jaccard_join.row_hash().alias("h")).collect()}
+    members = {}
+    for r in set(rows):
+        members.setdefault(of[h[r[:2]]] if of[h[r[:2]]] is not None else ("alone", r[:2]), set()).add(r[:2])
+    assert len(got) == len(members)  # one row of each group, a repeated row once
+    for group in members.values():
+        kept = [r[:2] for r in got if r[:2] in group]
+        assert len(kept) == 1 and (kept[0][0] is None) == all(i is None for i, _ in group)
+        assert kept[0][0] is None or kept[0][0] == min(i for i, _ in group if i is not None)
+
+
+def test_frequent_shingles_survive_folding(monkeypatch):
+    monkeypatch.setattr(jaccard_join.Frequent, "HELD", 50)
+    often, rng = jaccard_join.Frequent(), np.random.default_rng(1)
+    for _ in range(3_000):
+        often.add(np.unique(np.append(rng.integers(0, 2**60, 20), [7, 9]).astype(np.uint64)))
+    keys, counts = often.fold()
+    assert {7, 9} <= set(keys.tolist()) and counts[keys == 7][0] == 3_000 and len(keys) < 300
+
+
 def test_open_buckets_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 10)
     rows = spark.range(103).selectExpr("if(id < 100, 1L, 2L) AS key", "id AS node", "id AS component", "5L AS n", "X'00' AS sketch", "array(1L) AS keys")
@@ -142,6 +182,24 @@ def test_remove_repeats(spark, seed):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("window", [20, 64, 100, 200])
+def test_other_windows(spark, window):
+    rng = random.Random(window)
+    some = lambda n: [f"w{rng.getrandbits(20)}" for _ in range(n)]
+    passages = [some(n) for n in (window, 2 * window, 3 * window + 7)] + [["run"] * (3 * window)]
+    rows = []
+    for i in range(40):
+        words = [w for _ in range(3) for w in some(rng.randint(0, window)) + rng.choice(passages)]
+        rows.append((i, " ".join(words), "x", 1, 2))
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3), window=window).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_repeats(rows, window)
+
+
+def test_windows_beyond_a_span_are_refused(spark):
+    with pytest.raises(ValueError, match="window"):
+        substring_dedup.remove_repeats(spark.createDataFrame([], DOCS), window=5_000)
+
+
 def test_passage_twice_in_one_document(spark):
     rng = random.Random(11)
     some = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(3)) for _ in range(n))

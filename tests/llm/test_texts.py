@@ -275,6 +275,21 @@ def test_language_mixture(spark):
     assert language_id.predict(spark.createDataFrame(tests[:1], "doc_id long, text string, l string"), nothing).head()["lang_pred"] == "und"
 
 
+def test_language_sets_grow_as_far_as_they_are_worth(spark):
+    rng = random.Random(9)
+    made = {f"l{i}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(8)] for i in range(6)}
+    text = lambda g, n: " ".join("".join(rng.choice(made[g]) for _ in range(4)) for _ in range(n))
+    rows = [(i, text(f"l{i % 6}", 60), f"l{i % 6}") for i in range(300)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    five = " ".join(text(f"l{i}", 40 + 5 * i) for i in range(5))
+    tests = spark.createDataFrame([(1, five, "s"), (2, text("l3", 50), "s"), (3, None, "s")], "doc_id long, text string, score string")
+    got = {r["doc_id"]: r for r in language_id.predict(tests, model, keep=("doc_id", "text", "score"), into=("a", "b", "c", "d")).collect()}
+    assert set(got[1]["c"]) == {f"l{i}" for i in range(5)} and abs(sum(got[1]["d"]) - 1) < 1e-6
+    assert got[1]["d"] == sorted(got[1]["d"], reverse=True) and got[1]["a"] == got[1]["c"][0] and got[1]["b"] == got[1]["d"][0]
+    assert got[2]["c"] == ["l3"] and got[3]["c"] == [] and (got[3]["a"], got[3]["b"]) == ("und", 0.0)
+    assert got[1]["text"] == five and got[1]["score"] == "s"
+
+
 def test_language_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     got = QUERIES["op8_language_id"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
@@ -323,6 +338,26 @@ def test_pipeline_stages(spark):
     assert {n for n, _ in corpus_pipeline.STAGES} == {"language", "near_duplicates", "repeats", "mixture", "packed"}
 
 
+def test_stages_take_repeated_rows_null_ids_clashing_columns_and_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").limit(40)
+    row = docs.orderBy("doc_id").head()
+    more = spark.createDataFrame([tuple(row)] * 2 + [(None, row["text"], row["lang"], row["source"], 1)] * 2, docs.schema)
+    docs = docs.union(more).withColumns({c: F.lit("x") for c in ("score", "lang_pred", "h", "node", "copies", "component", "tag")})
+    text = row["text"]
+    spoken = corpus_pipeline.language(spark, docs, SF)
+    assert spoken.columns == docs.columns and spoken.where(F.col("text") == text).count() in (0, docs.where(F.col("text") == text).count())
+    single = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert single.columns == docs.columns and single.where(F.col("text") == text).count() == 1
+    cut = corpus_pipeline.repeats(spark, single, SF)
+    assert cut.columns == docs.columns
+    taken = mixing.mix(docs).agg(F.sum("copies")).first()[0]
+    mixed = corpus_pipeline.mixture(spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.count() == taken
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+
+
 def test_chat_query_hashes(spark):
     rows = QUERIES["op9_chat_format"](spark, SF).where("conv_id = -7").collect()
     t = "</s>[INST] ok [/INST]"
