@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import CANDIDATE_WEIGHTS, RECRUITER_WEIGHTS
 from ..functions.keys import match_key
 from ..operators import nearest
+from ..operators.dedupe import merge_across_sources
 from ..operators.passes import CANDIDATE, PRESCREEN, RECRUITER, ModelStopped, ask_model, score_pass
 from ..operators.ranking import rank_within, rescored_order
 from ..plans import collect, index as indexing
@@ -24,9 +25,10 @@ from ..plans.stored_pass import RunStore, stored_pass
 from ..schemas import THEME_LISTS
 from ..session import scratch_path, settle
 from ..sources import tables
+from ..sources.boards import read_board
 from ..streaming.first_wins import ProvenanceLog, first_by_key
 from ..streaming.incremental_index import index_stream
-from ..streaming.ingest import landing_stream, write_postings
+from ..streaming.ingest import landing_lines, landing_stream, ordered_postings, write_postings
 from .boards import ALLJOBS_SQL, _alljobs, _xing, shown
 from .expressions import SCREEN_WEIGHTS
 from .inputs import (DOCS, IDS, IDS_SQL, KEY_SQL, LABEL_QUERIES, LISTINGS, MATCHED, NOW, ORDER, ORDER_SQL, CUT_SQL, SCORE_SQL,
@@ -329,6 +331,44 @@ def _(t: Inputs):
     return log.read(t.spark).select(*IDS, "l_returnflag", "title", joined("found_on"))
 
 
+@check("j2_generations", f"""
+WITH {MATCHED} SELECT {IDS_SQL}, l_returnflag, title, array_to_string(found_on, ',') AS found_on FROM merged""")
+def _(t: Inputs):
+    """Many micro-batches, a generation after every third, the last one noted twice."""
+    landing, out, marks = (scratch_path(t.spark, n) for n in ("listings", "groups", "marks"))
+    rows = listings(t).select(*ORDER, "title", "employer_name", "city", "source_platform", "actor")
+    rows.repartition(8).write.parquet(landing)
+    log = ProvenanceLog(out, ORDER, compact_every=3)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    log.start(stream, marks).awaitTermination()
+    log.compact(t.spark, log.generation(t.spark)[0])
+    return log.read(t.spark).select(*IDS, "l_returnflag", "title", joined("found_on"))
+
+
+@check("j1_stream_order", """
+WITH p AS (SELECT page_id, url, page_id % 50 AS job, CASE page_id % 4 WHEN 0 THEN '' ELSE 'Berlin' END AS city FROM pages)
+SELECT arg_min(url, page_id) AS platform_url, 'Job ' || job AS title, city FROM p WHERE city <> '' GROUP BY job, city
+UNION ALL SELECT url, 'Job ' || job, city FROM p WHERE city = ''""")
+def _(t: Inputs):
+    """Files of unequal size through the stream and through the batch reader: the same copies survive."""
+    landing, out, marks = (scratch_path(t.spark, n) for n in ("landing", "groups", "marks"))
+    job = F.col("page_id") % 50
+    lines = t.pages.select("page_id", F.to_json(F.struct(
+        F.col("url").alias("platform_url"), F.concat(F.lit("Job "), job).alias("title"), F.lit("Acme").alias("company_name"),
+        F.when(F.col("page_id") % 4 == 0, "").otherwise("Berlin, BE, Deutschland").alias("location"),
+        F.repeat(F.lit("x"), (F.col("page_id") % 300).cast("int")).alias("description"))).alias("value"))
+    lines.repartitionByRange(5, F.sqrt("page_id")).sortWithinPartitions("page_id").select("value").write.text(landing)
+    log = ProvenanceLog(out, ["row_ord"], compact_every=2)
+    stream = landing_lines(t.spark, landing, files_per_batch=2)
+    log.start(stream, marks, ordered_postings("alljobs", NOW)).awaitTermination()
+    streamed = settle(log.read(t.spark).select("platform_url", "title", "city"))
+    batch = merge_across_sources(read_board(t.spark, "alljobs", landing, NOW), ["row_ord"], source=F.col("source_platform"))
+    batch = settle(batch.select("platform_url", "title", "city"))
+    if not (streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()):
+        raise AssertionError("the stream and the batch keep different copies")
+    return streamed
+
+
 @check("j3_index_stream", f"WITH {DOCS} SELECT key, count(*) AS copies FROM p GROUP BY key")
 def _(t: Inputs):
     landing, out, marks = (scratch_path(t.spark, n) for n in ("postings", "index", "marks"))
@@ -360,7 +400,7 @@ def _(t: Inputs):
     return collect.collect_postings(frames).select("title", "city", joined("found_on"), "key")
 
 
-@check("k2_run_portfolio", f"""
+PORTFOLIO_MERGED = f"""
 WITH {LISTINGS}, hits AS (SELECT l.*, query_ord FROM l JOIN (VALUES (0, 'ring'), (1, 'red '), (2, 'bolt')) AS f(query_ord, needle)
   ON contains(lower(title || chr(10) || description), needle)),
 n AS (SELECT *, trim(regexp_replace(lower(title), '[\\s\\p{{Z}}]+', ' ', 'g')) AS t_, lower(employer_name) AS e_, lower(city) AS c_,
@@ -370,20 +410,39 @@ f AS (SELECT query_ord, t_, e_, c_, list_sort(list(DISTINCT src)) AS found_on FR
 m AS (SELECT query_ord, {ORDER_SQL}, title, employer_name, city, found_on FROM k JOIN f USING (query_ord, t_, e_, c_) WHERE rn = 1
   UNION ALL SELECT query_ord, {ORDER_SQL}, title, employer_name, city, [src] FROM n WHERE city = ''),
 d AS (SELECT *, row_number() OVER (PARTITION BY employer_name, title, city ORDER BY query_ord, {ORDER_SQL}) AS rn FROM m)
-SELECT {IDS_SQL}, title, employer_name, city, array_to_string(found_on, ',') AS found_on FROM d WHERE rn = 1""")
+"""
+
+
+@check("k2_run_portfolio", PORTFOLIO_MERGED + f"""SELECT {IDS_SQL}, title, employer_name, city, array_to_string(found_on, ',') AS found_on FROM d WHERE rn = 1""")
 def _(t: Inputs):
     unique, _ = collect.run_portfolio(listings(t), ["ring", None, "red ", " RING", "bolt", "gear"], ORDER, done=["gear"])
     return unique.select(*IDS, "title", "employer_name", "city", joined("found_on"))
 
 
+@check("k2_summary", PORTFOLIO_MERGED + """SELECT CASE query_ord WHEN 0 THEN 'ring' WHEN 1 THEN 'red' ELSE 'bolt' END AS label,
+  count(*) AS rows FROM m GROUP BY query_ord UNION ALL SELECT 'hit total', count(*) FROM m
+UNION ALL SELECT 'unique total', count(*) FROM d WHERE rn = 1""")
+def _(t: Inputs):
+    """Counted while hits and unique jobs are written."""
+    queries = ["ring", None, "red ", " RING", "bolt", "gear"]
+    return collect.store_portfolio(listings(t), queries, scratch_path(t.spark, "portfolio"), ORDER, done=["gear"])[1]
+
+
 @check("k3_match", MATCH_SQL)
 def _(t: Inputs):
     return match_rows(run_match(t))
 
 
-@check("k4_prescreen_only", match_sql() + "SELECT profile_id, key, title, n_chars FROM screened")
+@check("k4_prescreen_only", match_sql() + """SELECT profile_id, key, title, n_chars,
+  row_number() OVER (PARTITION BY profile_id ORDER BY doc_id) AS position FROM screened""")
+def _(t: Inputs):
+    return run_match(t, prescreen_only=True, table_order=["doc_id"]).select("profile_id", "key", "title", "n_chars", "position")
+
+
+@check("f8_table_order", match_sql() + """SELECT profile_id, doc_id,
+  row_number() OVER (PARTITION BY profile_id ORDER BY source, n_chars, key) AS position FROM screened""")
 def _(t: Inputs):
-    return run_match(t, prescreen_only=True).select("profile_id", "key", "title", "n_chars")
+    return run_match(t, prescreen_only=True, table_order=["employer_name", "n_chars"]).select("profile_id", "doc_id", "position")
 
 
 @check("k5_resume", MATCH_SQL)

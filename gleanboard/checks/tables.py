@@ -15,7 +15,7 @@ from ..operators.dedupe import (duplicate_report, duplicated_keys, first_spellin
                                 merge_across_sources, with_keys)
 from ..operators.passes import CANDIDATE, PRESCREEN, RECRUITER, from_records, to_records
 from ..plans.ask import contexts
-from ..plans.collect import union_sources
+from ..plans.collect import ingest, union_sources
 from ..plans.index import to_embed
 from ..schemas import POSTING, VERDICT_LISTS, conform
 from ..session import scratch_path, settle
@@ -63,14 +63,19 @@ def _(t: Inputs):
     return stored.select(*IDS, "title", "city", joined("found_on"), F.lit(int("raw" in stored.columns)).alias("has_raw"))
 
 
+def read_csv(t: Inputs, path: str):
+    """Every character of a stored CSV, white space included."""
+    return t.spark.read.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 @check("a12_csv_sink", f"""
-WITH {MATCHED} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, trim(title) AS title,
+WITH {MATCHED} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, title,
   array_to_string(found_on, ', ') AS found_on, 0 AS has_description FROM merged""")
 def _(t: Inputs):
     path = scratch_path(t.spark, "csv")
     tables.write_csv(merged(t), path)
-    stored = t.spark.read.option("header", True).csv(path)
-    return stored.select(*[F.col(c).cast("bigint").alias(c) for c in IDS], F.trim("title").alias("title"), "found_on",
+    stored = read_csv(t, path)
+    return stored.select(*[F.col(c).cast("bigint").alias(c) for c in IDS], "title", "found_on",
                          F.lit(int("description" in stored.columns)).alias("has_description"))
 
 
@@ -151,7 +156,7 @@ def _(t: Inputs):
 SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN '' WHEN conv_id % 5 = 1 THEN 'one' ELSE 'a|b' END AS role_themes,
   CASE WHEN conv_id % 5 IN (0, 4) THEN '' ELSE role END AS search_query,
   CASE WHEN conv_id % 5 = 4 THEN '' WHEN conv_id % 5 = 0 THEN '' ELSE '' END AS disqualifiers,
-  CASE WHEN conv_id % 5 = 4 THEN 'profile must be an object at the top level' ELSE '' END AS problem
+  CASE WHEN conv_id % 5 = 4 THEN 'a profile is a JSON object' ELSE '' END AS problem
 FROM conversations WHERE TRUE""".replace("WHEN conv_id % 5 = 1 THEN 'one'", "WHEN conv_id % 5 = 4 THEN '' WHEN conv_id % 5 = 1 THEN 'one'"))
 def _(t: Inputs):
     i = F.col("conv_id")
@@ -176,13 +181,17 @@ def _(t: Inputs):
 
 
 @check("a20_export_scored", f"""
-WITH {VERDICTS} SELECT key, {recruiter_sql(SCREEN_WEIGHTS)} AS recruiter_score, {joined_sql('themes_matched')} FROM r""")
+WITH {VERDICTS} SELECT key, {recruiter_sql(SCREEN_WEIGHTS)} AS recruiter_score, {joined_sql('themes_matched')},
+  CAST({recruiter_sql(SCREEN_WEIGHTS)} AS VARCHAR) AS csv_score, array_to_string(themes_matched, ', ') AS csv_themes, 0 AS csv_description FROM r""")
 def _(t: Inputs):
     from ..plans.match import rescore
 
     path = scratch_path(t.spark, "export")
     tables.export_scored(rescore(match_table(t), SCREEN_WEIGHTS, CANDIDATE_WEIGHTS), path)
-    return t.spark.read.parquet(f"{path}/matches.parquet").select("key", "recruiter_score", joined("themes_matched"))
+    whole, flat = t.spark.read.parquet(f"{path}/matches.parquet"), read_csv(t, f"{path}/matches.csv")
+    light = flat.select("key", F.col("recruiter_score").alias("csv_score"), F.coalesce("themes_matched", F.lit("")).alias("csv_themes"),
+                        F.lit(int("description" in flat.columns)).alias("csv_description"))
+    return whole.select("key", "recruiter_score", joined("themes_matched")).join(light, "key")
 
 
 @check("a21_run_registry", "SELECT 'run-' || label AS run_id, label FROM (SELECT DISTINCT label FROM embeddings)")
@@ -208,7 +217,8 @@ def _(t: Inputs):
 @check("b2_constant_tags", """
 SELECT l_returnflag, 'board' AS actor, 'data_query' AS search_label, count(*) AS rows FROM lineitem GROUP BY 1""")
 def _(t: Inputs):
-    tagged = t.lineitem.withColumn("actor", F.lit("board")).withColumn("search_label", F.lit("data_query"))
+    rows = union_sources({"board": t.lineitem.select("l_returnflag").withColumn("title", F.lit("a DATA query"))})
+    tagged = filters.keyword_hits(rows, [" Data  Query", "data query"], ["title"])
     return tagged.groupBy("l_returnflag", "actor", "search_label").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -455,10 +465,16 @@ def _(t: Inputs):
 WITH {LABEL_QUERIES}, {DOCS} SELECT * FROM (SELECT query_id, key, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY query_id
   ORDER BY {CUT_SQL} DESC, key) AS rank FROM embeddings JOIN p ON vec_id = doc_id, q WHERE p.city = 'en') WHERE rank <= 10""")
 def _(t: Inputs):
-    from ..plans.index import scoped
-
     english = filters.metadata_filter(doc_postings(t), city="en")
-    return nearest.search(scoped(vector_index(t), english), label_queries(t), 10)
+    return nearest.search(vector_index(t), label_queries(t), 10, scope=english)
+
+
+@check("c10_large_scope", f"""
+WITH {LABEL_QUERIES}, {DOCS} SELECT * FROM (SELECT query_id, key, {SCORE_SQL} AS score, row_number() OVER (PARTITION BY query_id
+  ORDER BY {CUT_SQL} DESC, key) AS rank FROM embeddings JOIN p ON vec_id = doc_id, q WHERE p.city <> 'en') WHERE rank <= 10""")
+def _(t: Inputs):
+    """The way for scopes too long to broadcast as keys."""
+    return nearest.search(vector_index(t), label_queries(t), 10, scope=doc_postings(t).where("city <> 'en'"), small_rows=10)
 
 
 # -- aggregates --------------------------------------------------------------------
@@ -496,6 +512,17 @@ def _(t: Inputs):
     return summary.ingest_summary(listings(t), merged(t), "actor")
 
 
+@check("d4_ingest", f"""
+WITH {MATCHED} SELECT actor AS label, count(*) AS rows FROM l GROUP BY 1
+UNION ALL SELECT 'raw total', count(*) FROM l UNION ALL SELECT 'unique total', count(*) FROM merged""")
+def _(t: Inputs):
+    """The counts that fall out of landing and merging."""
+    rows = listings(t).select("title", "employer_name", "city", "source_platform", "platform_url", "description", "actor",
+                              F.concat_ws("-", *ORDER).alias("row_ord"))
+    frames = {name: rows.where(F.col("actor") == name) for name in ("F", "O")}
+    return ingest(frames, scratch_path(t.spark, "ingest"))[1]
+
+
 @check("d5_cache_ratio", f"""
 WITH {VERDICTS} SELECT 'prescreen' AS pass, count(*) FILTER (WHERE NOT undecided) AS reused, count(*) AS rows FROM r""")
 def _(t: Inputs):
@@ -695,14 +722,6 @@ def _(t: Inputs):
     return tables.recent_runs(t.spark, path, 5).select("run_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started"))
 
 
-@check("f8_table_order", f"""
-WITH {VERDICTS} SELECT key, row_number() OVER (ORDER BY doc_id) AS position FROM r WHERE lower(decision) <> 'reject'""")
-def _(t: Inputs):
-    kept = stored_verdicts(t, PRESCREEN, "prescreen").where(filters.not_rejected(F.col("decision")))
-    rows = joins.only_keys(doc_postings(t), kept.select("key"))
-    return ranking.global_rank(rows.select("key", "doc_id"), [F.asc("doc_id")], rank="position").select("key", "position")
-
-
 # -- sets -----------------------------------------------------------------------------
 
 @check("g1_union_sources", f"""

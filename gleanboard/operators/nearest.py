@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.vectors import cosine
 from ..session import scratch_path, settle
-from .joins import small_side
+from .bitmaps import MOST_KEYS, bitmap_of, key_hash, may_hold
+from .joins import SMALL_ROWS, small_side
 from .ranking import top_k, top_k_per_group
 
 TILE = 4_000_000            # scores held at once by a task
@@ -99,7 +101,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def search(
     index: DataFrame, queries: DataFrame, k: int = 5, *, digits: int = DIGITS,
-    block_bytes: int = QUERY_BLOCK_BYTES, columns: Sequence[str] = (),
+    block_bytes: int = QUERY_BLOCK_BYTES, columns: Sequence[str] = (), scope: DataFrame | None = None,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """(query_id, rank, key, score) for every query of a table, and ``columns`` of the index.
 
@@ -109,17 +112,58 @@ def search(
     ``block_bytes``. A block is broadcast and meets the index where it lies, so
     the index is read once for each block and never moved. A task holds the k best
     rows of each query of one block, whatever the index holds.
+
+    ``scope`` is a table of keys, the only ones that a search may find. It is
+    counted: up to ``small_rows`` keys are broadcast; more are sent as a bitmap of
+    bounded size, and what it lets through by mistake is taken out of the winners
+    and made up for; only beyond ``MOST_KEYS`` are the vectors joined by a shuffle.
     """
-    spark, source = index.sparkSession, index
+    source = index
     index = index.where(usable()).select("key", "embedding")
     queries = settle(queries.where(usable()).select("query_id", "embedding"))
+    if scope is None:
+        hits = _search(index, queries, k, block_bytes)
+    else:
+        keys = settle(scope.select("key").distinct())
+        n = keys.count()
+        if n <= small_rows:
+            hits = _search(index.join(F.broadcast(keys), "key", "left_semi"), queries, k, block_bytes)
+        elif n <= MOST_KEYS:
+            hits = _search_in_bitmap(index, queries, k, block_bytes, keys, n)
+        else:
+            hits = _search(index.join(keys, "key", "left_semi"), queries, k, block_bytes)
+    hits = hits.select("query_id", "rank", "key", F.round("score", digits).alias("score"))
+    return with_columns_of(hits, source, columns) if columns else hits
+
+
+def _search_in_bitmap(index: DataFrame, queries: DataFrame, k: int, block_bytes: int, keys: DataFrame, n: int) -> DataFrame:
+    """Hits within many keys. Queries that lost winners to the bitmap are asked for more until none lacks any."""
+    bitmap = index.sparkSession.sparkContext.broadcast(bitmap_of(keys, n))
+    spare, asked, found = k + max(8, k // 4), queries, []
+    while True:
+        raw = settle(_search(index, asked, spare, block_bytes, bitmap))
+        true = settle(raw.join(keys, "key", "left_semi"))
+        got = raw.groupBy("query_id").agg(F.count(F.lit(1)).alias("raw")).join(
+            true.groupBy("query_id").agg(F.count(F.lit(1)).alias("true")), "query_id", "left")
+        # Complete: k true winners, or there was nothing more to find.
+        short = settle(got.where((F.coalesce("true", F.lit(0)) < k) & (F.col("raw") >= spare)).select("query_id"))
+        found.append(true.join(short, "query_id", "left_anti").select("query_id", "key", "score"))
+        if short.isEmpty():
+            break
+        asked, spare = settle(asked.join(short, "query_id", "left_semi")), spare * 2
+    return top_k_per_group(reduce(DataFrame.unionByName, found), ["query_id"], best_first(), k)
+
+
+def _search(index: DataFrame, queries: DataFrame, k: int, block_bytes: int, bitmap=None) -> DataFrame:
+    """(query_id, key, score, rank) of stored queries, block by block."""
+    spark = index.sparkSession
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d"),
                        F.sum(F.length(F.col("query_id").cast("string"))).alias("ids")).first()
     total = (size["n"] or 0) * (size["d"] or 0) * 8 + (size["ids"] or 0) + (size["n"] or 0) * k * 24
     schema = StructType([queries.schema["query_id"], index.schema["key"], StructField("score", DoubleType())])
     blocks = max(1, math.ceil(total / block_bytes))
     if blocks == 1:
-        partial = _scan(index, queries, k, schema)
+        partial = _scan(index, queries, k, schema, bitmap)
     else:
         folder = scratch_path(spark, "hits")
         # Positions in a checkpoint do not change, so a query is in one block.
@@ -128,11 +172,9 @@ def search(
         dealt = spark.read.schema(StructType([*queries.schema, StructField("_block", IntegerType())])).parquet(f"{folder}/queries")
         for i in range(blocks):
             block = dealt.where(F.col("_block") == i).select("query_id", "embedding")
-            _scan(index, block, k, schema).write.mode("append").parquet(f"{folder}/partial")
+            _scan(index, block, k, schema, bitmap).write.mode("append").parquet(f"{folder}/partial")
         partial = spark.read.schema(schema).parquet(f"{folder}/partial")
-    hits = top_k_per_group(partial, ["query_id"], best_first(), k)
-    hits = hits.select("query_id", "rank", "key", F.round("score", digits).alias("score"))
-    return with_columns_of(hits, source, columns) if columns else hits
+    return top_k_per_group(partial, ["query_id"], best_first(), k)
 
 
 def with_columns_of(hits: DataFrame, index: DataFrame, columns: Sequence[str] = ("metadata",)) -> DataFrame:
@@ -143,8 +185,8 @@ def with_columns_of(hits: DataFrame, index: DataFrame, columns: Sequence[str] =
     return hits.join(carried, "key", "left").select("query_id", "rank", "key", "score", *columns)
 
 
-def _scan(index: DataFrame, queries: DataFrame, k: int, schema: StructType) -> DataFrame:
-    """The k best rows of every query that each task has seen."""
+def _scan(index: DataFrame, queries: DataFrame, k: int, schema: StructType, bitmap=None) -> DataFrame:
+    """The k best rows of every query that each task has seen; with a (broadcast) bitmap, of the keys it may hold."""
     table = queries.toArrow()
     id_type, key_type = (to_arrow_type(schema[c].dataType) for c in ("query_id", "key"))
     shared = index.sparkSession.sparkContext.broadcast(
@@ -154,6 +196,8 @@ def _scan(index: DataFrame, queries: DataFrame, k: int, schema: StructType) -> D
         ids, matrix = shared.value
         best = _Best(matrix, k)
         for batch in batches:
+            if bitmap is not None and batch.num_rows:
+                batch = batch.filter(pa.array(may_hold(bitmap.value, batch.column(2).to_numpy())))
             if matrix.size and batch.num_rows:
                 keys = np.array(batch.column(0).to_pylist(), dtype=object)
                 best.add(keys, _matrix(batch.column(1)))
@@ -163,4 +207,6 @@ def _scan(index: DataFrame, queries: DataFrame, k: int, schema: StructType) -> D
              pa.array(rows["score"].to_numpy(np.float64), pa.float64())],
             names=["query_id", "key", "score"])
 
+    if bitmap is not None:
+        index = index.select("key", "embedding", key_hash().alias("_h"))
     return index.mapInArrow(run, schema)

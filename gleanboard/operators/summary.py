@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.scores import rescaled, weighted_mean
 
@@ -20,6 +22,13 @@ def ingest_summary(raw: DataFrame, unique: DataFrame, by: str) -> DataFrame:
     return per.unionByName(total(raw, "raw total")).unionByName(total(unique, "unique total"))
 
 
+def counted_by(df: DataFrame, by: str, labels: Sequence[str], total: str) -> tuple[DataFrame, Observation]:
+    """The table with counts that Spark takes while it is written: per label of ``by`` and of all rows."""
+    seen = Observation()
+    counts = [F.count_if(F.col(by).eqNullSafe(F.lit(label))).alias(f"n{i}") for i, label in enumerate(labels)]
+    return df.observe(seen, F.count(F.lit(1)).alias(total), *counts), seen
+
+
 def cache_ratio(rows: DataFrame, cached: Column, by: str = "pass") -> DataFrame:
     return rows.groupBy(by).agg(F.count_if(cached).alias("reused"), F.count(F.lit(1)).alias("rows"))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import answer_text
+from ..operators.dedupe import require_unique_key
 from ..operators.filters import metadata_filter
 from ..operators.joins import postings_of, rows_of_hits
 from ..operators.nearest import search
 from ..operators.passes import Model, ask_model
 from ..session import settle
-from .index import scoped
 
 # Separators of the context and the question.
 BETWEEN = "\n\n---\n\n"
@@ -49,8 +49,8 @@ def ask(
     """
     questions = settle(questions)  # a model may have made their vectors
     allowed = metadata_filter(postings, city=city, country=country)
-    hits = settle(search(scoped(index, allowed), questions.select("query_id", "embedding"), k))
-    found = settle(postings_of(hits, allowed))
+    hits = settle(search(index, questions.select("query_id", "embedding"), k, scope=allowed))
+    found = require_unique_key(settle(postings_of(hits, allowed)))
     texts = prompts(questions, hits, found).withColumnRenamed("prompt", "message")
     answers = settle(ask_model(texts, model, ["query_id"], concurrency=concurrency).select(
         "query_id", F.col("reply").alias("answer"), F.col("call_error").alias("error")))

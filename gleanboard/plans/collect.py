@@ -6,10 +6,11 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.dedupe import first_hits, merge_across_sources, with_keys
 from ..operators.filters import keyword_hits, matching_queries
+from ..operators.summary import counted_by
 from ..schemas import COLLECTED, POSTING, conform
 from ..sources.boards import board, read_board
 
@@ -65,6 +66,24 @@ def collect_postings(frames: dict[str, DataFrame], spark: SparkSession | None =
     return with_keys(merge_across_sources(union_sources(frames), ORDER)).drop(*ORDER)
 
 
+def ingest(frames: dict[str, DataFrame], path: str) -> tuple[DataFrame, DataFrame]:
+    """Land the tagged union, merge it, store both, and count in passing.
+
+    Returns (unique postings, summary): rows per source, ``raw total`` and ``unique
+    total`` as (label, rows). The counts are taken while the two tables are written
+    (``path``/raw and ``path``/unique), so nothing is read for them.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    raw, seen = counted_by(union_sources(frames), "actor", list(frames), "raw total")
+    raw.write.mode("overwrite").parquet(f"{path}/raw")
+    kept = Observation()
+    merged = with_keys(merge_across_sources(spark.read.parquet(f"{path}/raw"), ORDER)).drop(*ORDER)
+    merged.observe(kept, F.count(F.lit(1)).alias("unique total")).write.mode("overwrite").parquet(f"{path}/unique")
+    rows = [(name, seen.get[f"n{i}"]) for i, name in enumerate(frames)]
+    rows += [("raw total", seen.get["raw total"]), ("unique total", kept.get["unique total"])]
+    return spark.read.parquet(f"{path}/unique"), spark.createDataFrame(rows, "label string, rows bigint")
+
+
 def run_portfolio(
     postings: DataFrame, queries: Sequence[object], order_by: Sequence[str] = tuple(ORDER), *,
     done: Sequence[str] = (), columns: Sequence[str] = ("title", "description"),
@@ -75,7 +94,7 @@ def run_portfolio(
     ``done`` holds labels of queries that ran before and are skipped. Each
     query merges its own hits; across queries the earlier query wins.
     """
-    wanted = [q for q in clean_queries(queries) if "_".join(q.lower().split()) not in set(done)]
+    wanted = _pending(queries, done)
     hits = keyword_hits(postings, wanted, columns)
     tags = ["query_ord", "search_label", "search_query"]
     per_query = with_keys(merge_across_sources(hits, order_by, within=tags))
@@ -84,3 +103,29 @@ def run_portfolio(
     return with_keys(unique), per_query
 
 
+def _label(query: str) -> str:
+    return "_".join(query.lower().split())
+
+
+def _pending(queries: Sequence[object], done: Sequence[str]) -> list[str]:
+    return [q for q in clean_queries(queries) if _label(q) not in set(done)]
+
+
+def store_portfolio(
+    postings: DataFrame, queries: Sequence[object], path: str, order_by: Sequence[str] = tuple(ORDER), *,
+    done: Sequence[str] = (), **options,
+) -> tuple[DataFrame, DataFrame]:
+    """``run_portfolio`` written to ``path``/hits and ``path``/unique: (unique postings, summary).
+
+    The summary has the jobs of every query, ``hit total`` and ``unique total`` as
+    (label, rows), counted while the tables are written.
+    """
+    unique, per_query = run_portfolio(postings, queries, order_by, done=done, **options)
+    labels = [_label(q) for q in _pending(queries, done)]
+    hits, seen = counted_by(per_query, "search_label", labels, "hit total")
+    hits.write.mode("overwrite").parquet(f"{path}/hits")
+    kept = Observation()
+    unique.observe(kept, F.count(F.lit(1)).alias("unique total")).write.mode("overwrite").parquet(f"{path}/unique")
+    rows = [(name, seen.get[f"n{i}"]) for i, name in enumerate(labels)]
+    rows += [("hit total", seen.get["hit total"]), ("unique total", kept.get["unique total"])]
+    return postings.sparkSession.read.parquet(f"{path}/unique"), postings.sparkSession.createDataFrame(rows, "label string, rows bigint")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.keys import metadata
 from ..functions.text import retrieval_text
-from ..operators.joins import key_intersection, without_keys
+from ..operators.dedupe import require_unique_key
+from ..operators.joins import key_intersection, small_side, without_keys
 from ..operators.passes import call_each
 from ..session import settle
 
@@ -79,20 +80,25 @@ def embed_new(postings: DataFrame, index: DataFrame, embedder: Embedder, model:
 
 
 def build_index(
-    postings: DataFrame, path: str, embedder: Embedder, model: str, batch: int = BATCH
+    postings: DataFrame, path: str, embedder: Embedder, model: str, batch: int = BATCH, *, build: str | None = None,
+    unique_keys: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Extend the stored index and return (index, scope, dropped keys).
 
     Only new keys are embedded, each once. ``scope`` is what a search for the
-    caller's table may see, although the stored table holds more.
+    caller's table may see, although the stored table holds more. A build under a
+    name can be repeated: it replaces what its first attempt stored.
+    ``unique_keys`` refuses a table in which a key repeats.
     """
     from ..operators.summary import dropped_rows
     from ..sources.tables import append_embeddings, read_embeddings
 
     spark = postings.sparkSession
-    stored = read_embeddings(spark, path, model)
+    if unique_keys:
+        require_unique_key(postings)
+    stored = read_embeddings(spark, path, model, parts=True).where(~F.col("build").eqNullSafe(F.lit(build or "")))
     fresh = settle(embed_new(postings, stored, embedder, model, batch))
-    append_embeddings(fresh.where(F.col("embedding").isNotNull()), path)
+    append_embeddings(fresh.where(F.col("embedding").isNotNull()), path, build)
     index = read_embeddings(spark, path, model)
     scope = key_intersection(postings, index)
     if scope.isEmpty() and not postings.isEmpty():
@@ -101,5 +107,5 @@ def build_index(
 
 
 def scoped(index: DataFrame, postings: DataFrame) -> DataFrame:
-    """The part of the index the caller's table covers, cut before scoring."""
-    return index.join(postings.select("key"), "key", "left_semi")
+    """The part of the index the caller's table covers. ``search(scope=...)`` needs no such table."""
+    return index.join(small_side(settle(postings.select("key").distinct())), "key", "left_semi")

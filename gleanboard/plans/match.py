@@ -4,12 +4,14 @@ whose tables get smaller."""
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scores import CANDIDATE_WEIGHTS, RECRUITER_WEIGHTS, candidate_score, recruiter_score
 from ..functions.text import cv_message, posting_text, profile_message
+from ..operators.dedupe import require_unique_key
 from ..operators.filters import at_least, not_rejected, recent
 from ..operators.joins import postings_of, with_verdicts
 from ..operators.nearest import search
@@ -19,7 +21,6 @@ from ..operators.ranking import final_order, rank_within, rescored_order, top_pe
 from ..schemas import THEME_LISTS
 from ..session import settle
 from ..sources.tables import previous_run, preview, register_run
-from .index import scoped
 from .stored_pass import RunStore, stored_pass
 
 KEYS = ["profile_id", "key"]
@@ -81,13 +82,15 @@ def match(
     profiles: DataFrame, postings: DataFrame, index: DataFrame, models: Models, *,
     now: dt.datetime, settings: MatchSettings = MatchSettings(), store: RunStore | None = None,
     prescreen_only: bool = False, posted_since: str | None = None, runs_path: str = "",
+    table_order: Sequence[str] = (),
 ) -> DataFrame:
     """Ranked matches per profile.
 
     ``profiles`` carry cv_text, the theme lists and ``embedding`` of the search
     query. Retrieval sees only postings of the given table (and, with
     ``posted_since``, recent ones). With ``prescreen_only`` the surviving
-    postings come back unscored.
+    postings come back unscored, with their ``position`` in ``table_order`` (columns
+    of the postings, then the key). A key that two retrieved postings share is an error.
     """
     profiles = settle(profiles)  # a model made them: once
     if posted_since:
@@ -96,15 +99,15 @@ def match(
         register_run(postings.sparkSession, runs_path, store.run_id, now, asdict(settings), profiles)
     c = _Cascade(postings, models, settings, now, store)
     queries = profiles.select(F.col("profile_id").alias("query_id"), "embedding")
-    hits = settle(search(scoped(index, postings), queries, settings.top_n)
-                  .withColumnRenamed("query_id", "profile_id"))
+    hits = settle(search(index, queries, settings.top_n, scope=postings).withColumnRenamed("query_id", "profile_id"))
     # From here on every step works on the retrieved postings only.
-    postings = c.postings = settle(postings_of(hits, postings))
+    postings = c.postings = require_unique_key(settle(postings_of(hits, postings)))
 
     screened = c.run_pass(c.cv_rows(hits, profiles), PRESCREEN, models.prescreen)
     survivors = hits.join(screened.where(not_rejected(F.col("decision"))), KEYS, "left_semi")
     if prescreen_only:
-        return survivors.select(*KEYS).join(postings, "key")
+        kept = survivors.select(*KEYS).join(postings, "key")
+        return rank_within(kept, ["profile_id"], [*[F.asc(c) for c in table_order], F.asc("key")], "position")
 
     rated = c.run_pass(c.cv_rows(survivors, profiles), RECRUITER, models.recruiter)
     rated = rated.withColumn("recruiter_score", recruiter_score(settings.recruiter_weights))

@@ -238,7 +238,16 @@ def read_board(spark: SparkSession, name: str, path: str, now: dt.datetime) -> D
     and packs the files: the id only orders the lines of one block.
     """
     board(name)
-    lines = spark.read.text(path).withColumn("row_ord", F.concat_ws(
-        " ", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
-        F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")))
-    return normalise(lines, name, now)
+    return normalise(numbered(located_lines(spark.read.text(path))), name, now)
+
+
+def located_lines(lines: DataFrame) -> DataFrame:
+    """Landed lines with the file and block they come from, batch or stream."""
+    return lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """``row_ord`` of located lines that no shuffle has moved; of a stream, within a micro-batch."""
+    return lines.select("value", F.concat_ws(
+        " ", "_file", F.lpad(F.col("_block").cast("string"), 20, "0"),
+        F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")).alias("row_ord"))

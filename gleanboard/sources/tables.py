@@ -5,17 +5,19 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+import uuid
 import warnings
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.keys import render_list
 from ..functions.text import file_slug, form_text
 from ..operators.dedupe import keep_first
 from ..schemas import EMBEDDING, POSTING_DEDUPED, PROGRESS, RUN, THEME_LISTS, VERDICT, conform
 
+# Columns of the summary and of the preview.
 SUMMARY_COLUMNS = ["key", "title", "employer_name", "city", "country",
                    "recruiter_score", "candidate_score", "error"]
 PREVIEW_COLUMNS = ["title", "employer_name", "city", "country"]
@@ -83,26 +85,40 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 # -- embeddings ---------------------------------------------------------------
 
+#: Key buckets of the embedding table. A fixed value: a table keeps the number it began with.
+KEY_BUCKETS = 64
+
+
+def key_bucket(column: str = "key") -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(KEY_BUCKETS)).cast("int")
+
+
 def read_embeddings(spark: SparkSession, path: str, model: str | None = None,
-                    batches: bool = False) -> DataFrame:
+                    parts: bool = False) -> DataFrame:
     """The accumulated embedding table; an absent path is an empty table.
 
-    ``batches`` adds the micro-batch number of a table a stream has written.
+    ``parts`` adds ``bucket`` and ``build``, by which the files are laid out: a
+    filter on them leaves all other files unread.
     """
-    schema = T.StructType(list(EMBEDDING))
-    if batches:
-        schema.add("batch_id", "long")
+    schema = T.StructType(list(EMBEDDING)).add("bucket", "integer").add("build", "string")
     try:
         table = spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         table = spark.createDataFrame([], schema)
+    table = table if parts else table.drop("bucket", "build")
     return table.where(F.col("model") == model) if model else table
 
 
-def append_embeddings(df: DataFrame, path: str) -> None:
-    conform(df, EMBEDDING).write.mode("append").parquet(path)
+def append_embeddings(df: DataFrame, path: str, build: str | None = None) -> None:
+    """Add the rows of a build, laid out by key bucket.
+
+    A build that is written again under its name replaces its own rows, so a retry
+    stores nothing twice; without a name every call is a build of its own.
+    """
+    rows = conform(df, EMBEDDING).withColumns({"bucket": key_bucket(), "build": F.lit(build or f"b-{uuid.uuid4().hex}")})
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "build").parquet(path))
 
 
 # -- verdicts and runs ---------------------------------------------------------
@@ -157,16 +173,17 @@ def write_match(result: DataFrame, profiles: DataFrame, path: str) -> None:
 
 
 def run_id(model: str, top_n: int, keep_pct: float, started_at: dt.datetime) -> str:
-    """slug(model)__n<top_n>__keep<pct>__<timestamp>."""
+    """slug(model)__n<top_n>__keep<pct>__<timestamp>: a fixed format."""
     name = re.sub("[^a-zA-Z0-9]+", "-", model).strip("-").lower() or "x"
     return f"{name}__n{top_n}__keep{keep_pct:g}__{started_at:%Y%m%d-%H%M%S}"
 
 
 def register_run(spark: SparkSession, path: str, run: str, started_at: dt.datetime, settings: dict,
                  profiles: DataFrame | None = None) -> None:
-    """Append one row to the run table; an empty path switches it off.
+    """One row in the run table; an empty path switches it off.
 
-    The profiles of a run are stored beside the row, keyed by the run.
+    The profiles of a run are stored beside the row, keyed by the run. Each run has
+    partitions of its own: registering it again replaces them.
     """
     if not path:
         return
@@ -175,9 +192,10 @@ def register_run(spark: SparkSession, path: str, run: str, started_at: dt.dateti
     row = spark.createDataFrame([(run, started_at, text)], "run_id string, started_at timestamp, settings string")
     row = row.withColumn("settings_hash", F.substring(F.sha1("settings"), 1, 12)).withColumn(
         "profiles", F.lit(where if profiles is not None else None).cast("string"))
-    conform(row, RUN).write.mode("append").parquet(f"{path}/runs")
+    own = {"mode": "overwrite", "partitionOverwriteMode": "dynamic", "partitionBy": "run_id"}
+    conform(row, RUN).write.save(f"{path}/runs", "parquet", **own)
     if profiles is not None:
-        profiles.withColumn("run_id", F.lit(run)).write.mode("append").parquet(where)
+        profiles.withColumn("run_id", F.lit(run)).write.save(where, "parquet", **own)
 
 
 def recent_runs(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
@@ -197,7 +215,7 @@ def previous_run(spark: SparkSession, path: str, explicit: str | None, configure
             raise
         known = False
     if not known:
-        warnings.warn(f"previous run {wanted!r} does not exist; ignoring", stacklevel=2)
+        warnings.warn(f"nothing is stored under run {wanted!r}: every pass starts anew", stacklevel=2)
         return None
     return wanted
 
@@ -211,7 +229,7 @@ def profile_columns(text: str = "value", profile_id: str = "profile_id") -> list
 
     v = F.try_parse_json(F.when(F.trim(text) != "", F.col(text)).otherwise("{}"))
     is_object = F.schema_of_variant(v).startswith("OBJECT")
-    problem = F.when(v.isNull(), "invalid JSON").when(~is_object, "profile must be an object at the top level")
+    problem = F.when(v.isNull(), "invalid JSON").when(~is_object, "a profile is a JSON object")
     return [F.col(profile_id), *[theme_list(v, n).alias(n) for n in THEME_LISTS],
             text_field(v, "search_query").alias("search_query"), problem.alias("problem")]
 

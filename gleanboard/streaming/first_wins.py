@@ -2,14 +2,17 @@
 
 ``first_by_key`` forwards the first row of a key and needs no table; it
 promises the set of keys. ``ProvenanceLog`` also keeps the survivor rule and
-the sources of all copies: every micro-batch appends its partial groups, and
-reading combines them, since both aggregates are associative.
+the sources of all copies: every micro-batch adds its partial groups, and reading
+combines them, since both aggregates are associative. From time to time what is
+there becomes a new generation, so a reader never goes through all batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -48,30 +51,82 @@ def partial_groups(batch: DataFrame, order_by: Sequence[str]) -> DataFrame:
                  F.count(F.lit(1)).alias("copies")))
 
 
+GROUPS = ["match_key", "alone"]
+#: Micro-batches between two generations.
+COMPACT_EVERY = 10
+
+
+def merged_groups(groups: DataFrame) -> DataFrame:
+    """Partial groups of the same job as one; the result can be merged again."""
+    return groups.groupBy(*GROUPS).agg(
+        F.min("first_row").alias("first_row"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
+        F.sum("copies").alias("copies"))
+
+
 class ProvenanceLog:
-    """Append-only table of partial groups, one partition per micro-batch."""
+    """Table of partial groups, merged when read.
+
+    Every micro-batch writes its groups to a partition of its own, ``tail``. After
+    ``compact_every`` batches the last generation and the tail are merged into a
+    new generation: a folder of its own, noted in ``generations`` when it is whole.
+    A reader takes the last noted generation and the batches behind it, so its work
+    does not grow with the number of batches. A batch that is repeated replaces its
+    partition; what a generation holds already is not read from the tail.
+    """
 
-    def __init__(self, path: str, order_by: Sequence[str]):
-        self.path, self.order_by = path, list(order_by)
+    def __init__(self, path: str, order_by: Sequence[str], compact_every: int = COMPACT_EVERY):
+        self.path, self.order_by, self.compact_every = path, list(order_by), compact_every
 
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        path, order_by = self.path, self.order_by
+    def start(self, stream: DataFrame, checkpoint: str,
+              prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+        """``prepare`` turns a micro-batch into postings, where the stream cannot (positions of lines)."""
+        log = self
 
         def store(batch: DataFrame, batch_id: int) -> None:
-            # A repeated batch replaces its own partition, so retries are harmless.
-            (partial_groups(batch, order_by).withColumn("batch_id", F.lit(batch_id))
+            rows = batch if prepare is None else prepare(batch)
+            (partial_groups(rows, log.order_by).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(path))
+             .partitionBy("batch_id").parquet(f"{log.path}/tail"))
+            if (batch_id + 1) % log.compact_every == 0:
+                log.compact(batch.sparkSession, batch_id)
 
         return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
 
+    def generation(self, spark: SparkSession, before: int | None = None) -> tuple[int, str | None]:
+        """(last batch in it, folder) of the newest generation; -1 and None before the first one."""
+        try:
+            noted = spark.read.schema("upto bigint, folder string").parquet(f"{self.path}/generations")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return -1, None
+        if before is not None:
+            noted = noted.where(F.col("upto") < before)
+        last = noted.agg(F.max(F.struct("upto", "folder")).alias("g")).first()["g"]
+        return (-1, None) if last is None else (last["upto"], last["folder"])
+
+    def groups(self, spark: SparkSession, upto: int, folder: str | None, until: int | None = None) -> DataFrame:
+        """The groups of a generation and of the batches behind it, not merged."""
+        tail = spark.read.parquet(f"{self.path}/tail").where(F.col("batch_id") > upto)
+        if until is not None:
+            tail = tail.where(F.col("batch_id") <= until)
+        tail = tail.drop("batch_id")
+        return tail if folder is None else spark.read.parquet(f"{self.path}/{folder}").unionByName(tail)
+
+    def compact(self, spark: SparkSession, upto: int) -> None:
+        """Write the generation that ends with a batch and note it. A repeated call notes a folder with the same content."""
+        before, folder = self.generation(spark, before=upto)
+        name = f"generation-{upto}-{uuid.uuid4().hex[:8]}"
+        merged_groups(self.groups(spark, before, folder, upto)).write.parquet(f"{self.path}/{name}")
+        (spark.createDataFrame([(upto, name)], "upto bigint, folder string").coalesce(1)
+         .write.mode("append").parquet(f"{self.path}/generations"))
+
     def read(self, spark: SparkSession) -> DataFrame:
         """The merged table of everything stored so far."""
-        groups = spark.read.parquet(self.path)
-        merged = groups.groupBy("match_key", "alone").agg(
-            F.min("first_row").alias("_first"), F.sum("copies").alias("_n"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("found_on"))
-        copies = F.when(F.col("alone").isNotNull(), F.col("_n")).otherwise(F.lit(1)).cast("int")
-        return (merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-                .select("match_key", "_first.*", "found_on"))
+        merged = merged_groups(self.groups(spark, *self.generation(spark)))
+        found = merged.select("match_key", "alone", "first_row.*", F.col("sources").alias("found_on"), "copies")
+        # Equal rows with a blank part are all kept; jobs with one copy pass by.
+        one = (F.col("alone").isNull()) | (F.col("copies") == 1)
+        many = found.where(~one).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("_copy")
+        return found.where(one).unionByName(many).drop("alone", "copies")
