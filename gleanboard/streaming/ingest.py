@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..sources.boards import board, located_lines, normalise, numbered
@@ -33,7 +33,7 @@ def ordered_postings(name: str, now: dt.datetime) -> Callable[[DataFrame], DataF
     """Turns a micro-batch of landed lines into postings of a board with the ``row_ord`` that a batch
     reader gives them, so that the same copy of a job comes first on both ways."""
     board(name)
-    return lambda lines: normalise(numbered(lines), name, now)
+    return lambda lines: normalise(numbered(lines), name, now).withColumn("actor", F.lit(name))
 
 
 def write_postings(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
