@@ -45,7 +45,8 @@ def global_rank(
                   .groupBy(*[F.col(g).alias(f"_g_{g}") for g in group])
                   .agg(F.min(F.col("_before") + F.col("_offset")).alias("_first")))
         same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
-        out = out.join(firsts, same).withColumn(rank, F.col(rank) - F.col("_first"))
+        # A row per group: few groups are broadcast, so that a hot one is not gathered again.
+        out = out.join(small_side(settle(firsts)), same).withColumn(rank, F.col(rank) - F.col("_first"))
     return out.select(*df.columns, F.col(rank).cast("bigint").alias(rank))
 
 
