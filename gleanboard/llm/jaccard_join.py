@@ -285,7 +285,7 @@ def _across(share_pct: int):
     A pair is written in the least of the open buckets that it shares only.
     """
     def pairs(cell: tuple, rows: list[tuple]) -> list[tuple]:
-        key, lo, hi = cell
+        _, lo, hi = cell
         part, node, comp, n, sketches, keys = zip(*rows, strict=True)
         part, node, comp, n = np.array(part), np.array(node), np.array(comp), np.array(n)
         bits = [np.frombuffer(x, dtype=U) for x in sketches]
@@ -300,12 +300,9 @@ def _across(share_pct: int):
             j = j[far * (100 + share_pct) <= (n[j] + n[i]) * (100 - share_pct)]
             far = np.array([distance(bits[i], bits[k]) for k in j], dtype=np.int64)
             j = j[far * (100 + share_pct) <= (n[j] + n[i]) * (100 - share_pct)]
-            found += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j if least_shared(keys[i], keys[k]) == key]
+            found += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in j if not len(np.intersect1d(keys[i], keys[k], assume_unique=True))]
         return found
 
-    def least_shared(x: np.ndarray, y: np.ndarray) -> int:
-        return int(np.intersect1d(x, y, assume_unique=True)[0])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows, done = None, [], set()
         for batch in batches:
@@ -407,7 +404,9 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed = every.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_rows = settle(every.join(mixed, "key"))
     keys_of = open_rows.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most the keys of one document
-    open_rows = open_rows.join(nodes.select("node", "n", "sketch"), "node").join(keys_of, "node")
+    # A bucket needs the lesser keys of its rows only: half of what all of them would be.
+    open_rows = open_rows.join(nodes.select("node", "n", "sketch"), "node").join(keys_of, "node").withColumn(
+        "keys", F.filter("keys", lambda k: k < F.col("key")))
     crossing = (_cells(open_rows).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
                 .mapInArrow(_across(share_pct), "a long, b long").distinct())
     second = settle(_verify(crossing.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
