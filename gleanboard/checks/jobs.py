@@ -17,7 +17,7 @@ from ..functions.keys import match_key
 from ..operators import nearest
 from ..operators.dedupe import merge_across_sources
 from ..operators.passes import CANDIDATE, PRESCREEN, RECRUITER, ModelStopped, ask_model, score_pass
-from ..operators.ranking import rank_within, rescored_order
+from ..operators.ranking import global_rank, rank_within, rescored_order
 from ..plans import collect, index as indexing
 from ..plans.ask import ask, prompts
 from ..plans.match import MatchSettings, Models, code_profiles, match, rescore, rescored_preview
@@ -517,6 +517,17 @@ def _(t: Inputs):
     return rescored_preview(match_table(t), SCREEN_WEIGHTS, CANDIDATE_WEIGHTS, 30)
 
 
+@check("k7_table_order", f"""
+WITH {VERDICTS}, x AS (SELECT *, {recruiter_sql(SCREEN_WEIGHTS)} AS rec_sc, {candidate_sql(CANDIDATE_WEIGHTS)} AS cand_sc FROM r),
+o AS (SELECT rec_sc, cand_sc, row_number() OVER (ORDER BY rec_sc DESC, cand_sc DESC) AS position FROM x WHERE rec_sc >= 30)
+SELECT rec_sc, cand_sc, min(position) AS first, max(position) AS last FROM o GROUP BY 1, 2""")
+def _(t: Inputs):
+    """The places that rows of equal scores take in the sorted table."""
+    shown_table = rescored_preview(match_table(t), SCREEN_WEIGHTS, CANDIDATE_WEIGHTS, 30)
+    placed = global_rank(shown_table.select("rec_sc", "cand_sc").withColumn("at", F.monotonically_increasing_id()), [F.asc("at")], rank="position")
+    return placed.groupBy("rec_sc", "cand_sc").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+
+
 @check("k8_recent_match", match_sql(where="posted_at >= DATE '2026-05-20' - 28") + """
 SELECT profile_id, key, recruiter_score, candidate_score FROM final""")
 def _(t: Inputs):

@@ -711,6 +711,18 @@ def _(t: Inputs):
     return ranking.top_k(remote, [F.asc("ts"), F.asc("event_id")], 500).select("event_id", "event_type")
 
 
+@check("h36_run_id", """
+SELECT event_id, coalesce(nullif(lower(trim(regexp_replace(event_type || ' / ' || user_id || CASE WHEN event_id % 3 = 0 THEN ':Q4_K' ELSE '.' END,
+    '[^a-zA-Z0-9]+', '-', 'g'), '-')), ''), 'x') || '__n' || event_id % 300 || '__keep'
+  || CASE event_id % 4 WHEN 0 THEN '30' WHEN 1 THEN '12.5' WHEN 2 THEN '100' ELSE '0.25' END || '__' || strftime(ts, '%Y%m%d-%H%M%S') AS run_id
+FROM events""")
+def _(t: Inputs):
+    i = F.col("event_id")
+    model = F.concat("event_type", F.lit(" / "), "user_id", F.when(i % 3 == 0, ":Q4_K").otherwise("."))
+    keep = F.when(i % 4 == 0, 30.0).when(i % 4 == 1, 12.5).when(i % 4 == 2, 100.0).otherwise(0.25)
+    return t.events.select("event_id", tables.run_id_column(model, i % 300, keep, F.col("ts").cast("timestamp")).alias("run_id"))
+
+
 @check("f7_recent_runs", """
 SELECT 'run-' || user_id AS run_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS started
 FROM events GROUP BY user_id ORDER BY max(ts) DESC, run_id DESC LIMIT 5""")

@@ -178,6 +178,14 @@ def run_id(model: str, top_n: int, keep_pct: float, started_at: dt.datetime) ->
     return f"{name}__n{top_n}__keep{keep_pct:g}__{started_at:%Y%m%d-%H%M%S}"
 
 
+def run_id_column(model: Column, top_n: Column, keep_pct: Column, started_at: Column) -> Column:
+    """``run_id`` of the rows of a table of runs; ``keep_pct`` has six digits at most."""
+    name = F.lower(F.btrim(F.regexp_replace(model, "[^a-zA-Z0-9]+", "-"), F.lit("-")))
+    keep = F.regexp_replace(keep_pct.cast("double").cast("decimal(12,6)").cast("string"), r"\.?0+$", "")
+    return F.concat(F.coalesce(F.nullif(name, F.lit("")), F.lit("x")), F.lit("__n"), top_n.cast("string"), F.lit("__keep"), keep,
+                    F.lit("__"), F.date_format(started_at, "yyyyMMdd-HHmmss"))
+
+
 def register_run(spark: SparkSession, path: str, run: str, started_at: dt.datetime, settings: dict,
                  profiles: DataFrame | None = None) -> None:
     """One row in the run table; an empty path switches it off.

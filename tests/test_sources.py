@@ -131,3 +131,11 @@ def test_landed_order_does_not_depend_on_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_run_ids_of_a_table_equal_those_of_a_call(spark):
+    now = dt.datetime(2026, 5, 20, 1, 2, 3)
+    rows = [("Qwen/3.5:9b!", 200, 30.0), ("--", 1, 12.5), ("a", 10, 100.0), ("B b", 0, 0.25), ("x9", 7, 33.333)]
+    df = spark.createDataFrame([(*r, now) for r in rows], "m string, n int, k double, t timestamp")
+    got = df.select(tables.run_id_column(F.col("m"), F.col("n"), F.col("k"), F.col("t")).alias("id")).collect()
+    assert [r["id"] for r in got] == [tables.run_id(*r, now) for r in rows]
