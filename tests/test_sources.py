@@ -95,7 +95,7 @@ def test_profiles(spark, tmp_path):
     rows = {r["profile_id"]: r for r in tables.read_profiles(spark, str(tmp_path / "p")).collect()}
     assert rows["a.json"]["role_themes"] == ["x", "y"] and rows["a.json"]["must_have_themes"] == ["one"]
     (tmp_path / "p" / "c.json").write_text("[1]")
-    with pytest.raises(Exception, match="object at the top level"):
+    with pytest.raises(Exception, match="a profile is a JSON object"):
         tables.read_profiles(spark, str(tmp_path / "p")).collect()
 
 
@@ -106,7 +106,7 @@ def test_runs(spark, tmp_path):
     tables.register_run(spark, "", "off", NOW, {})
     assert [r["run_id"] for r in tables.recent_runs(spark, path, 2).collect()] == ["r3", "r2"]
     assert tables.run_id("Qwen3:27b", 200, 30, dt.datetime(2026, 5, 20, 1, 2, 3)) == "qwen3-27b__n200__keep30__20260520-010203"
-    with pytest.warns(UserWarning, match="does not exist"):
+    with pytest.warns(UserWarning, match="nothing is stored"):
         assert tables.previous_run(spark, str(tmp_path / "none"), "r9") is None
     assert tables.previous_run(spark, path, None, "") is None
 
