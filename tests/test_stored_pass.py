@@ -7,7 +7,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from gleanboard.operators.passes import PRESCREEN, ModelStopped
-from gleanboard.plans.stored_pass import RunStore, stored_pass
+from gleanboard.plans.stored_pass import BUCKET_ROWS, WAVE_BUCKETS, RunStore, _waves, stored_pass
 from gleanboard.sources import tables
 
 ROWS = 60
@@ -95,3 +95,17 @@ def test_rows_that_come_and_go_between_attempts(spark, rows, tmp_path):
     assert stored_pass(rows.where("key <> 'k8'"), answer, PRESCREEN, store).count() == ROWS - 1
     assert stored_pass(rows.limit(0), answer, PRESCREEN, store).count() == 0
     assert stored_pass(rows.limit(0), answer, PRESCREEN, RunStore(str(tmp_path / "none"), "x")).count() == 0
+
+
+def test_small_buckets_are_committed_in_waves_and_large_ones_alone(spark, rows, tmp_path):
+    store = RunStore(str(tmp_path / "v"), "one", bucket_rows=1)
+    assert stored_pass(rows, answer, PRESCREEN, store, concurrency=2).count() == ROWS
+    notes = tables.read_progress(spark, store.path, "one").where("bucket >= 0").collect()
+    assert {r["buckets"] for r in notes} == {ROWS} and sum(r["rows"] for r in notes) == ROWS and sum(r["failed"] for r in notes) == 6
+    stored_rows = {r["bucket"]: r["n"] for r in spark.read.parquet(store.path).groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    assert stored_rows == {r["bucket"]: r["rows"] for r in notes}
+    commits = len(list((tmp_path / "v" / "_progress").glob("*.parquet")))
+    assert commits <= 7  # the number of buckets, and waves of 1, 2, 4, 8, 16 and the rest
+    sizes = [[{"rows": n}] * 3 for n in (BUCKET_ROWS, BUCKET_ROWS // 2, 1)]
+    assert [[len(w) for w in _waves(s)] for s in sizes] == [[1, 1, 1], [1, 2], [1, 2]]
+    assert max(len(w) for w in _waves([{"rows": 150}] * 1_000)) == WAVE_BUCKETS
