@@ -7,6 +7,7 @@ compute what a run must give.
 from __future__ import annotations
 
 import json
+import math
 import re
 
 from pyspark.errors import PythonException
@@ -296,6 +297,16 @@ def _(t: Inputs):
 
 # -- streams ------------------------------------------------------------------------
 
+#: Rows of a landed file, narrow ones and whole texts.
+FILE_ROWS, FILE_TEXTS = 250_000, 20_000
+
+
+def files_a_part(rows: int, parts: int, most: int = FILE_ROWS) -> int:
+    """Files for each of the equal parts in which rows land. A part is what a stream takes in
+    at once or a share of it: there are as many at every size, but no task writes or reads a whole one."""
+    return max(1, math.ceil(rows / parts / most))
+
+
 @check("j1_landing_stream", ALLJOBS_SQL)
 def _(t: Inputs):
     landing, out, marks = (scratch_path(t.spark, n) for n in ("landing", "postings", "marks"))
@@ -324,9 +335,10 @@ WITH {MATCHED} SELECT {IDS_SQL}, l_returnflag, title, array_to_string(found_on,
 def _(t: Inputs):
     landing, out, marks = (scratch_path(t.spark, n) for n in ("listings", "groups", "marks"))
     rows = listings(t).select(*ORDER, "title", "employer_name", "city", "source_platform", "actor")
-    rows.repartition(4).write.parquet(landing)
+    files = files_a_part(t.lineitem.count(), 4)
+    rows.repartition(4 * files).write.parquet(landing)
     log = ProvenanceLog(out, ORDER)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * files).parquet(landing)
     log.start(stream, marks).awaitTermination()
     return log.read(t.spark).select(*IDS, "l_returnflag", "title", joined("found_on"))
 
@@ -337,9 +349,10 @@ def _(t: Inputs):
     """Many micro-batches, a generation after every third, the last one noted twice."""
     landing, out, marks = (scratch_path(t.spark, n) for n in ("listings", "groups", "marks"))
     rows = listings(t).select(*ORDER, "title", "employer_name", "city", "source_platform", "actor")
-    rows.repartition(8).write.parquet(landing)
+    files = files_a_part(t.lineitem.count(), 8)
+    rows.repartition(8 * files).write.parquet(landing)
     log = ProvenanceLog(out, ORDER, compact_every=3)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(landing)
     log.start(stream, marks).awaitTermination()
     log.compact(t.spark, log.generation(t.spark)[0])
     return log.read(t.spark).select(*IDS, "l_returnflag", "title", joined("found_on"))
@@ -373,8 +386,9 @@ def _(t: Inputs):
 def _(t: Inputs):
     landing, out, marks = (scratch_path(t.spark, n) for n in ("postings", "index", "marks"))
     rows = doc_postings(t).select("key", "title", "employer_name", "city", "country", "description")
-    rows.unionByName(rows).repartition(4).write.parquet(landing)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    files = files_a_part(2 * t.documents.count(), 4, FILE_TEXTS)
+    rows.unionByName(rows).repartition(4 * files).write.parquet(landing)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * files).parquet(landing)
     index_stream(stream, out, marks, indexing.hashing_embedder(), "hash").awaitTermination()
     return tables.read_embeddings(t.spark, out, "hash").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
 

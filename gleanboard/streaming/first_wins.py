@@ -57,10 +57,13 @@ COMPACT_EVERY = 10
 
 
 def merged_groups(groups: DataFrame) -> DataFrame:
-    """Partial groups of the same job as one; the result can be merged again."""
-    return groups.groupBy(*GROUPS).agg(
+    """Partial groups of the same job as one; the result can be merged again.
+
+    Rows that stand alone have nothing to be merged with: they pass by and are neither moved nor sorted."""
+    merged = groups.where("alone IS NULL").groupBy(*GROUPS).agg(
         F.min("first_row").alias("first_row"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
         F.sum("copies").alias("copies"))
+    return merged.unionByName(groups.where("alone IS NOT NULL").select(*merged.columns))
 
 
 class ProvenanceLog:
@@ -93,13 +96,22 @@ class ProvenanceLog:
         return (stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
 
-    def generation(self, spark: SparkSession, before: int | None = None) -> tuple[int, str | None]:
-        """(last batch in it, folder) of the newest generation; -1 and None before the first one."""
+    def _noted(self, spark: SparkSession) -> DataFrame | None:
         try:
-            noted = spark.read.schema("upto bigint, folder string").parquet(f"{self.path}/generations")
+            return spark.read.schema("upto bigint, folder string").parquet(f"{self.path}/generations")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return None
+
+    def _attempts(self, spark: SparkSession, upto: int) -> int:
+        noted = self._noted(spark)
+        return 0 if noted is None else noted.where(F.col("upto") == upto).count()
+
+    def generation(self, spark: SparkSession, before: int | None = None) -> tuple[int, str | None]:
+        """(last batch in it, folder) of the newest generation; -1 and None before the first one."""
+        noted = self._noted(spark)
+        if noted is None:
             return -1, None
         if before is not None:
             noted = noted.where(F.col("upto") < before)
@@ -117,7 +129,8 @@ class ProvenanceLog:
     def compact(self, spark: SparkSession, upto: int) -> None:
         """Write the generation that ends with a batch and note it. A repeated call notes a folder with the same content."""
         before, folder = self.generation(spark, before=upto)
-        name = f"generation-{upto}-{uuid.uuid4().hex[:8]}"
+        # Of the folders noted for a batch the one noted last is read: names rise with the attempts.
+        name = f"generation-{upto}-{self._attempts(spark, upto):06d}-{uuid.uuid4().hex[:8]}"
         merged_groups(self.groups(spark, before, folder, upto)).write.parquet(f"{self.path}/{name}")
         (spark.createDataFrame([(upto, name)], "upto bigint, folder string").coalesce(1)
          .write.mode("append").parquet(f"{self.path}/generations"))

@@ -127,3 +127,31 @@ def test_a_scope_does_not_move_the_vectors(spark):
         text = plan(nearest.search(vector_index(t), label_queries(t), 5, scope=doc_postings(t), small_rows=small_rows))
         moved = [line for line in text.splitlines() if "Exchange" in line and "embedding" in line]
         assert not moved
+
+
+def test_the_generation_noted_last_is_read(spark, tmp_path):
+    df = spark.createDataFrame(random_rows(20, 2) + [(900, "Acme", "Dev", None, "u", "A", "z")] * 3, SCHEMA)
+    landing, log = str(tmp_path / "in"), ProvenanceLog(str(tmp_path / "log"), ["n"], compact_every=1)
+    df.coalesce(1).write.parquet(landing)
+    log.start(spark.readStream.schema(df.schema).parquet(landing), str(tmp_path / "marks")).awaitTermination()
+    seen = [log.generation(spark)[1]]
+    for _ in range(4):
+        log.compact(spark, 0)
+        seen.append(log.generation(spark)[1])
+    assert len(set(seen)) == 5 and seen == sorted(seen)
+    assert log.read(spark).count() == merge_across_sources(df, ["n"]).count()
+
+
+def test_landed_files_stay_small_and_give_the_same_rows(spark, monkeypatch):
+    from gleanboard.checks import jobs
+    from gleanboard.checks.registry import QUERIES
+
+    for rows, parts, most in ((216_000_000, 4, jobs.FILE_ROWS), (216_000_000, 8, jobs.FILE_ROWS), (6_200_000, 4, jobs.FILE_TEXTS)):
+        assert rows / (parts * jobs.files_a_part(rows, parts, most)) <= most
+    assert jobs.files_a_part(6_000, 4) == 1
+    got = []
+    for files in (1, 3):
+        monkeypatch.setattr(jobs, "files_a_part", lambda *_: files)
+        got.append({name: sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+                    for name in ("j2_provenance_stream", "j2_generations", "j3_index_stream")})
+    assert got[0] == got[1]
