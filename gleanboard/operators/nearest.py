@@ -66,12 +66,18 @@ class _Best:
             return
         step = max(1, TILE // n)
         for lo in range(0, len(self.queries), step):
-            scores = np.round(self.queries[lo:lo + step] @ vectors.T, CUT_DIGITS)
-            floor = self.floor[lo:lo + step]
-            if n > self.k:
-                floor = np.maximum(floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
-            q, c = np.nonzero(scores >= floor[:, None])
-            self.kept.append(pd.DataFrame({"q": q + lo, "score": scores[q, c], "key": keys[c]}))
+            scores = self.queries[lo:lo + step] @ vectors.T
+            floor = self.floor[lo:lo + step]  # a view: a floor once found holds for all later batches
+            new = np.flatnonzero(np.isneginf(floor))
+            if n > self.k and len(new):
+                floor[new] = np.round(np.partition(scores[new], n - self.k, axis=1)[:, n - self.k], CUT_DIGITS)
+            # Only what may reach the floor is rounded; rounding moves a score by less than this.
+            reach = floor - (10.0 ** -CUT_DIGITS + 1e-14 * np.abs(np.where(np.isneginf(floor), 0.0, floor)))
+            q, c = np.nonzero(scores >= reach[:, None])
+            found = np.round(scores[q, c], CUT_DIGITS)
+            kept = found >= floor[q]
+            q, c, found = q[kept], c[kept], found[kept]
+            self.kept.append(pd.DataFrame({"q": q + lo, "score": found, "key": keys[c]}))
             self.pending += len(q)
             if self.pending > TILE:
                 self.cut()
@@ -109,9 +115,10 @@ def search(
     ``index`` has key and embedding, ``queries`` query_id and embedding; vectors
     with null, NaN or infinite items are left out. The queries are evaluated once
     and measured, with their ids and their k winners, and cut into blocks of
-    ``block_bytes``. A block is broadcast and meets the index where it lies, so
-    the index is read once for each block and never moved. A task holds the k best
-    rows of each query of one block, whatever the index holds.
+    ``block_bytes``. Blocks are broadcast, small ones as many as fit ``QUERY_BLOCK_BYTES``
+    at a time, and meet the index where it lies, so the index is read once for each
+    such round and never moved. A task holds the k best rows of each query of one
+    round, whatever the index holds.
 
     ``scope`` is a table of keys, the only ones that a search may find. It is
     counted: up to ``small_rows`` keys are broadcast; more are sent as a bitmap of
@@ -170,11 +177,13 @@ def _search(index: DataFrame, queries: DataFrame, k: int, block_bytes: int, bitm
         place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
         queries.withColumn("_block", place).repartition("_block").write.partitionBy("_block").parquet(f"{folder}/queries")
         dealt = spark.read.schema(StructType([*queries.schema, StructField("_block", IntegerType())])).parquet(f"{folder}/queries")
-        for i in range(blocks):
-            block = dealt.where(F.col("_block") == i).select("query_id", "embedding")
+        together = max(1, QUERY_BLOCK_BYTES // block_bytes)
+        for i in range(0, blocks, together):
+            block = dealt.where(F.col("_block").between(i, i + together - 1)).select("query_id", "embedding")
             _scan(index, block, k, schema, bitmap).write.mode("append").parquet(f"{folder}/partial")
         partial = spark.read.schema(schema).parquet(f"{folder}/partial")
-    return top_k_per_group(partial, ["query_id"], best_first(), k)
+    # A query has k rows of each task at most: no group to cut in parts first.
+    return top_k_per_group(partial, ["query_id"], best_first(), k, spread=1)
 
 
 def with_columns_of(hits: DataFrame, index: DataFrame, columns: Sequence[str] = ("metadata",)) -> DataFrame:
