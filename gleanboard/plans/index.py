@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.keys import metadata
@@ -14,7 +14,7 @@ from ..functions.text import retrieval_text
 from ..operators.dedupe import require_unique_key
 from ..operators.joins import key_intersection, small_side, without_keys
 from ..operators.passes import call_each
-from ..session import settle
+from ..session import bounded_batches, settle
 
 # An embedder takes the texts of a batch and returns one vector per text.
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -46,17 +46,22 @@ def _unit(vector: list[float] | None) -> np.ndarray | None:
 def with_embedding(df: DataFrame, text: str, embedder: Embedder, batch: int = BATCH,
                    column: str = "embedding") -> DataFrame:
     """Add the unit vector of a text column. A failing batch is sent text by
-    text; a failing text gives null and costs nobody else anything."""
+    text; a failing text gives null and costs nobody else anything.
+
+    Rows reach Python in Arrow batches of bounded bytes; only the texts of one
+    ``batch`` become Python objects at a time, other columns pass as they are."""
+    bounded_batches(df.sparkSession)
     schema = T.StructType(list(df.schema)).add(column, T.ArrayType(T.FloatType()))
+    at_text, kind = df.columns.index(text), pa.list_(pa.float32())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             vectors: list[np.ndarray | None] = []
-            for at in range(0, len(frame), batch):
-                vectors += [_unit(v) for v, _ in call_each(embedder, list(frame[text].iloc[at:at + batch]))]
-            yield frame.assign(**{column: pd.Series(vectors, index=frame.index, dtype=object)})
+            for at in range(0, frame.num_rows, batch):
+                vectors += [_unit(v) for v, _ in call_each(embedder, frame.column(at_text).slice(at, batch).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(vectors, kind)], names=[*frame.schema.names, column])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def documents(postings: DataFrame) -> DataFrame:

@@ -86,3 +86,38 @@ def test_one_query_equals_many(spark):
     one = nearest.search_one(index, queries.first()["embedding"], 20).collect()
     many = nearest.search(index, queries, 20).orderBy("rank").collect()
     assert [(r["key"], round(r["score"], 6)) for r in one] == [(r["key"], round(r["score"], 6)) for r in many]
+
+
+def test_small_blocks_share_a_scan_of_the_index(spark, monkeypatch):
+    rng, scans, scan = np.random.default_rng(5), [], nearest._scan
+    vectors = np.repeat(rng.normal(size=(150, 6)) * np.array([1e4, 1.0] * 75)[:, None], 2, axis=0)  # ties, and scores of any size
+    index = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(vectors)], "key string, embedding array<double>").repartition(3)
+    queries = index.select(F.col("key").alias("query_id"), "embedding")
+    monkeypatch.setattr(nearest, "_scan", lambda *a: scans.append(1) or scan(*a))
+    got = sorted(map(tuple, nearest.search(index, queries, 4, block_bytes=2_000).collect()))
+    assert len(scans) == 1
+    monkeypatch.setattr(nearest, "QUERY_BLOCK_BYTES", 6_000)
+    assert got == sorted(map(tuple, nearest.search(index, queries, 4, block_bytes=2_000).collect())) and len(scans) > 5
+    scores = np.round(vectors @ vectors.T, 12)
+    for i in (0, 1, 2, 151):
+        best = sorted((-scores[i, j], f"k{j}") for j in range(300))[:4]
+        assert [k for q, _, k, _ in sorted(got, key=lambda r: r[1]) if q == f"k{i}"] == [k for _, k in best]
+
+
+def test_texts_reach_the_embedder_in_bounded_batches(spark):
+    from gleanboard.plans import index as indexing
+    from gleanboard.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+
+    def embedder(texts):
+        if len(texts) > 3 or "bad" in texts:
+            raise ValueError("too many or bad")
+        return [[3.0 * len(t), 4.0 * len(t)] for t in texts]
+
+    rows = [(i, t, {"a": str(i)}) for i, t in enumerate(["x", "bad", "yy", "zzz", "", "w"] * 3)]
+    out = indexing.with_embedding(spark.createDataFrame(rows, "i int, t string, m map<string,string>"), "t", embedder, batch=3)
+    assert int(spark.conf.get(key)) == BATCH_BYTES
+    for i, t, m, v in out.collect():
+        assert (i, t, m) == rows[i] and (v is None if t == "bad" else np.allclose(v, [0.6, 0.8] if t else [0, 0]))
