@@ -12,6 +12,7 @@ from ..operators.dedupe import first_hits, merge_across_sources, with_keys
 from ..operators.filters import keyword_hits, matching_queries
 from ..operators.summary import counted_by
 from ..schemas import COLLECTED, POSTING, conform
+from ..session import scratch_path
 from ..sources.boards import board, read_board
 
 ORDER = ["source_ord", "row_ord"]
@@ -77,7 +78,7 @@ def ingest(frames: dict[str, DataFrame], path: str) -> tuple[DataFrame, DataFram
     raw, seen = counted_by(union_sources(frames), "actor", list(frames), "raw total")
     raw.write.mode("overwrite").parquet(f"{path}/raw")
     kept = Observation()
-    merged = with_keys(merge_across_sources(spark.read.parquet(f"{path}/raw"), ORDER)).drop(*ORDER)
+    merged = with_keys(merge_across_sources(spark.read.parquet(f"{path}/raw"), ORDER, counted=True)).drop(*ORDER)
     merged.observe(kept, F.count(F.lit(1)).alias("unique total")).write.mode("overwrite").parquet(f"{path}/unique")
     rows = [(name, seen.get[f"n{i}"]) for i, name in enumerate(frames)]
     rows += [("raw total", seen.get["raw total"]), ("unique total", kept.get["unique total"])]
@@ -87,19 +88,20 @@ def ingest(frames: dict[str, DataFrame], path: str) -> tuple[DataFrame, DataFram
 def run_portfolio(
     postings: DataFrame, queries: Sequence[object], order_by: Sequence[str] = tuple(ORDER), *,
     done: Sequence[str] = (), columns: Sequence[str] = ("title", "description"),
-    merge_found_on: bool = False,
+    merge_found_on: bool = False, counted: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(unique postings, hits per query) of a portfolio over a landed table.
 
     ``done`` holds labels of queries that ran before and are skipped. Each
-    query merges its own hits; across queries the earlier query wins.
+    query merges its own hits; across queries the earlier query wins. ``counted``
+    groups the hits at once (``merge_across_sources``), for callers that store both.
     """
     wanted = _pending(queries, done)
     hits = keyword_hits(postings, wanted, columns)
     tags = ["query_ord", "search_label", "search_query"]
-    per_query = with_keys(merge_across_sources(hits, order_by, within=tags))
+    per_query = with_keys(merge_across_sources(hits, order_by, within=tags, counted=counted))
     found = F.transform(matching_queries(wanted, columns), lambda q: q["query_ord"])
-    unique = first_hits(postings, found, order_by, merge_found_on=merge_found_on)
+    unique = first_hits(postings, found, order_by, merge_found_on=merge_found_on, counted=counted)
     return with_keys(unique), per_query
 
 
@@ -118,14 +120,20 @@ def store_portfolio(
     """``run_portfolio`` written to ``path``/hits and ``path``/unique: (unique postings, summary).
 
     The summary has the jobs of every query, ``hit total`` and ``unique total`` as
-    (label, rows), counted while the tables are written.
+    (label, rows), counted while the tables are written. The postings that any query
+    finds are landed first: both tables read them several times.
     """
-    unique, per_query = run_portfolio(postings, queries, order_by, done=done, **options)
-    labels = [_label(q) for q in _pending(queries, done)]
+    wanted = _pending(queries, done)
+    spark, landed = postings.sparkSession, scratch_path(postings.sparkSession, "found")
+    columns = options.get("columns", ("title", "description"))
+    found = postings.where(F.size(matching_queries(wanted, columns)) > 0)
+    found.write.parquet(landed)
+    unique, per_query = run_portfolio(spark.read.schema(found.schema).parquet(landed), queries, order_by, done=done, counted=True, **options)
+    labels = [_label(q) for q in wanted]
     hits, seen = counted_by(per_query, "search_label", labels, "hit total")
     hits.write.mode("overwrite").parquet(f"{path}/hits")
     kept = Observation()
     unique.observe(kept, F.count(F.lit(1)).alias("unique total")).write.mode("overwrite").parquet(f"{path}/unique")
     rows = [(name, seen.get[f"n{i}"]) for i, name in enumerate(labels)]
     rows += [("hit total", seen.get["hit total"]), ("unique total", kept.get["unique total"])]
-    return postings.sparkSession.read.parquet(f"{path}/unique"), postings.sparkSession.createDataFrame(rows, "label string, rows bigint")
+    return spark.read.parquet(f"{path}/unique"), spark.createDataFrame(rows, "label string, rows bigint")
