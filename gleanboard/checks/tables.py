@@ -577,7 +577,8 @@ def _(t: Inputs):
 WITH {MATCHED}, k AS (SELECT *, {KEY_SQL} AS key FROM merged), c AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM k)
 SELECT key, title, employer_name, city, array_to_string(found_on, ',') AS found_on FROM c WHERE n > 1""")
 def _(t: Inputs):
-    return duplicate_report(settle(keyed(t))).withColumn("found_on", F.array_join("found_on", ","))
+    stored = settle(with_keys(merge_across_sources(listings(t), ORDER, counted=True)))
+    return duplicate_report(stored).withColumn("found_on", F.array_join("found_on", ","))
 
 
 # -- ranks and cuts ------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 # Unicode white space, plus the four ASCII separators Python also counts.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 TAG = r"<[^>]+>"
 
@@ -81,8 +82,11 @@ def strip_html_if_tagged(c: Column, all_entities: bool = True) -> Column:
 
 
 def match_text(c: Column) -> Column:
-    """Form under which two sources name the same thing; null stays null."""
-    return F.trim(squeeze(F.lower(c)))
+    """Form under which two sources name the same thing; null stays null.
+
+    Printable ASCII, which is nearly all, knows one kind of white space and needs no Unicode classes."""
+    plain = F.trim(F.regexp_replace(F.lower(c), "  +", " "))
+    return F.when(c.rlike("[^ -~]"), F.trim(squeeze(F.lower(c)))).otherwise(plain)
 
 
 def slug(c: Column) -> Column:

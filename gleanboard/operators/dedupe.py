@@ -13,16 +13,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.keys import match_key, posting_key
-from ..functions.text import form_text, match_text
+from ..functions.text import NOT_SPACE, form_text, match_text
+from ..session import settle
 from .filters import effective_source
+from .joins import small_side
 
 TRIPLE = ["employer_name", "title", "city"]
 DUPLICATE_REPORT = ["key", "title", "employer_name", "city", "found_on"]
 
 
 def has_match_parts(columns: Sequence[str] = TRIPLE) -> Column:
-    """True where every normalised part is present."""
-    return reduce(lambda a, b: a & b, [F.coalesce(match_text(F.col(c)) != "", F.lit(False)) for c in columns])
+    """True where every normalised part is present: a part that is not only white space."""
+    return reduce(lambda a, b: a & b, [F.coalesce(F.col(c).rlike(NOT_SPACE), F.lit(False)) for c in columns])
 
 
 def first_row(df: DataFrame, order_by: Sequence[str | Column], payload: Sequence[str]) -> Column:
@@ -56,12 +58,13 @@ def located(df: DataFrame) -> DataFrame:
     return df.select("*", *_hash_pair(plain, ROW))
 
 
-def fetch(df: DataFrame, winners: DataFrame) -> DataFrame:
+def fetch(df: DataFrame, winners: DataFrame, counted: bool = False) -> DataFrame:
     """The rows of ``located(df)`` that ``winners`` (ROW and more) name, each once, with what the winners carry.
 
-    Wide rows are moved here only, and not at all while the winners are few
-    enough to be broadcast: then just the winning rows are put in order.
+    Wide rows are moved here only. ``counted`` stores and counts the winners first:
+    while they are few they are broadcast, and just the winning rows are put in order.
     """
+    winners = small_side(settle(winners)) if counted else winners
     once = Window.partitionBy(*ROW).orderBy(ROW[0])
     return (located(df).join(winners, list(ROW)).withColumn("_copy", F.row_number().over(once))
             .where(F.col("_copy") == 1).drop("_copy", *ROW))
@@ -80,6 +83,7 @@ def merge_across_sources(
     within: Sequence[str] = (),
     source: Column | None = None,
     drop: Sequence[str] = ("actor", "source_platform"),
+    counted: bool = False,
 ) -> DataFrame:
     """One row per job with the sorted distinct sources it was found on.
 
@@ -88,7 +92,9 @@ def merge_across_sources(
     very often sends one narrow row per map task. The survivor is the first row in
     ``order_by``; its wide row is then fetched by its hash. Rows with a blank part
     are no group: they pass by as they are and are never moved. ``df`` is read
-    twice: store it first if it is dear to compute.
+    three times: store it first if it is dear to compute. ``counted`` groups at once
+    and counts the winners (``fetch``), for callers that store the result anyway;
+    without it nothing runs before the result does.
     """
     source = effective_source() if source is None else source
     payload = [c for c in df.columns if c not in {*within, *drop}]
@@ -96,7 +102,8 @@ def merge_across_sources(
     parts = [*within, *[match_text(F.col(c)) for c in TRIPLE]]
     narrow = located(df.where(complete)).select(*_hash_pair(parts, GROUP), _at(order_by), source.alias("_source"))
     winners = narrow.groupBy(*GROUP).agg(F.min("_at").alias("_at"), F.array_sort(F.collect_set("_source")).alias("found_on"))
-    merged = fetch(df.where(complete), winners.select(*[F.col("_at")[c].alias(c) for c in ROW], F.col("found_on").alias("_found_on")))
+    # No row with a blank part has the hash of a winner.
+    merged = fetch(df, winners.select(*[F.col("_at")[c].alias(c) for c in ROW], F.col("found_on").alias("_found_on")), counted)
     alone = df.where(~complete).withColumn("_found_on", F.array_compact(F.array(source)))
     kept = [*within, *payload, F.col("_found_on").alias("found_on")]
     return merged.select(*kept).unionByName(alone.select(*kept))
@@ -172,7 +179,8 @@ def require_unique_key(df: DataFrame, key: str = "key") -> DataFrame:
     return df
 
 
-def first_hits(df: DataFrame, matches: Column, order_by: Sequence[str], *, merge_found_on: bool = False) -> DataFrame:
+def first_hits(df: DataFrame, matches: Column, order_by: Sequence[str], *, merge_found_on: bool = False,
+               counted: bool = False) -> DataFrame:
     """The jobs that any query of a portfolio finds, each as its first query finds it.
 
     ``matches`` gives the numbers of the queries that find a row. The same as
@@ -195,6 +203,6 @@ def first_hits(df: DataFrame, matches: Column, order_by: Sequence[str], *, merge
     best = every.groupBy("_raw", "_raw2").agg(*aggregates)
     sources = F.col("_all") if merge_found_on else F.col("_best._found_on")
     winners = best.select(*[F.col("_best._at")[c].alias(c) for c in ROW], sources.alias("_sources"))
-    found = fetch(df, winners)
+    found = fetch(df, winners, counted)
     dropped = {"actor", "source_platform"}
     return found.select(*[c for c in df.columns if c not in dropped], F.col("_sources").alias("found_on"))

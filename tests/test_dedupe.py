@@ -105,3 +105,46 @@ def test_match_key_is_stable_when_a_source_is_added(spark):
 def test_first_spellings(spark):
     df = spark.createDataFrame([(0, " Data "), (1, "data"), (2, None), (3, "  "), (4, "Ops")], "i int, v string")
     assert sorted((r["i"], r["v"]) for r in first_spellings(df, "v", ["i"]).collect()) == [(0, "Data"), (4, "Ops")]
+
+
+def test_match_form_and_blanks_of_odd_texts(spark):
+    from pyspark.sql import functions as F
+
+    from gleanboard.functions.text import match_text, squeeze
+    from gleanboard.operators.dedupe import has_match_parts
+
+    odd = ["", " ", "   ", "a", "  A   b ", "\t", "\x1c", "  　 ", " x", "É  TÉ\t\n x", "\x7f", " ", "​", "a\x1f\x1fb", None]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select(
+        match_text(F.col("t")).alias("new"), F.trim(squeeze(F.lower("t"))).alias("old"), has_match_parts(["t"]).alias("part")).collect()
+    assert all(r["new"] == r["old"] and r["part"] == bool(r["old"]) for r in got)
+
+
+def test_wide_rows_stay_where_they_are_while_winners_are_few(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(random_rows(200, 3), SCHEMA).withColumn("description", F.repeat(F.lit("d"), 50))
+    out = merge_across_sources(df, ["n"], counted=True)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert sorted(map(str, out.collect())) == sorted(map(str, merge_across_sources(df, ["n"]).collect()))
+
+
+def test_a_stored_portfolio_reads_its_table_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gleanboard.plans.collect import run_portfolio, store_portfolio
+
+    read = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(random_rows(120, 4), SCHEMA).withColumn("description", F.lit("")).repartition(2)
+
+    @F.udf("int")
+    def seen(n):
+        read.add(1)
+        return n
+
+    queries = ["dev", "ops", " "]
+    unique, per_query = run_portfolio(df, queries, ["n"])
+    stored, summary = store_portfolio(df.withColumn("m", seen.asNondeterministic()("n")), queries, str(tmp_path), ["n"])
+    assert read.value == 120
+    counts = {r["label"]: r["rows"] for r in summary.collect()}
+    assert counts["unique total"] == unique.count() == stored.count() and counts["hit total"] == per_query.count()
