@@ -15,8 +15,11 @@ Counting goes length by length. A phrase can only be frequent if both phrases of
 one word less in it are; a bitmap of the frequent ones (a bit for each hash, of
 bounded size) is sent to the tasks, which leave out what it excludes. Once the
 frequent pairs are known the dictionary is cut down to the runs that such pairs
-form, and longer phrases are counted in these. A false hit of a bitmap costs a row
-and changes no count.
+form, and longer phrases are counted in these, first in buckets of hashes (Park,
+Chen and Yu's hash table): a task sends the sums of its buckets, packed, and only
+phrases of buckets that hold ``least`` occurrences in all become rows. Most longer
+phrases whose parts are frequent are rare themselves and never leave their task. A
+false hit of a bitmap costs a row and changes no count.
 
 Defined results: a null text is empty; a null language is UNKNOWN; rows that
 repeat count as often as they occur; texts and pieces of any length are parsed
@@ -58,6 +61,8 @@ SLICE_BYTES = 4_000_000
 HELD_ROWS = 300_000
 #: Bits of a bitmap: 256 for each phrase in it, within these bounds (4 KB and 32 MB).
 BITS_A_PHRASE, LEAST_BITS, MOST_BITS = 256, 1 << 15, 1 << 28
+#: Occurrences that a bucket may hold on average, the least number of buckets, the most bytes of them all, and the parts they are summed in.
+BUCKET_LOAD, LEAST_BUCKETS, MOST_BUCKET_BYTES, BUCKET_PARTS = 16, 1 << 15, 1 << 26, 256
 PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + b"\t" + PUNCTUATION, bytes(range(97, 123)) + b" " + b"\n" * len(PUNCTUATION))
 SPACES = re.compile(b" {2,}")
@@ -212,11 +217,16 @@ class _Chunks(_Words):
         out[: len(h)] = hit(h, bitmap) & (self.left[: len(h)] >= width)
         return out
 
-    def count(self, width: int, bitmap: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(phrase, hash, times) of the phrases whose parts of one word less may both be frequent."""
+    def places(self, width: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all phrases, where those begin whose parts of one word less may both be frequent)."""
         parts = self.frequent(width - 1, bitmap)
-        at = np.flatnonzero(parts[:-1] & parts[1:] & (self.left >= width) & (self.own > 0))
-        return counted(self.phrases(width, self.lang), self, width, at, self.weight[at])
+        return self.phrases(width, self.lang), np.flatnonzero(parts[:-1] & parts[1:] & (self.left >= width) & (self.own > 0))
+
+    def count(self, width: int, bitmap: np.ndarray, buckets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(phrase, hash, times) of the phrases of such places whose bucket is full enough."""
+        h, at = self.places(width, bitmap)
+        at = at[hit(h[at], buckets)]
+        return counted(h, self, width, at, self.weight[at])
 
     def runs(self, bitmap: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(run, words that it owns, weight): the longest runs of three or more words in which all neighbours are frequent pairs."""
@@ -227,43 +237,106 @@ class _Chunks(_Words):
         return self.texts(start[some], end[some]), own[some], self.weight[start[some]]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunks]:
+    """Parts of the dictionary of bounded bytes, each of one language."""
+    hasher, held, size = WordHasher(lower=False), {}, 0
+
+    def done() -> Iterator[_Chunks]:
+        for lang, (found, owned, weight) in held.items():
+            yield _Chunks(lang, found, np.concatenate(owned), np.concatenate(weight), hasher)
+
+    for batch in batches:
+        chunks, langs = batch.column("chunk").to_pylist(), batch.column("lang").dictionary_encode()
+        owned, weight = (batch.column(c).to_numpy() for c in ("owned", "weight"))
+        code, names_of = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+        for i, lang in enumerate(names_of):
+            part = held.setdefault(lang, ([], [], []))
+            rows = slice(None) if len(names_of) == 1 else np.flatnonzero(code == i)
+            part[0].extend(chunks if len(names_of) == 1 else [chunks[r] for r in rows.tolist()])
+            part[1].append(owned[rows])
+            part[2].append(weight[rows])
+        size += batch.column("chunk").nbytes
+        if size >= SLICE_BYTES:
+            yield from done()
+            held, size = {}, 0
+    yield from done()
+
+
 def _by_slices(chunks: DataFrame, rows_of, schema: str) -> DataFrame:
     """``rows_of(part)`` for parts of the dictionary of bounded bytes: (text, number, number) behind the language."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = WordHasher(lower=False), {}, 0
-        for batch in batches:
-            chunks, langs = batch.column("chunk").to_pylist(), batch.column("lang").dictionary_encode()
-            owned, weight = (batch.column(c).to_numpy() for c in ("owned", "weight"))
-            code, names_of = langs.indices.to_numpy(), langs.dictionary.to_pylist()
-            for i, lang in enumerate(names_of):
-                part = held.setdefault(lang, ([], [], []))
-                rows = slice(None) if len(names_of) == 1 else np.flatnonzero(code == i)
-                part[0].extend(chunks if len(names_of) == 1 else [chunks[r] for r in rows.tolist()])
-                part[1].append(owned[rows])
-                part[2].append(weight[rows])
-            size += batch.column("chunk").nbytes
-            if size >= SLICE_BYTES:
-                yield from done(held, hasher)
-                held, size = {}, 0
-        yield from done(held, hasher)
-
-    def done(held: dict[str, tuple], hasher: WordHasher) -> Iterator[pa.RecordBatch]:
-        for lang, (found, owned, weight) in held.items():
-            texts, x, y = rows_of(_Chunks(lang, found, np.concatenate(owned), np.concatenate(weight), hasher))
+        for part in _slices(batches):
+            texts, x, y = rows_of(part)
             if texts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64())],
+                    [pa.array([part.lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64())],
                     names=names)
 
     return chunks.mapInArrow(run, schema)
 
 
-def phrase_counts(chunks: DataFrame, width: int, bitmap: np.ndarray) -> DataFrame:
-    """(lang, phrase, h, n) of the phrases of ``width`` words that the bitmap of the shorter ones does not exclude."""
+def full_buckets(chunks: DataFrame, width: int, bitmap: np.ndarray, least: int) -> np.ndarray:
+    """Bits of the buckets of hashes in which such phrases of ``width`` words occur ``least`` times together.
+
+    Sums stop at ``least``, so a bucket takes a byte for the usual ones. There is a
+    bucket for every BUCKET_LOAD words up to a bounded number; beyond it more rare phrases pass.
+    """
+    kind = np.min_scalar_type(least)
+    words = chunks.agg(F.sum(F.col("owned") * F.col("weight").cast("double"))).first()[0] or 0
+    count = max(LEAST_BUCKETS, min(MOST_BUCKET_BYTES // kind.itemsize, 1 << int(words / BUCKET_LOAD).bit_length()))
+    size = count // BUCKET_PARTS
     shared = chunks.sparkSession.sparkContext.broadcast(bitmap)
-    rows = _by_slices(chunks, lambda part: part.count(width, shared.value), "lang string, phrase binary, h long, n long")
+
+    def add(held: np.ndarray, bucket: np.ndarray, times: np.ndarray) -> None:
+        held[bucket] = np.minimum(held[bucket].astype(np.int64) + times, least)
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(count, dtype=kind)
+        for part in _slices(batches):
+            h, at = part.places(width, shared.value)
+            if len(at):
+                bucket = (h[at] & U(count - 1)).astype(np.uint32)
+                order = np.argsort(bucket)
+                bucket = bucket[order]
+                begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                add(held, bucket[begin], np.add.reduceat(np.minimum(part.weight[at], least)[order], begin))
+        some = np.flatnonzero(held)
+        edge = np.searchsorted(some, np.arange(BUCKET_PARTS + 1) * size)
+        for i in np.flatnonzero(np.diff(edge)).tolist():
+            at = some[edge[i]: edge[i + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([(at - i * size).astype(np.uint32).tobytes()], pa.binary()), pa.array([held[at].tobytes()], pa.binary())],
+                names=["part", "bucket", "n"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, bucket, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i not in sums:
+                    sums[i] = np.zeros(size, dtype=kind)
+                add(sums[i], np.frombuffer(bucket, dtype=np.uint32), np.frombuffer(n, dtype=kind).astype(np.int64))
+        for i, held in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([np.packbits(held >= least, bitorder="little").tobytes()], pa.binary())], names=["part", "map"])
+
+    parts = chunks.mapInArrow(buckets, "part int, bucket binary, n binary").repartition("part").mapInArrow(summed, "part int, map binary")
+    out = np.zeros((BUCKET_PARTS, size // 8), dtype=np.uint8)
+    for row in parts.collect():
+        out[row["part"]] = np.frombuffer(row["map"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def phrase_counts(chunks: DataFrame, width: int, bitmap: np.ndarray, least: int) -> DataFrame:
+    """(lang, phrase, h, n) of the phrases of ``width`` words that occur ``least`` times, and of some that occur less.
+
+    Neither the bitmap of the shorter ones nor the buckets exclude one that does. Pairs have
+    no buckets: these would take one more pass over the whole dictionary.
+    """
+    buckets = full_buckets(chunks, width, bitmap, least) if width > 2 else np.full(1, 255, dtype=np.uint8)
+    shared = chunks.sparkSession.sparkContext.broadcast((bitmap, buckets))
+    rows = _by_slices(chunks, lambda part: part.count(width, *shared.value), "lang string, phrase binary, h long, n long")
     return rows.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
 
 
@@ -298,7 +371,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
         if width == 3:
             pruned(chunks, bitmap).write.parquet(f"{folder}/runs")
             counted = spark.read.parquet(f"{folder}/runs")
-        rows = phrase_counts(counted, width, bitmap) if width > 1 else words.withColumnsRenamed({"chunk": "phrase", "weight": "n"})
+        rows = phrase_counts(counted, width, bitmap, least) if width > 1 else words.withColumnsRenamed({"chunk": "phrase", "weight": "n"})
         rows.where(F.col("n") >= least).select("lang", F.col("phrase").cast("string").alias("phrase"), "h", "n").write.parquet(
             f"{folder}/counts/width={width}")
         if width < longest:

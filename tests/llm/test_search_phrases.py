@@ -181,6 +181,37 @@ def test_scores_beyond_64_bits_stay_exact(spark, monkeypatch):
     assert (got["a"], got["n"], got["score"]) == (big, 2 * big, 1000 * big * 2 * big // (big * big))
 
 
+def test_rare_phrases_of_frequent_parts_make_no_rows(spark, monkeypatch):
+    """Twenty words in any order: all pairs occur often, hardly a triple does."""
+    rng, made, by_slices = random.Random(7), [], collocations._by_slices
+    rows = [("en", " ".join(f"w{rng.randrange(20)}" for _ in range(100)) + ". so it is") for _ in range(300)]
+
+    def noted(chunks, rows_of, schema):
+        made.append((schema, by_slices(chunks, rows_of, schema)))
+        return made[-1][1]
+
+    monkeypatch.setattr(collocations, "_by_slices", noted)
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(4), least=30)
+    assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows, 30, 5, 100, 2000)
+    pairs, triples, *_ = (df.count() for schema, df in made if "phrase" in schema)
+    assert pairs > 400 and triples < 100  # of 8,000 triples
+
+
+@pytest.mark.parametrize("least", [300, 70_000])
+def test_buckets_hold_counts_of_any_size(spark, least):
+    rows = [("en", "a b c " * 200)] * (least // 199) + [("de", "a b c " * 100)] * 2 + [("en", "b d")] * 299
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(3), least=least)
+    assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows, least, 5, 100, 2000)
+
+
+def test_more_words_than_buckets_change_no_count(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "LEAST_BUCKETS", 1 << 11)
+    monkeypatch.setattr(collocations, "MOST_BUCKET_BYTES", 1 << 11)
+    rows = texts(8)
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(3), least=9)
+    assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows, 9, 5, 100, 2000)
+
+
 def test_no_documents_no_phrases(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
 
