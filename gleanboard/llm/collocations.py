@@ -262,17 +262,32 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunks]:
     yield from done()
 
 
-def _by_slices(chunks: DataFrame, rows_of, schema: str) -> DataFrame:
-    """``rows_of(part)`` for parts of the dictionary of bounded bytes: (text, number, number) behind the language."""
+def _by_slices(chunks: DataFrame, rows_of, schema: str, held_rows: int = 0) -> DataFrame:
+    """``rows_of(part)`` for parts of the dictionary of bounded bytes: (text, number, number) behind the language.
+
+    With ``held_rows`` a task gathers about so many rows and sums their last number before it hands them on.
+    """
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes, int], int] = {}
         for part in _slices(batches):
             texts, x, y = rows_of(part)
-            if texts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), pa.array(x, pa.int64()), pa.array(y, pa.int64())],
-                    names=names)
+            if not held_rows:
+                yield from made([part.lang] * len(texts), texts, x, y)
+                continue
+            for text, of, times in zip(texts, x.tolist(), y.tolist(), strict=True):
+                held[part.lang, text, of] = held.get((part.lang, text, of), 0) + times
+            if len(held) >= held_rows:
+                yield from made(*zip(*held, strict=True), list(held.values()))
+                held = {}
+        if held:
+            yield from made(*zip(*held, strict=True), list(held.values()))
+
+    def made(*columns) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return chunks.mapInArrow(run, schema)
 
@@ -332,11 +347,13 @@ def phrase_counts(chunks: DataFrame, width: int, bitmap: np.ndarray, least: int)
     """(lang, phrase, h, n) of the phrases of ``width`` words that occur ``least`` times, and of some that occur less.
 
     Neither the bitmap of the shorter ones nor the buckets exclude one that does. Pairs have
-    no buckets: these would take one more pass over the whole dictionary.
+    no buckets (one more pass over the whole dictionary), so few of them repeat in a task
+    and they are handed on as they come.
     """
     buckets = full_buckets(chunks, width, bitmap, least) if width > 2 else np.full(1, 255, dtype=np.uint8)
     shared = chunks.sparkSession.sparkContext.broadcast((bitmap, buckets))
-    rows = _by_slices(chunks, lambda part: part.count(width, *shared.value), "lang string, phrase binary, h long, n long")
+    rows = _by_slices(chunks, lambda part: part.count(width, *shared.value), "lang string, phrase binary, h long, n long",
+                      HELD_ROWS if width > 2 else 0)
     return rows.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
 
 

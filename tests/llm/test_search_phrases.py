@@ -186,8 +186,8 @@ def test_rare_phrases_of_frequent_parts_make_no_rows(spark, monkeypatch):
     rng, made, by_slices = random.Random(7), [], collocations._by_slices
     rows = [("en", " ".join(f"w{rng.randrange(20)}" for _ in range(100)) + ". so it is") for _ in range(300)]
 
-    def noted(chunks, rows_of, schema):
-        made.append((schema, by_slices(chunks, rows_of, schema)))
+    def noted(chunks, rows_of, schema, *more):
+        made.append((schema, by_slices(chunks, rows_of, schema, *more)))
         return made[-1][1]
 
     monkeypatch.setattr(collocations, "_by_slices", noted)
@@ -197,6 +197,29 @@ def test_rare_phrases_of_frequent_parts_make_no_rows(spark, monkeypatch):
     assert pairs > 400 and triples < 100  # of 8,000 triples
 
 
+def test_a_task_hands_on_a_long_phrase_once(spark, monkeypatch):
+    """However many slices a task has; fewer rows held change no count."""
+    made, by_slices, batch = [], collocations._by_slices, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 1)
+    monkeypatch.setattr(collocations, "_by_slices", lambda *a: made.append((a[2], by_slices(*a))) or made[-1][1])
+    rng = random.Random(3)
+    rows = [("en", " ".join(f"w{rng.randrange(4)}" for _ in range(30))) for _ in range(90)] + [("de", "eins zwei drei. vier")] * 40
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "5")
+    try:
+        for held in (300_000, 1):
+            monkeypatch.setattr(collocations, "HELD_ROWS", held)
+            got = collocations.collocations(docs, trigger=10**6, least=20)
+            assert sorted(tuple(r) for r in got.collect()) == brute_phrases(rows, 20, 5, 100, 2000)
+            triples = [df for schema, df in made if "phrase" in schema][1].where("lang = 'en'")
+            repeated = triples.groupBy(F.spark_partition_id(), "phrase").count().where("count > 1").count()
+            assert (repeated == 0) == (held > 1)
+            made.clear()
+    finally:
+        spark.conf.set(batch, before)
+
+
 @pytest.mark.parametrize("least", [300, 70_000])
 def test_buckets_hold_counts_of_any_size(spark, least):
     rows = [("en", "a b c " * 200)] * (least // 199) + [("de", "a b c " * 100)] * 2 + [("en", "b d")] * 299
